@@ -1,0 +1,60 @@
+"""Joins in which one key may hold a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MIN_ROWS = 100_000
+PARTS = 1_000
+
+
+def hot_keys(df: DataFrame, keys: list[str], min_rows: int = MIN_ROWS, parts: int = PARTS) -> DataFrame:
+    """``keys, _slices`` of the keys that hold more than ``1/parts`` of all rows.
+
+    There are fewer than ``parts`` such keys, whatever the data, so the result may be broadcast.
+    Counts are summed map-side; only keys and counts are shuffled.
+    """
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    share = F.greatest(counts.agg(F.coalesce(F.sum("_n"), F.lit(0)) / parts).scalar(), F.lit(float(min_rows)))
+    return counts.filter(F.col("_n") > share).select(
+        *keys, F.ceil(F.col("_n") / share).cast("int").alias("_slices")
+    )
+
+
+def spread(df: DataFrame, hot: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """``df`` with ``_slice``: rows of a hot key spread over its slices by the hash of ``by``."""
+    return (
+        df.join(F.broadcast(hot), keys, "left")
+        .withColumn("_slice", F.pmod(F.xxhash64(*by), F.coalesce("_slices", F.lit(1))).cast("int"))
+        .drop("_slices")
+    )
+
+
+def copy_to_slices(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with ``_slice``: rows of a hot key copied to each of its slices."""
+    return (
+        df.join(F.broadcast(hot), keys, "left")
+        .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)))
+        .drop("_slices")
+    )
+
+
+def skew_join(
+    large: DataFrame,
+    small: DataFrame,
+    keys: list[str],
+    by: list[str],
+    how: str = "inner",
+    min_rows: int = MIN_ROWS,
+) -> DataFrame:
+    """Inner or left join on ``keys`` where rows of ``large`` may crowd on a few keys.
+
+    ``by`` are columns of ``large`` that differ between the rows of a key.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"skew_join does inner and left joins, not {how}")
+    hot = hot_keys(large, keys, min_rows)
+    left = spread(large, hot, keys, by)
+    right = copy_to_slices(small, hot, keys)
+    return left.join(right, [*keys, "_slice"], how).drop("_slice")
