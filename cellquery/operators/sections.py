@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellquery.functions import text
 from cellquery.functions.fragments import ParagraphTexts
@@ -78,7 +79,7 @@ def tables_by_id(pages: DataFrame) -> DataFrame:
     return type_cells(explode_tables(last))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _paragraph_text(html: pd.Series) -> pd.Series:
     return html.map(
         lambda page: "\n".join("".join(t) for t in ParagraphTexts().read(page).texts),

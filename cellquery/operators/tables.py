@@ -5,13 +5,15 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cellquery.functions import typing as types
+from cellquery.functions import typing as typed
 from cellquery.functions.fragments import SectionReader
 from cellquery.functions.text import strip
 
-TABLE_TYPE = "struct<header:array<string>,rows:array<array<string>>>"
-FRAGMENT_TYPE = f"struct<html:string,tables:array<{TABLE_TYPE}>>"
+_TEXTS = T.ArrayType(T.StringType())
+TABLE_TYPE = T.StructType().add("header", _TEXTS).add("rows", T.ArrayType(_TEXTS))
+FRAGMENT_TYPE = T.StructType().add("html", "string").add("tables", T.ArrayType(TABLE_TYPE))
 CELL_COLUMNS = ["row_idx", "col_idx", "col_name", "col_type", "cell", "cell_str", "word", "upcast"]
 
 
@@ -25,7 +27,7 @@ def _read_fragments(fragments: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"html": html, "tables": tables})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _remove_citations(fragments: pd.Series) -> pd.Series:
     return fragments.map(lambda f: SectionReader().read(f).html, na_action="ignore")
 
@@ -67,10 +69,10 @@ def type_cells(
     coded = tables.select(
         *keys,
         "header",
-        types.coded_rows(F.col("rows"), decimal, thousands).alias("_coded"),
+        typed.coded_rows(F.col("rows"), decimal, thousands).alias("_coded"),
     )
-    typed = coded.select(
-        "*", types.column_types(F.col("_coded"), F.size("header")).alias("_types")
+    kinds = coded.select(
+        "*", typed.column_types(F.col("_coded"), F.size("header")).alias("_types")
     ).select(
         *keys,
         "header",
@@ -81,7 +83,7 @@ def type_cells(
         ).alias("_all_numeric"),
         F.posexplode("_coded").alias("row_idx", "_row"),
     )
-    cells = typed.select(
+    cells = kinds.select(
         *keys,
         "row_idx",
         "header",
@@ -97,7 +99,7 @@ def type_cells(
         F.when(F.col("_cell.code") != 0, F.col("_cell.text")).alias("cell"),
         "_all_numeric",
     )
-    text = types.typed_text(F.col("cell"), F.col("col_type"))
+    text = typed.typed_text(F.col("cell"), F.col("col_type"))
     text = F.coalesce(text, F.lit("nan")) if null_as_nan else text
     upcast = F.col("_all_numeric") & (F.col("col_type") == "int")
     cells = cells.withColumn("word", strip(F.lower(text))).withColumn("upcast", upcast)

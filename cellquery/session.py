@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +44,24 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder, so later passes read it instead of recomputing it."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application.
+
+    Not needed where it is installed on them or was given with ``--py-files``.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_cellquery_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    archive = os.path.join(tempfile.mkdtemp(prefix="cellquery-code-"), "cellquery.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(package):
+            for file in files:
+                if file.endswith(".py"):
+                    path = os.path.join(folder, file)
+                    out.write(path, os.path.relpath(path, root))
+    sc.addPyFile(archive)
+    sc._cellquery_shipped = True

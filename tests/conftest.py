@@ -5,9 +5,8 @@ import tempfile
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-os.environ.setdefault("PYTHONPATH", sys.path[0])
 
-from cellquery.session import local_session  # noqa: E402
+from cellquery.session import local_session, ship  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -16,6 +15,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     session = local_session("4", "4g", "tests")
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     yield session
     session.stop()
 
