@@ -7,8 +7,12 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-Predictor = Callable[[Sequence[str]], Sequence[str]]
+# A predictor maps a batch of prompt rows to one text per row; a factory makes it once per partition.
+Predictor = Callable[[pd.DataFrame], Sequence[str]]
+PredictorFactory = Callable[[], Predictor]
+TextPredictorFactory = Callable[[], Callable[[Sequence[str]], Sequence[str]]]
 
 
 def base_texts(table: str, question: str) -> str:
@@ -16,7 +20,7 @@ def base_texts(table: str, question: str) -> str:
     return f"{table}\n{question}\nBase model answer."
 
 
-def base_model() -> Callable[[pd.DataFrame], Sequence[str]]:
+def base_model() -> Predictor:
     """Predictor factory of the base model, over the columns ``table, question``."""
     return lambda batch: [base_texts(t, q) for t, q in zip(batch["table"], batch["question"])]
 
@@ -35,7 +39,7 @@ def _one_by_one(predictor, batch: pd.DataFrame) -> tuple[list, list]:
 
 def predict(
     prompts: DataFrame,
-    make_predictor: Callable[[], Callable[[pd.DataFrame], Sequence[str]]],
+    make_predictor: PredictorFactory,
     batch_size: int = 64,
 ) -> DataFrame:
     """``prompts`` with ``completion`` and ``error``.
@@ -59,13 +63,14 @@ def predict(
                     texts, errors = _one_by_one(predictor, batch)
                 yield batch.assign(completion=texts, error=errors)[[*columns, "completion", "error"]]
 
-    schema = prompts.schema.add("completion", "string").add("error", "string")
+    texts = [T.StructField("completion", T.StringType()), T.StructField("error", T.StringType())]
+    schema = T.StructType([*prompts.schema.fields, *texts])
     return prompts.mapInPandas(run, schema)
 
 
 def predict_by_type(
     prompts: DataFrame,
-    backends: dict[str, Callable[[], Callable[[pd.DataFrame], Sequence[str]]]],
+    backends: dict[str, PredictorFactory],
     default: str,
     batch_size: int = 64,
 ) -> DataFrame:
@@ -73,7 +78,7 @@ def predict_by_type(
 
     A task starts only the backends its rows need, each once.
     """
-    def make() -> Callable[[pd.DataFrame], Sequence[str]]:
+    def make() -> Predictor:
         started: dict[str, Callable] = {}
 
         def run(batch: pd.DataFrame) -> Sequence[str]:
@@ -90,9 +95,9 @@ def predict_by_type(
     return predict(prompts, make, batch_size)
 
 
-def translate(df: DataFrame, column: str, make_predictor: Callable[[], Predictor], batch_size: int = 64) -> DataFrame:
+def translate(df: DataFrame, column: str, make_predictor: TextPredictorFactory, batch_size: int = 64) -> DataFrame:
     """``idx, text``: the column translated; rows that fail are left out, the others keep their ``idx``."""
-    def make() -> Callable[[pd.DataFrame], Sequence[str]]:
+    def make() -> Predictor:
         predictor = make_predictor()
         return lambda batch: predictor(batch[column].tolist())
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +13,7 @@ from cellquery.operators.numbering import dense_number
 def generate_qa(
     cells: DataFrame,
     n: int,
-    make_predictor: Callable[[], Callable[[pd.DataFrame], Sequence[str]]],
+    make_predictor: prediction.PredictorFactory,
     fmt: Column | int | None = None,
     lang: Column | str = "en",
     seed: int = 0,
