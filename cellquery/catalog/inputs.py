@@ -87,7 +87,7 @@ scored AS (SELECT *, len(list_filter(list_transform(answer, lambda x: {sql_key('
 
 
 def doc_sections(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = table(spark, folder, "documents", wide=True)
     return docs.select(
         F.col("doc_id").alias("page_id"),
         F.lit(0).alias("section_idx"),
@@ -98,7 +98,7 @@ def doc_sections(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def doc_cells(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = table(spark, folder, "documents", wide=True)
     first_word = F.regexp_extract(F.lower("text"), WORD, 0)
     values = [
         (0, 0, F.col("lang")),
@@ -180,7 +180,7 @@ def customer_pages(spark: SparkSession, folder: str) -> DataFrame:
         F.col("c_name"),
         F.lit("</p><table><tr><td>x</td></tr></table></body></html>"),
     ]
-    return table(spark, folder, "customer").select(
+    return table(spark, folder, "customer", wide=True).select(
         F.col("c_custkey").alias("page_id"),
         F.concat(F.lit("https://hu.wikipedia.org/wiki/"), "c_name").alias("url"),
         F.concat(*html).alias("html"),
@@ -201,7 +201,7 @@ def order_qa(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lineitem_answers(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").select(
+    return table(spark, folder, "lineitem", wide=True).select(
         F.col("l_returnflag").alias("model"),
         F.col("l_linenumber").alias("seed"),
         F.concat(F.lit("nt-"), F.col("l_orderkey").cast("string")).alias("question_id"),

@@ -32,7 +32,7 @@ def _doc_html(spark, folder):
         F.lit('<h2 id="mw-fr-revisionratings-box">S</h2>s<h2 id="'), "lang", F.lit('"><i>B</i></h2>'), "source",
         F.lit("<h2>no id<h2>end</h2>last"),
     )
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("page_id"), html.alias("html"))
+    return table(spark, folder, "documents", wide=True).select(F.col("doc_id").alias("page_id"), html.alias("html"))
 
 
 @query(
@@ -65,7 +65,7 @@ def h4_skip_sections(spark, folder):
 def h5_remove_citations(spark, folder):
     cite = '.<sup class="reference" id="c"><a href="#n">[<b>1</b>]</a></sup><i class="x cite-bracket">[2]</i> '
     html = F.concat(F.lit("<p>"), F.replace("text", F.lit(". "), F.lit(cite)), F.lit("</p>"))
-    return table(spark, folder, "documents").select("doc_id", F.md5(tables.remove_citations(html)).alias("html_md5"))
+    return table(spark, folder, "documents", wide=True).select("doc_id", F.md5(tables.remove_citations(html)).alias("html_md5"))
 
 
 _SPANS = "array_to_string(regexp_extract_all({html}, '(?s)<p.*?{end}'), ' ')"
@@ -100,7 +100,7 @@ def h7_strip_tags(spark, folder):
 )
 def h8_decimal_comma(spark, folder):
     commas = F.replace("text", F.lit("."), F.lit(","))
-    return table(spark, folder, "documents").select("doc_id", text.decimal_comma_to_point(commas).alias("pointed"))
+    return table(spark, folder, "documents", wide=True).select("doc_id", text.decimal_comma_to_point(commas).alias("pointed"))
 
 
 _CHUNKS = """chunks AS (SELECT page_id, unnest(range(len(c)))  AS pos, unnest(c) AS chunk
@@ -131,7 +131,7 @@ _LINE = "replace(replace(" + inputs.sql_strip("concat(text, chr(10), source)") +
 def h12_page_sentences(spark, folder):
     body = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit(". "), F.lit("[12]. "))
     html = F.concat(F.lit("<div><h1>no</h1><p>"), body, F.lit("</p>no<p><b>"), "source", F.lit("</b></p></div>"))
-    pages = table(spark, folder, "documents").select(F.col("doc_id").alias("page_id"), html.alias("html"))
+    pages = table(spark, folder, "documents", wide=True).select(F.col("doc_id").alias("page_id"), html.alias("html"))
     return sections.page_sentences(pages)
 
 

@@ -44,7 +44,7 @@ def candidates(df, key, statement):
     {_PICKED} SELECT * FROM picked""",
 )
 def q4_pick_question_word(spark, folder):
-    rows = sentence_rows(table(spark, folder, "documents"), "text", ["doc_id"])
+    rows = sentence_rows(table(spark, folder, "documents", wide=True), "text", ["doc_id"])
     key = F.concat_ws("-", F.col("doc_id").cast("string"), F.col("sentence_idx").cast("string"))
     return questions.pick_question_word(candidates(rows, key, "sentence"))
 

@@ -17,7 +17,7 @@ query = QUERIES.query
 
 @query("m1_strict_sentences", f"WITH {inputs.SENTENCES} SELECT * FROM sentences")
 def m1_strict_sentences(spark, folder):
-    return sentence_rows(table(spark, folder, "documents"), "text", ["doc_id"])
+    return sentence_rows(table(spark, folder, "documents", wide=True), "text", ["doc_id"])
 
 
 _LOOSE = f"{sql_sentences('text', '[.!?;,]')}"
@@ -28,17 +28,17 @@ _LOOSE = f"{sql_sentences('text', '[.!?;,]')}"
     f"""SELECT DISTINCT doc_id, unnest(list_concat({_LOOSE}, {sql_sentences('text')})) AS sentence FROM documents""",
 )
 def m2_loose_sentences(spark, folder):
-    return sentence_rows(table(spark, folder, "documents"), "text", ["doc_id"], strict=False).drop("sentence_idx")
+    return sentence_rows(table(spark, folder, "documents", wide=True), "text", ["doc_id"], strict=False).drop("sentence_idx")
 
 
 @query("m3_words", f"SELECT doc_id, unnest({sql_words('text')}) AS word FROM documents")
 def m3_words(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.explode(text.words(F.col("text"))).alias("word"))
+    return table(spark, folder, "documents", wide=True).select("doc_id", F.explode(text.words(F.col("text"))).alias("word"))
 
 
 def _statements(spark, folder):
     """Every sentence in lowercase, with its last word as the answer."""
-    rows = sentence_rows(table(spark, folder, "documents"), "text", ["doc_id"])
+    rows = sentence_rows(table(spark, folder, "documents", wide=True), "text", ["doc_id"])
     last = F.regexp_extract(F.lower("sentence"), rf"({inputs.WORD})[^\p{{L}}\p{{N}}_]*$", 1)
     return rows.select("doc_id", "sentence_idx", text.strip(F.lower("sentence")).alias("s"), last.alias("a"))
 
@@ -112,7 +112,7 @@ _REWRITE = prompts.REWRITE_TEXT.split("%s")
     ends_with(replace(text, '.', '?'), '?') AS is_question FROM documents""",
 )
 def q6_rewrite_prompt(spark, folder):
-    return table(spark, folder, "documents").select(
+    return table(spark, folder, "documents", wide=True).select(
         "doc_id",
         F.md5(prompts.rewrite_prompt(F.col("text"), F.col("lang"))).alias("prompt_md5"),
         text.is_question(F.replace("text", F.lit("."), F.lit("?"))).alias("is_question"),
@@ -130,7 +130,7 @@ _COMPLETION = """('"' || replace(replace(text, ', ', '?", "'), '. ', '" and "')
 def q9_extract_question(spark, folder):
     asked = F.replace(F.replace("text", F.lit(", "), F.lit('?", "')), F.lit(". "), F.lit('" and "'))
     completion = F.concat(F.lit('"'), asked, F.lit('"'))
-    return table(spark, folder, "documents").select("doc_id", text.extract_question(completion).alias("question"))
+    return table(spark, folder, "documents", wide=True).select("doc_id", text.extract_question(completion).alias("question"))
 
 
 _STOPS = "|".join(
@@ -189,6 +189,6 @@ def e2_answer_list(spark, folder):
       '[^\p{{L}}\p{{N}}_\s]', '', 'g'), chr(160), '')), '\s+'), lambda t: t <> ''), ' ')) AS tokens_md5 FROM documents""",
 )
 def e3_clean_tokens(spark, folder):
-    return table(spark, folder, "documents").select(
+    return table(spark, folder, "documents", wide=True).select(
         "doc_id", F.md5(F.array_join(text.clean_tokens(F.col("text")), " ")).alias("tokens_md5")
     )

@@ -194,8 +194,8 @@ def answer_list(c: Column) -> Column:
     return F.split(c, ",")
 
 
-def _letters_and_spaces(c: Column) -> Column:
-    kept = F.regexp_replace(c, rf"(?U)[^\p{{L}}\p{{N}}_\s\x1C-\x1F]", "")
+def _letters_and_spaces(c: Column, keep: str = "") -> Column:
+    kept = F.regexp_replace(c, rf"(?U)[^\p{{L}}\p{{N}}_\s\x1C-\x1F{keep}]", "")
     return F.lower(F.replace(kept, F.lit(NBSP), F.lit("")))
 
 
@@ -205,17 +205,38 @@ def clean_tokens(c: Column) -> Column:
     return F.coalesce(F.filter(tokens, lambda t: t != ""), F.array().cast("array<string>"))
 
 
-def answer_key(c: Column) -> Column:
-    """One string that is equal for two texts exactly when their ``clean_tokens`` are equal."""
-    spaced = F.regexp_replace(_letters_and_spaces(c), rf"(?U){_SPACE}+", " ")
-    return F.coalesce(F.btrim(spaced), F.lit(""))
+def answer_keys(c: Column, separators: str = ",") -> Column:
+    """The parts of ``c``, each as one string that two parts share exactly if their tokens are equal.
 
+    The whole text is cleaned at once, only its separators are kept, and it is cut afterwards.
+    """
+    spaced = F.regexp_replace(_letters_and_spaces(c, separators), rf"(?U){_SPACE}+", " ")
+    return F.transform(F.split(spaced, f"[{separators}]"), F.btrim)
+
+
+def truth_keys(c: Column) -> Column:
+    """``answer_keys`` of accepted answers."""
+    return answer_keys(c, ",|")
 
-def score(truths: Column, answers: Column) -> Column:
-    """Answers whose tokens equal those of an accepted answer, over the number of accepted ones.
+
+def key_score(truths: Column, answers: Column) -> Column:
+    """Answers found among the accepted ones, over the number of accepted ones; both as keys.
 
     Repeated right answers all count, so a score can pass 1.
     """
-    truth_keys = F.transform(truths, answer_key)
-    hits = F.filter(answers, lambda a: F.array_contains(truth_keys, answer_key(a)))
+    hits = F.filter(answers, lambda a: F.array_contains(truths, a))
     return F.size(hits) / F.size(truths)
+
+
+def score(truths: Column, answers: Column) -> Column:
+    """``key_score`` of two arrays of texts: an answer counts if its tokens equal those of a truth."""
+    def key(c: Column) -> Column:
+        return F.array_join(clean_tokens(c), " ")
+
+    return F.element_at(
+        F.transform(
+            F.array(F.struct(F.transform(truths, key).alias("t"), F.transform(answers, key).alias("a"))),
+            lambda both: key_score(both["t"], both["a"]),
+        ),
+        1,
+    )

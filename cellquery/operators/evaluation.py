@@ -60,21 +60,25 @@ def run_plan(models: DataFrame, seeds: int, qa: DataFrame, limit: int | None = N
 
 
 def evaluate_rows(answers: DataFrame, qa: DataFrame) -> DataFrame:
-    """Evidence per answer: ``model, seed, question_id, score, utterance, truth, answer`` arrays."""
+    """Evidence per answer: ``model, seed, question_id, score, utterance, truth, answer`` arrays.
+
+    Truths are cleaned once per question, on their side of the join.
+    """
     truths = qa.select(
-        F.col("id").alias("question_id"), "utterance", text.truth_list(F.col("targetValue")).alias("truth")
+        F.col("id").alias("question_id"),
+        "utterance",
+        text.truth_list(F.col("targetValue")).alias("truth"),
+        text.truth_keys(F.col("targetValue")).alias("_truth_keys"),
     )
-    joined = answers.select(
-        "model", "seed", "question_id", text.answer_list(F.col("completion")).alias("answer")
-    ).join(truths, "question_id")
+    joined = answers.select("model", "seed", "question_id", "completion").join(truths, "question_id")
     return joined.select(
         "model",
         "seed",
         "question_id",
-        text.score(F.col("truth"), F.col("answer")).alias("score"),
+        text.key_score(F.col("_truth_keys"), text.answer_keys(F.col("completion"))).alias("score"),
         "utterance",
         "truth",
-        "answer",
+        text.answer_list(F.col("completion")).alias("answer"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellquery.functions import text
-from cellquery.operators.skew import copy_to_slices, hot_keys, spread
+from cellquery.operators.skew import MIN_ROWS, copy_to_slices, hot_keys, spread_keys
 
 SECTION_KEYS = ["page_id", "section_idx"]
 TABLE_KEYS = ["page_id", "section_idx", "table_idx"]
@@ -79,31 +79,32 @@ def match_cells(
     sentences: DataFrame,
     section_keys: list[str] = SECTION_KEYS,
     table_keys: list[str] = TABLE_KEYS,
+    min_rows: int = MIN_ROWS,
 ) -> DataFrame:
     """Hits of cells in sentences: whole-sentence hits, and word hits for cells without one.
 
     One equi-join does both: a sentence offers its own lowercase text (``whole``) and each of its
     words, a cell takes part under exactly one of the two. Offers carry no sentence text; it is
     fetched for the hits. The section is part of the key, and a section that holds a large share
-    of all sentences is cut into slices which its cells are copied to.
+    of all sentences is cut into slices which its cells are copied to. Spark sizes exploded words
+    and sentences by the text they come from, so the hints keep it from broadcasting them.
     """
-    hot = hot_keys(sentences, section_keys)
+    hot = hot_keys(sentences, section_keys, min_rows)
     index = mark_whole_sentences(cell_index(cells, table_keys), sentences, section_keys)
     own = F.struct(F.lit(True).alias("whole"), F.lower("sentence").alias("cell_str"))
     by_word = F.transform(
         text.words(F.col("sentence")),
         lambda w: F.struct(F.lit(False).alias("whole"), w.alias("cell_str")),
     )
-    offers = spread(sentences, hot, section_keys, ["sentence_idx"]).select(
+    offers = spread_keys(sentences, hot, section_keys, ["sentence_idx"]).select(
         *section_keys,
         "_slice",
         "sentence_idx",
         F.explode(F.concat(F.array(own), by_word)).alias("_offer"),
     ).select(*section_keys, "_slice", "sentence_idx", "_offer.*")
-    hits = offers.join(
-        copy_to_slices(index, hot, section_keys), [*section_keys, "_slice", "whole", "cell_str"]
-    ).drop("_slice")
-    return hits.join(sentences, [*section_keys, "sentence_idx"]).select(
+    on = [*section_keys, "_slice", "whole", "cell_str"]
+    hits = offers.hint("merge").join(copy_to_slices(index, hot, section_keys), on).drop("_slice")
+    return hits.join(sentences.hint("merge"), [*section_keys, "sentence_idx"]).select(
         *table_keys,
         "row_idx",
         "col_idx",

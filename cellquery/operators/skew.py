@@ -9,21 +9,29 @@ MIN_ROWS = 100_000
 PARTS = 1_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], min_rows: int = MIN_ROWS, parts: int = PARTS) -> DataFrame:
-    """``keys, _slices`` of the keys that hold more than ``1/parts`` of all rows.
+def hot_keys(
+    df: DataFrame, keys: list[str], min_rows: int = MIN_ROWS, parts: int = PARTS
+) -> DataFrame | None:
+    """``keys, _slices`` of the keys that hold more than ``1/parts`` of all rows; None if there are none.
 
-    There are fewer than ``parts`` such keys, whatever the data, so the result may be broadcast.
+    There are fewer than ``parts`` such keys, whatever the data, so they may be collected and
+    broadcast. The counting runs at once: mostly nothing is hot, and then the join needs no slices.
     Counts are summed map-side; only keys and counts are shuffled.
     """
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    share = F.greatest(counts.agg(F.coalesce(F.sum("_n"), F.lit(0)) / parts).scalar(), F.lit(float(min_rows)))
-    return counts.filter(F.col("_n") > share).select(
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total")).scalar()
+    share = F.greatest(total / parts, F.lit(float(min_rows)))
+    hot = counts.filter(F.col("_n") > share).select(
         *keys, F.ceil(F.col("_n") / share).cast("int").alias("_slices")
     )
+    found = hot.collect()
+    return df.sparkSession.createDataFrame(found, hot.schema) if found else None
 
 
-def spread(df: DataFrame, hot: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+def spread_keys(df: DataFrame, hot: DataFrame | None, keys: list[str], by: list[str]) -> DataFrame:
     """``df`` with ``_slice``: rows of a hot key spread over its slices by the hash of ``by``."""
+    if hot is None:
+        return df.withColumn("_slice", F.lit(0))
     return (
         df.join(F.broadcast(hot), keys, "left")
         .withColumn("_slice", F.pmod(F.xxhash64(*by), F.coalesce("_slices", F.lit(1))).cast("int"))
@@ -31,8 +39,10 @@ def spread(df: DataFrame, hot: DataFrame, keys: list[str], by: list[str]) -> Dat
     )
 
 
-def copy_to_slices(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+def copy_to_slices(df: DataFrame, hot: DataFrame | None, keys: list[str]) -> DataFrame:
     """``df`` with ``_slice``: rows of a hot key copied to each of its slices."""
+    if hot is None:
+        return df.withColumn("_slice", F.lit(0))
     return (
         df.join(F.broadcast(hot), keys, "left")
         .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)))
@@ -55,6 +65,8 @@ def skew_join(
     if how not in ("inner", "left"):
         raise ValueError(f"skew_join does inner and left joins, not {how}")
     hot = hot_keys(large, keys, min_rows)
-    left = spread(large, hot, keys, by)
+    if hot is None:
+        return large.join(small, keys, how)
+    left = spread_keys(large, hot, keys, by)
     right = copy_to_slices(small, hot, keys)
     return left.join(right, [*keys, "_slice"], how).drop("_slice")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,22 +14,15 @@ from cellquery.functions import typing as typed
 from cellquery.functions.fragments import SectionReader
 from cellquery.functions.text import strip
 
-_TEXTS = T.ArrayType(T.StringType())
-TABLE_TYPE = T.StructType().add("header", _TEXTS).add("rows", T.ArrayType(_TEXTS))
-FRAGMENT_TYPE = T.StructType().add("html", "string").add("tables", T.ArrayType(TABLE_TYPE))
+_ROW = T.ArrayType(T.StringType())
+TABLES_TYPE = T.ArrayType(
+    T.StructType([T.StructField("header", _ROW), T.StructField("rows", T.ArrayType(_ROW))])
+)
+_TEXTS = pa.list_(pa.string())
+_TABLES = pa.list_(pa.struct([("header", _TEXTS), ("rows", pa.list_(_TEXTS))]))
 CELL_COLUMNS = ["row_idx", "col_idx", "col_name", "col_type", "cell", "cell_str", "word", "upcast"]
 
 
-@F.pandas_udf(FRAGMENT_TYPE)
-def _read_fragments(fragments: pd.Series) -> pd.DataFrame:
-    html, tables = [], []
-    for fragment in fragments:
-        reader = SectionReader().read(fragment or "")
-        html.append(reader.html)
-        tables.append(reader.grids())
-    return pd.DataFrame({"html": html, "tables": tables})
-
-
 @F.pandas_udf(T.StringType())
 def _remove_citations(fragments: pd.Series) -> pd.Series:
     return fragments.map(lambda f: SectionReader().read(f).html, na_action="ignore")
@@ -38,21 +34,42 @@ def remove_citations(c: Column) -> Column:
 
 
 def read_fragments(df: DataFrame, html: str) -> DataFrame:
-    """Replace the column ``html`` by ``clean_html`` (no citation marks) and ``tables``; one parse."""
-    parsed = df.withColumn("_read", _read_fragments(html))
-    return parsed.withColumns(
-        {"clean_html": F.col("_read.html"), "tables": F.col("_read.tables")}
-    ).drop("_read", html)
+    """Replace the column ``html`` by ``clean_html`` (no citation marks) and ``tables``; one parse.
+
+    A Python step of its own, so that no filter on its results can make Spark parse twice.
+    """
+    keep = [f for f in df.schema.fields if f.name != html]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            readers = [SectionReader().read(value or "") for value in batch.column(html).to_pylist()]
+            columns = {f.name: batch.column(f.name) for f in keep}
+            columns["clean_html"] = pa.array([r.html for r in readers], pa.string())
+            columns["tables"] = pa.array([r.grids() for r in readers], _TABLES)
+            yield pa.RecordBatch.from_pydict(columns)
+
+    made = [T.StructField("clean_html", T.StringType()), T.StructField("tables", TABLES_TYPE)]
+    schema = T.StructType([*keep, *made])
+    return df.mapInArrow(read, schema)
 
 
 def explode_tables(df: DataFrame, tables: str = "tables") -> DataFrame:
     """One row per table: ``table_idx, header, rows`` beside the other columns."""
     rest = [c for c in df.columns if c != tables]
-    return df.select(*rest, F.posexplode(tables).alias("table_idx", "_table")).select(
+    return _explode(df, tables, rest, "table_idx", "_table").select(
         *rest, "table_idx", F.col("_table.header").alias("header"), F.col("_table.rows").alias("rows")
     )
 
 
+def _explode(df: DataFrame, array: str, rest: list[str], at: str, item: str) -> DataFrame:
+    """``posexplode`` of a computed array.
+
+    The outer form, as for the plain one Spark adds a filter on the array's size below and so
+    computes the array twice.
+    """
+    return df.select(*rest, F.posexplode_outer(array).alias(at, item)).filter(F.col(at).isNotNull())
+
+
 def type_cells(
     tables: DataFrame,
     decimal: str = ",",
@@ -77,13 +94,14 @@ def type_cells(
         *keys,
         "header",
         "_types",
+        "_coded",
         (
             F.forall("_types", lambda t: t.isin("int", "float"))
             & F.array_contains("_types", "float")
         ).alias("_all_numeric"),
-        F.posexplode("_coded").alias("row_idx", "_row"),
     )
-    cells = kinds.select(
+    rows = _explode(kinds, "_coded", [*keys, "header", "_types", "_all_numeric"], "row_idx", "_row")
+    cells = rows.select(
         *keys,
         "row_idx",
         "header",

@@ -46,6 +46,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of few files over all cores; one that has enough partitions already is left alone.
+
+    Only for plain scans, whose partitions are known without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once per application.
 
