@@ -211,7 +211,7 @@ def answer_keys(c: Column, separators: str = ",") -> Column:
     The whole text is cleaned at once, only its separators are kept, and it is cut afterwards.
     """
     spaced = F.regexp_replace(_letters_and_spaces(c, separators), rf"(?U){_SPACE}+", " ")
-    return F.transform(F.split(spaced, f"[{separators}]"), F.btrim)
+    return F.transform(F.split(spaced, f"[{separators}]"), lambda part: F.btrim(part))
 
 
 def truth_keys(c: Column) -> Column:

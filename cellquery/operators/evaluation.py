@@ -70,7 +70,8 @@ def evaluate_rows(answers: DataFrame, qa: DataFrame) -> DataFrame:
         text.truth_list(F.col("targetValue")).alias("truth"),
         text.truth_keys(F.col("targetValue")).alias("_truth_keys"),
     )
-    joined = answers.select("model", "seed", "question_id", "completion").join(truths, "question_id")
+    told = answers.select("model", "seed", "question_id", F.coalesce("completion", F.lit("")).alias("completion"))
+    joined = told.join(truths, "question_id")
     return joined.select(
         "model",
         "seed",

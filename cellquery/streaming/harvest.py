@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from cellquery.operators.sections import drop_known
 from cellquery.plans.harvest import harvest
 from cellquery.sources.files import PAGES
-from cellquery.operators.sections import drop_known
 
 KNOWN = "batch_id long, canonical_url string"
 
@@ -22,17 +22,19 @@ def harvest_stream(pages: DataFrame, folder: str, state: str, **options) -> Data
     """Writer that harvests each batch's new URLs into ``folder/batch=N``.
 
     Batches write to a folder of their own number, so a batch that is run again replaces itself;
-    a page is known if an *earlier* batch took its URL. Statement numbers restart in every batch;
+    a page is known if an *earlier* batch took its URL, or a lower page id of its own batch. Statement numbers restart in every batch;
     ``batch, n`` together are unique.
     """
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.withColumn("canonical_url", F.col("url")).dropDuplicates(["canonical_url"])
+        named = batch.withColumn("canonical_url", F.col("url"))
+        first = named.groupBy("canonical_url").agg(F.min("page_id").alias("page_id"))
+        fresh = named.join(first, ["canonical_url", "page_id"], "left_semi")
         known_folder = f"{state}/known"
-        earlier = spark.read.schema(KNOWN).option("recursiveFileLookup", True)
         path = spark._jvm.org.apache.hadoop.fs.Path(known_folder)
         if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            known = earlier.parquet(known_folder).filter(F.col("batch_id") < number)
+            known = spark.read.schema(KNOWN).option("recursiveFileLookup", True).parquet(known_folder)
+            known = known.filter(F.col("batch_id") < number)
             fresh = drop_known(fresh, known)
         fresh = fresh.select("page_id", "url", "html")
         harvest(fresh, **options).statements.write.mode("overwrite").parquet(f"{folder}/batch={number}")
