@@ -19,9 +19,9 @@ def m4_cell_index(spark, folder):
     return index.select("page_id", "cell_str", "row_idx", "col_idx", "first_pos", "word")
 
 
-def doc_hits(spark, folder):
+def doc_hits(spark, folder, beside=()):
     """Hits of every document's facts in its sentences."""
-    sentences = matching.sentence_rows(inputs.doc_sections(spark, folder))
+    sentences = matching.sentence_rows(inputs.doc_sections(spark, folder), beside=beside)
     return matching.match_cells(inputs.doc_cells(spark, folder), sentences)
 
 
@@ -47,11 +47,13 @@ def m7_numeric_hits(spark, folder):
     return matching.numeric_only(doc_hits(spark, folder)).select(*_HIT)
 
 
-def doc_qa(spark, folder, candidates=None):
-    """QA rows of the documents' hits."""
-    names = inputs.doc_sections(spark, folder).select("page_id", "section_idx", "url", "section_id")
-    named = doc_hits(spark, folder).join(names, matching.SECTION_KEYS)
-    return questions.build_qa(questions.statements(named), questions.section_context(), candidates)
+def doc_statements(spark, folder):
+    """Numbered statements of the documents' hits."""
+    return questions.statements(doc_hits(spark, folder, ["url", "section_id"]))
+
+
+def doc_qa(statements, candidates=None):
+    return questions.build_qa(statements, questions.section_context(), candidates)
 
 
 _CONTEXT = "d.source || '_' || n.doc_id || '_' || d.lang || '_0'"
@@ -64,7 +66,7 @@ _CONTEXT = "d.source || '_' || n.doc_id || '_' || d.lang || '_0'"
     FROM numbered n JOIN documents d ON d.doc_id = n.doc_id""",
 )
 def m8_build_qa(spark, folder):
-    return doc_qa(spark, folder)
+    return doc_qa(doc_statements(spark, folder))
 
 
 # Both hits of a customer page: a balance that reads the same in text and table, and the segment.

@@ -12,10 +12,10 @@ QUERIES = Registry()
 query = QUERIES.query
 
 
-def _sql_template(body: str, texts: dict, places: dict[str, str]) -> str:
+def _sql_template(templates: list, places: dict[str, str]) -> str:
     """``CASE`` over format and language that joins the pieces of each template."""
     arms = []
-    for number, lang, template in prompts._fill(body, texts):
+    for number, lang, template in templates:
         marked = template.replace("'", "''")
         for place, expression in places.items():
             marked = marked.replace("{" + place + "}", f"' || {expression} || '")
@@ -23,7 +23,7 @@ def _sql_template(body: str, texts: dict, places: dict[str, str]) -> str:
     return "CASE " + " ".join(arms) + " END"
 
 
-_P2 = _sql_template("{table}\n\n{question}", prompts.ANSWER_TEXTS, {"table": "role", "question": "text"})
+_P2 = _sql_template(prompts.answer_templates(), {"table": "role", "question": "text"})
 
 
 @query(
@@ -42,7 +42,7 @@ def p2_answer_prompt(spark, folder):
     return made.select("conv_id", "turn", F.md5("prompt").alias("prompt_md5"))
 
 
-_Q8 = _sql_template("{table}", prompts.QUESTION_TEXTS, {"table": "c_name", "answer": "c_mktsegment"})
+_Q8 = _sql_template(prompts.question_templates(), {"table": "c_name", "answer": "c_mktsegment"})
 
 
 @query(

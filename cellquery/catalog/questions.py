@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellquery.catalog import inputs
-from cellquery.catalog.matching import doc_qa
+from cellquery.catalog.matching import doc_qa, doc_statements
 from cellquery.catalog.registry import Registry, table
 from cellquery.catalog.tables import conversation_cells
 from cellquery.operators import questions
@@ -65,8 +65,8 @@ asked AS (SELECT *, {inputs.sql_count('m', "'<mask>'")} = 1 AS one,
     one AND coalesce(valid, false) AS valid, s AS original FROM asked""",
 )
 def q_build_qa_with_questions(spark, folder):
-    found = candidates(doc_qa(spark, folder), F.col("id"), "original")
-    return doc_qa(spark, folder, found)
+    statements = doc_statements(spark, folder)
+    return doc_qa(statements, candidates(doc_qa(statements), F.col("id"), "original"))
 
 
 _REWORKED = f"""{_ASKED}, reworked AS (SELECT *, CASE WHEN length(s) > 512 THEN 1
@@ -76,7 +76,7 @@ _REWORK = """SELECT id, CASE k WHEN 1 THEN 'Statement is too long.' WHEN 2 THEN
 
 
 def _reworked(spark, folder, **options):
-    qa = doc_qa(spark, folder)
+    qa = doc_qa(doc_statements(spark, folder))
     return questions.rework_qa(qa, candidates(qa, F.col("id"), "original"), **options)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from cellquery.catalog import inputs
@@ -11,18 +9,13 @@ from cellquery.catalog.evaluation import _RESULTS, results
 from cellquery.catalog.registry import Registry, table
 from cellquery.catalog.tables import nested_parts
 from cellquery.operators.tables import flatten_nested_qa
-from cellquery.session import checkpoint_dir
+from cellquery.session import scratch
 from cellquery.sources import files, store
 
 QUERIES = Registry()
 query = QUERIES.query
 
 
-def scratch(spark) -> str:
-    """A fresh path in the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/cellquery-{uuid.uuid4().hex}"
-
-
 @query(
     "s2_nested_qa",
     """SELECT 'Which part is ' || p_partkey || '?' AS utterance, p_name || ' ' || p_type AS "targetValue", 4::BIGINT AS n_cells FROM part""",

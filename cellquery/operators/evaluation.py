@@ -10,7 +10,7 @@ from cellquery.functions import text
 from cellquery.operators.questions import question_id, question_number
 from cellquery.operators.skew import skew_join
 
-PLAN_SLICES = 16
+PLAN_SLICES = 256
 
 
 def qa_with_tables(qa: DataFrame, tables: DataFrame, ids: list[str] | None = None) -> DataFrame:
@@ -62,7 +62,8 @@ def run_plan(models: DataFrame, seeds: int, qa: DataFrame, limit: int | None = N
 def evaluate_rows(answers: DataFrame, qa: DataFrame) -> DataFrame:
     """Evidence per answer: ``model, seed, question_id, score, utterance, truth, answer`` arrays.
 
-    Truths are cleaned once per question, on their side of the join.
+    Truths are cleaned once per question, on their side of the join. A question may have any share
+    of the answers.
     """
     truths = qa.select(
         F.col("id").alias("question_id"),
@@ -71,7 +72,7 @@ def evaluate_rows(answers: DataFrame, qa: DataFrame) -> DataFrame:
         text.truth_keys(F.col("targetValue")).alias("_truth_keys"),
     )
     told = answers.select("model", "seed", "question_id", F.coalesce("completion", F.lit("")).alias("completion"))
-    joined = told.join(truths, "question_id")
+    joined = skew_join(told, truths, ["question_id"], ["model", "seed"])
     return joined.select(
         "model",
         "seed",

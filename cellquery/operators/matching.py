@@ -17,11 +17,16 @@ TABLE_KEYS = ["page_id", "section_idx", "table_idx"]
 
 
 def sentence_rows(
-    sections: DataFrame, paragraph: str = "paragraph", keys: list[str] = SECTION_KEYS, strict: bool = True
+    sections: DataFrame,
+    paragraph: str = "paragraph",
+    keys: list[str] = SECTION_KEYS,
+    strict: bool = True,
+    beside: list[str] = (),
 ) -> DataFrame:
-    """``keys, sentence_idx, sentence`` of every section."""
+    """``keys, sentence_idx, sentence`` of every section, and the columns ``beside`` them."""
     return sections.select(
         *keys,
+        *beside,
         F.posexplode(text.sentences(F.col(paragraph), strict)).alias("sentence_idx", "sentence"),
     )
 
@@ -84,28 +89,28 @@ def match_cells(
     """Hits of cells in sentences: whole-sentence hits, and word hits for cells without one.
 
     One equi-join does both: a sentence offers its own lowercase text (``whole``) and each of its
-    words, a cell takes part under exactly one of the two. Offers carry no sentence text; it is
-    fetched for the hits. The section is part of the key, and a section that holds a large share
+    words, a cell takes part under exactly one of the two. Offers are numbers only, the hash of what
+    is offered; the text is fetched for the hits and compared there, so the result is exact. It comes with whatever other columns ``sentences`` has. The section is part of the key, and a section that holds a large share
     of all sentences is cut into slices which its cells are copied to. Spark sizes exploded words
     and sentences by the text they come from, so the hints keep it from broadcasting them.
     """
     hot = hot_keys(sentences, section_keys, min_rows)
     index = mark_whole_sentences(cell_index(cells, table_keys), sentences, section_keys)
-    own = F.struct(F.lit(True).alias("whole"), F.lower("sentence").alias("cell_str"))
-    by_word = F.transform(
-        text.words(F.col("sentence")),
-        lambda w: F.struct(F.lit(False).alias("whole"), w.alias("cell_str")),
-    )
+    index = copy_to_slices(index, hot, section_keys).withColumn("_key", F.xxhash64("whole", "cell_str"))
+    own = F.xxhash64(F.lit(True), F.lower("sentence"))
+    by_word = F.transform(text.words(F.col("sentence")), lambda w: F.xxhash64(F.lit(False), w))
+    keys = F.array_distinct(F.concat(F.array(own), by_word))
     offers = spread_keys(sentences, hot, section_keys, ["sentence_idx"]).select(
-        *section_keys,
-        "_slice",
-        "sentence_idx",
-        F.explode(F.concat(F.array(own), by_word)).alias("_offer"),
-    ).select(*section_keys, "_slice", "sentence_idx", "_offer.*")
-    on = [*section_keys, "_slice", "whole", "cell_str"]
-    hits = offers.hint("merge").join(copy_to_slices(index, hot, section_keys), on).drop("_slice")
-    return hits.join(sentences.hint("merge"), [*section_keys, "sentence_idx"]).select(
+        *section_keys, "_slice", "sentence_idx", F.explode(keys).alias("_key")
+    )
+    hits = offers.hint("merge").join(index, [*section_keys, "_slice", "_key"]).drop("_slice", "_key")
+    fetched = hits.join(sentences.hint("merge"), [*section_keys, "sentence_idx"])
+    is_equal = F.lower("sentence") == F.col("cell_str")
+    has_word = F.array_contains(text.words(F.col("sentence")), F.col("cell_str"))
+    known = {*section_keys, "sentence_idx", "sentence"}
+    return fetched.filter(F.when(F.col("whole"), is_equal).otherwise(has_word)).select(
         *table_keys,
+        *[c for c in sentences.columns if c not in known],
         "row_idx",
         "col_idx",
         "cell_str",

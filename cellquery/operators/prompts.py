@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellquery.operators.questions import question_number
@@ -51,7 +51,7 @@ REWRITE_TEXT = (
 )
 
 
-def _fill(body: str, texts: dict[str, tuple[str, str]]) -> list[tuple[int, str, str]]:
+def _templates(body: str, texts: dict[str, tuple[str, str]]) -> list[tuple[int, str, str]]:
     rows = []
     for (number, wrapper), (lang, (instruction, opener)) in product(WRAPPERS.items(), texts.items()):
         parts = {"{I}": instruction, "{B}": body, "{O}": opener}
@@ -61,16 +61,14 @@ def _fill(body: str, texts: dict[str, tuple[str, str]]) -> list[tuple[int, str,
     return rows
 
 
-def answer_templates(spark: SparkSession) -> DataFrame:
-    """Ten rows ``prompt_format, lang, template`` with ``{table}`` and ``{question}`` places."""
-    rows = _fill("{table}\n\n{question}", ANSWER_TEXTS)
-    return spark.createDataFrame(rows, "prompt_format int, lang string, template string")
+def answer_templates() -> list[tuple[int, str, str]]:
+    """Ten ``(format, language, template)`` with ``{table}`` and ``{question}`` places."""
+    return _templates("{table}\n\n{question}", ANSWER_TEXTS)
 
 
-def question_templates(spark: SparkSession) -> DataFrame:
-    """Ten rows ``prompt_format, lang, template`` with ``{table}`` and ``{answer}`` places."""
-    rows = _fill("{table}", QUESTION_TEXTS)
-    return spark.createDataFrame(rows, "prompt_format int, lang string, template string")
+def question_templates() -> list[tuple[int, str, str]]:
+    """Ten ``(format, language, template)`` with ``{table}`` and ``{answer}`` places."""
+    return _templates("{table}", QUESTION_TEXTS)
 
 
 def _place(template: Column, places: dict[str, Column]) -> Column:
@@ -92,29 +90,36 @@ def _place(template: Column, places: dict[str, Column]) -> Column:
     return F.array_join(F.transform(pieces, filled), "")
 
 
-def _with_template(df: DataFrame, templates: DataFrame, fmt: Column | int | None, lang: Column | str) -> DataFrame:
+def _with_prompt(
+    df: DataFrame, rows: list[tuple[int, str, str]], fmt: Column | int | None, lang: Column | str, places: dict[str, Column]
+) -> DataFrame:
+    """``df`` with ``prompt``: the template of each row's format and language, filled in.
+
+    One format and language for all rows is a literal; otherwise the ten templates are broadcast.
+    """
+    if not isinstance(fmt, Column) and not isinstance(lang, Column):
+        number = fmt if fmt in WRAPPERS else FORMATS["DEFAULT"]
+        template = next(t for n, spoken, t in rows if (n, spoken) == (number, lang))
+        return df.withColumn("prompt", _place(F.lit(template), places))
     fmt = fmt if isinstance(fmt, Column) else F.lit(fmt).cast("int")
     lang = lang if isinstance(lang, Column) else F.lit(lang)
-    known = F.when(fmt.isin(list(WRAPPERS)), fmt).otherwise(F.lit(-1))
+    known = F.when(fmt.isin(list(WRAPPERS)), fmt).otherwise(F.lit(FORMATS["DEFAULT"]))
+    templates = df.sparkSession.createDataFrame(rows, "_format int, _lang string, _template string")
     keyed = df.withColumns({"_format": known, "_lang": lang})
-    template = F.broadcast(
-        templates.withColumnsRenamed({"prompt_format": "_format", "lang": "_lang", "template": "_template"})
-    )
-    return keyed.join(template, ["_format", "_lang"])
+    filled = keyed.join(F.broadcast(templates), ["_format", "_lang"])
+    return filled.withColumn("prompt", _place(F.col("_template"), places)).drop("_format", "_lang", "_template")
 
 
 def answer_prompt(df: DataFrame, fmt: Column | int | None = None, lang: Column | str = "en") -> DataFrame:
     """``df`` (``table, question``) with ``prompt``. Unknown and null formats are the default one."""
-    filled = _with_template(df, answer_templates(df.sparkSession), fmt, lang)
-    prompt = _place(F.col("_template"), {"table": F.col("table"), "question": F.col("question")})
-    return filled.withColumn("prompt", prompt).drop("_format", "_lang", "_template")
+    places = {"table": F.col("table"), "question": F.col("question")}
+    return _with_prompt(df, answer_templates(), fmt, lang, places)
 
 
 def question_prompt(df: DataFrame, fmt: Column | int | None = None, lang: Column | str = "en") -> DataFrame:
     """``df`` (``table, answer``) with the ``prompt`` that asks for a question with that answer."""
-    filled = _with_template(df, question_templates(df.sparkSession), fmt, lang)
-    prompt = _place(F.col("_template"), {"table": F.col("table"), "answer": F.col("answer")})
-    return filled.withColumn("prompt", prompt).drop("_format", "_lang", "_template")
+    places = {"table": F.col("table"), "answer": F.col("answer")}
+    return _with_prompt(df, question_templates(), fmt, lang, places)
 
 
 def rewrite_prompt(sentence: Column, answer: Column) -> Column:

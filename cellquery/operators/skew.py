@@ -12,18 +12,16 @@ PARTS = 1_000
 def hot_keys(
     df: DataFrame, keys: list[str], min_rows: int = MIN_ROWS, parts: int = PARTS
 ) -> DataFrame | None:
-    """``keys, _slices`` of the keys that hold more than ``1/parts`` of all rows; None if there are none.
+    """``keys, _slices`` of the largest keys with more than ``min_rows`` rows; None if there are none.
 
-    There are fewer than ``parts`` such keys, whatever the data, so they may be collected and
-    broadcast. The counting runs at once: mostly nothing is hot, and then the join needs no slices.
-    Counts are summed map-side; only keys and counts are shuffled.
+    At most ``parts`` keys are taken, so they may be collected and broadcast, and every key that is
+    not among them holds less than ``1/parts`` of all rows, whatever the data. The counting runs at
+    once: mostly nothing is hot, and then the join needs no slices. Counts are summed map-side; only
+    keys and counts are shuffled.
     """
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total")).scalar()
-    share = F.greatest(total / parts, F.lit(float(min_rows)))
-    hot = counts.filter(F.col("_n") > share).select(
-        *keys, F.ceil(F.col("_n") / share).cast("int").alias("_slices")
-    )
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > min_rows)
+    slices = F.least(F.ceil(F.col("_n") / min_rows), F.lit(parts)).cast("int")
+    hot = counts.orderBy(F.desc("_n")).limit(parts).select(*keys, slices.alias("_slices"))
     found = hot.collect()
     return df.sparkSession.createDataFrame(found, hot.schema) if found else None
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from cellquery.functions import typing as typed
 from cellquery.functions.fragments import SectionReader
 from cellquery.functions.text import strip
+from cellquery.operators.skew import skew_join
 
 _ROW = T.ArrayType(T.StringType())
 TABLES_TYPE = T.ArrayType(
@@ -135,16 +136,15 @@ def extract_cells(
 
 
 def flatten_nested_qa(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(cells, qa)`` of rows ``question_id, table, question, answers``."""
+    """``(cells, qa)`` of rows ``question_id, table, question, answers``; short rows are filled with null."""
     rows = df.select("question_id", "table.header", F.posexplode("table.rows").alias("row_idx", "_row"))
-    cells = rows.select(
-        F.col("question_id").alias("table_id"),
-        "row_idx",
+    named = F.transform(
         "header",
-        F.posexplode("_row").alias("col_idx", "cell"),
-    ).select(
-        "table_id", "row_idx", "col_idx", F.get("header", F.col("col_idx")).alias("col_name"), "cell"
+        lambda name, at: F.struct(name.alias("col_name"), F.get("_row", at).alias("cell")),
     )
+    cells = rows.select(
+        F.col("question_id").alias("table_id"), "row_idx", F.posexplode(named).alias("col_idx", "_cell")
+    ).select("table_id", "row_idx", "col_idx", "_cell.col_name", "_cell.cell")
     qa = df.select(
         F.col("question_id").alias("id"),
         F.col("question").alias("utterance"),
@@ -176,21 +176,22 @@ def _ordered_text(idx: str, text: str, separator: str) -> Column:
 def table_to_csv(cells: DataFrame, keys: list[str], rows_per_block: int = 10_000) -> DataFrame:
     """``keys, csv``: each table as CSV text, header first, ``\\n`` after every line.
 
+    Every row of a table has all its columns, as all sources here give it; the first one names them.
+
     Lines are built per row, then per block of rows, then per table, so the only thing a single
     task holds whole is the text that is the result.
     """
-    header = (
-        cells.groupBy(*keys, "col_idx")
-        .agg(F.any_value("col_name").alias("_text"))
-        .withColumn("_row", F.lit(-1).cast("bigint"))
+    header = cells.filter(F.col("row_idx") == 0).select(
+        *keys, "col_idx", F.col("col_name").alias("_text"), F.lit(-1).cast("bigint").alias("_row")
     )
     body = cells.select(
         *keys, "col_idx", F.col("cell").alias("_text"), F.col("row_idx").cast("bigint").alias("_row")
     )
-    fields = header.select(*keys, "_row", "col_idx", "_text").unionByName(body)
+    field = F.struct("col_idx", F.coalesce("_text", F.lit("")).alias("_text"))
     raw = (
-        fields.groupBy(*keys, "_row")
-        .agg(F.array_sort(F.collect_list(F.struct("col_idx", F.coalesce("_text", F.lit("")).alias("_text")))).alias("_fields"))
+        header.unionByName(body)
+        .groupBy(*keys, "_row")
+        .agg(F.array_sort(F.collect_list(field)).alias("_fields"))
         .withColumn("_block", F.floor(F.col("_row") / rows_per_block))
     )
     alone = F.size("_fields") == 1
@@ -227,7 +228,7 @@ def reduce_tables(cells: DataFrame, keys: list[str], max_size: int = 64) -> Data
         .select(*keys, "_keep")
     )
     return (
-        cells.join(limits, keys, "left")
+        skew_join(cells, limits, keys, ["row_idx", "col_idx"], "left")
         .filter(F.col("_keep").isNull() | (F.col("row_idx") < F.col("_keep")))
         .drop("_keep")
     )

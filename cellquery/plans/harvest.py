@@ -33,12 +33,11 @@ class Harvest:
         named = self.cells.withColumn(
             "table_id", table_id(F.col("url"), F.col("section_id"), F.col("table_idx"))
         )
-        order = F.struct("page_id", "section_idx", "table_idx")
-        owner = named.groupBy("table_id").agg(F.max(order).alias("_owner"))
-        return (
-            named.join(owner, "table_id")
-            .filter(order == F.col("_owner"))
-            .select("table_id", "row_idx", "col_idx", "col_name", "col_type", "cell")
+        tables = named.filter((F.col("row_idx") == 0) & (F.col("col_idx") == 0))
+        key = F.struct(*matching.TABLE_KEYS)
+        kept = tables.groupBy("table_id").agg(F.max(key).alias("_kept")).select("_kept.*")
+        return named.join(kept, matching.TABLE_KEYS, "left_semi").select(
+            "table_id", "row_idx", "col_idx", "col_name", "col_type", "cell"
         )
 
 
@@ -49,10 +48,10 @@ def harvest(
     sections = materialize(read_sections(pages))
     keyed = explode_tables(sections.drop("paragraph"))
     cells = type_cells(keyed, null_as_nan=null_as_nan)
-    sentences = matching.sentence_rows(sections.filter(F.size("tables") > 0), strict=strict)
+    sentences = matching.sentence_rows(
+        sections.filter(F.size("tables") > 0), strict=strict, beside=["url", "section_id"]
+    )
     hits = matching.match_cells(cells, sentences)
     if numbers_only:
         hits = matching.numeric_only(hits)
-    names = sections.select("page_id", "section_idx", "url", "section_id")
-    named = hits.join(names, matching.SECTION_KEYS)
-    return Harvest(sections, cells, questions.statements(named, start))
+    return Harvest(sections, cells, questions.statements(hits, start))
