@@ -18,6 +18,7 @@ VOID = {
 RAW_TEXT = {"script", "style"}
 SILENT = {"script", "style", "template"}
 
+_SPACE = re.compile(r"\s")
 _CELL_SPACE = re.compile(r"[\r\n]+|\s{2,}")
 
 
@@ -65,6 +66,9 @@ class _Elements(HTMLParser):
     def handle_data(self, data):
         self.on_text(data)
 
+    def updatepos(self, i, j):
+        return j  # line numbers are not used
+
     def on_open(self, tag, attrs): ...
 
     def on_close(self, tag): ...
@@ -223,14 +227,14 @@ class SectionReader(_Elements):
         return [g for g in (t.result() for t in self.tables) if g]
 
     def on_open(self, tag, attrs):
-        values = {k: v or "" for k, v in attrs}
-        classes = values.get("class", "").split()
+        values = {k: v or "" for k, v in attrs} if attrs else {}
+        classes = values["class"].split() if "class" in values else ()
         citation = "cite-bracket" in classes or (tag == "sup" and "reference" in classes)
         if self.removed or citation:
             self.removed += tag not in VOID
             return
         self.out.append(_start_tag(tag, attrs))
-        unseen = tag in SILENT or "display:none" in re.sub(r"\s", "", values.get("style", ""))
+        unseen = tag in SILENT or ("style" in values and "display:none" in _SPACE.sub("", values["style"]))
         if self.hidden or unseen:
             self.hidden += tag not in VOID
             return

@@ -21,6 +21,7 @@ TABLES_TYPE = T.ArrayType(
 )
 _TEXTS = pa.list_(pa.string())
 _TABLES = pa.list_(pa.struct([("header", _TEXTS), ("rows", pa.list_(_TEXTS))]))
+SLICE_ROWS = 256
 CELL_COLUMNS = ["row_idx", "col_idx", "col_name", "col_type", "cell", "cell_str", "word", "upcast"]
 
 
@@ -37,14 +38,16 @@ def remove_citations(c: Column) -> Column:
 def read_fragments(df: DataFrame, html: str) -> DataFrame:
     """Replace the column ``html`` by ``clean_html`` (no citation marks) and ``tables``; one parse.
 
-    A Python step of its own, so that no filter on its results can make Spark parse twice.
+    A Python step of its own, so that no filter on its results can make Spark parse twice. Batches
+    are read in slices, which bounds what Python holds of large pages.
     """
     keep = [f for f in df.schema.fields if f.name != html]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            readers = [SectionReader().read(value or "") for value in batch.column(html).to_pylist()]
-            columns = {f.name: batch.column(f.name) for f in keep}
+        slices = (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS))
+        for part in slices:
+            readers = [SectionReader().read(value or "") for value in part.column(html).to_pylist()]
+            columns = {f.name: part.column(f.name) for f in keep}
             columns["clean_html"] = pa.array([r.html for r in readers], pa.string())
             columns["tables"] = pa.array([r.grids() for r in readers], _TABLES)
             yield pa.RecordBatch.from_pydict(columns)
