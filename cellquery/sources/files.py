@@ -109,7 +109,7 @@ def dump_page_text(spark: SparkSession, path: str, titles: DataFrame) -> DataFra
     """``title, text`` of the first revision of the dump's pages with the given titles."""
     dump = spark.read.format("xml").option("rowTag", "page").schema(DUMP_PAGE).load(path)
     return dump.join(titles.select("title").distinct(), "title", "left_semi").select(
-        "title", F.col("revision")[0]["text"].alias("text")
+        "title", F.get("revision", F.lit(0))["text"].alias("text")
     )
 
 
