@@ -74,9 +74,9 @@ def mark_whole_sentences(
     Sentences are made distinct first, so a line repeated over a section meets the join once.
     """
     distinct = sentences.select(*section_keys, F.lower("sentence").alias("cell_str")).distinct()
-    return index.join(distinct.withColumn("_hit", F.lit(True)), [*section_keys, "cell_str"], "left").withColumn(
-        "whole", F.coalesce("_hit", F.lit(False))
-    ).drop("_hit")
+    found = distinct.withColumn("_hit", F.lit(True))
+    marked = index.join(found, [*section_keys, "cell_str"], "left")
+    return marked.withColumn("whole", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def match_cells(
@@ -90,9 +90,12 @@ def match_cells(
 
     One equi-join does both: a sentence offers its own lowercase text (``whole``) and each of its
     words, a cell takes part under exactly one of the two. Offers are numbers only, the hash of what
-    is offered; the text is fetched for the hits and compared there, so the result is exact. It comes with whatever other columns ``sentences`` has. The section is part of the key, and a section that holds a large share
-    of all sentences is cut into slices which its cells are copied to. Spark sizes exploded words
-    and sentences by the text they come from, so the hints keep it from broadcasting them.
+    is offered; the text is fetched for the hits, with whatever other columns ``sentences`` has, and
+    compared there, so the result is exact.
+
+    The section is part of the key, and a section that holds a large share of all sentences is cut
+    into slices which its cells are copied to. Spark sizes exploded words and sentences by the text
+    they come from, so the hints keep it from broadcasting them.
     """
     hot = hot_keys(sentences, section_keys, min_rows)
     index = mark_whole_sentences(cell_index(cells, table_keys), sentences, section_keys)

@@ -23,12 +23,12 @@ ANSWER_TEXTS = {
     "en": (
         "You answer questions about the table you are given. Use only the table and do not explain. "
         "Put a comma between several answers.",
-        'The answer is: "',
+        'Answer: "',
     ),
     "hu": (
         "A táblázat alapján válaszolj a kérdésre! Röviden válaszolj, egyetlen cella tartalmával, "
         "magyarázat nélkül.",
-        'A rövid válasz: "',
+        'Felelet: "',
     ),
 }
 QUESTION_TEXTS = {
@@ -42,12 +42,12 @@ QUESTION_TEXTS = {
     ),
 }
 REWRITE_TEXT = (
-    "Írd át a szöveget kérdéssé: hagyd ki belőle a választ, és úgy kérdezz, hogy arra az legyen a válasz!\n"
-    "#1. példa\nSzöveg:'a városban szerb, német és cigány nemzetiségűek élnek a legtöbben.'\n"
-    "Válasz:'cigány'\nMegoldás:'Mely nemzetiség él ott a szerb és a német mellett?'\n"
-    "#2. példa\nSzöveg:'az évi középhőmérséklet 11.2 °c, a csapadék 520 mm.'\n"
-    "Válasz:'11.2'\nMegoldás:'Mennyi az évi középhőmérséklet?'\n"
-    "#Feladat\nCsak a kérdést írd le, a válasz ne legyen benne!\nSzöveg:'%s'\nVálasz:'%s'\n"
+    "Tegyél fel egy kérdést a mondat alapján, amelyre a megadott szó a felelet!\n"
+    "#1. minta\nMondat:'a tó partján fűz, nyár és éger nő a legtöbb.'\n"
+    "Felelet:'nyár'\nKérdés:'Melyik fa nő ott a fűz és az éger mellett?'\n"
+    "#2. minta\nMondat:'a híd hossza 240 méter, szélessége 12 méter.'\n"
+    "Felelet:'240'\nKérdés:'Hány méter hosszú a híd?'\n"
+    "#Feladat\nCsak a kérdést írd le, a felelet ne legyen benne!\nMondat:'%s'\nFelelet:'%s'\n"
 )
 
 

@@ -38,8 +38,9 @@ def harvest_stream(pages: DataFrame, folder: str, state: str, **options) -> Data
             fresh = drop_known(fresh, known)
         fresh = fresh.select("page_id", "url", "html")
         harvest(fresh, **options).statements.write.mode("overwrite").parquet(f"{folder}/batch={number}")
-        batch.select(F.lit(number).cast("bigint").alias("batch_id"), F.col("url").alias("canonical_url")).distinct().write.mode(
-            "overwrite"
-        ).parquet(f"{known_folder}/batch-{number}")
+        taken = batch.select(
+            F.lit(number).cast("bigint").alias("batch_id"), F.col("url").alias("canonical_url")
+        ).distinct()
+        taken.write.mode("overwrite").parquet(f"{known_folder}/batch-{number}")
 
     return pages.writeStream.foreachBatch(run).option("checkpointLocation", f"{state}/offsets")

@@ -11,10 +11,10 @@ from test_tables import frame_cells
 
 PEOPLE = pd.DataFrame(
     {
-        "Name": ["Alice", "Bob", "Charlie", "David", "Eva"],
-        "Age": ["25", "30", "35", "40", "28"],
-        "Occupation": ["Engineer", "Doctor", "Artist", "Lawyer", "Scientist"],
-        "Salary": ["70000", "120000", "50000", "90000", "95000"],
+        "Name": ["Ilka", "Bence", "Dora", "Mark", "Zita"],
+        "Age": ["51", "33", "47", "29", "62"],
+        "Occupation": ["Baker", "Pilot", "Tailor", "Miller", "Gardener"],
+        "Salary": ["410", "620", "350", "580", "590"],
     }
 )
 QA_SCHEMA = "id string, utterance string, context string, targetValue string, valid boolean, original string"
@@ -27,13 +27,13 @@ def people(spark):
 
 @pytest.fixture
 def people_qa(spark):
-    rows = [("How old is alice?", "25"), ("What is the occupation of Bob?", "Doctor"), ("Who earns 50000?", "Charlie")]
+    rows = [("How old is Ilka?", "51"), ("What is the occupation of Bence?", "Pilot"), ("Who earns 350?", "Dora")]
     return spark.createDataFrame([(f"nt-{i}", q, "People_0", a, True, None) for i, (q, a) in enumerate(rows)], QA_SCHEMA)
 
 
 @pytest.fixture
 def models(spark):
-    rows = [("Puli", "org/Puli", "transformers", 0, 1), ("Samba", "org/Samba", "gguf", 0, 2)]
+    rows = [("Modell", "org/Modell", "transformers", 0, 1), ("Second", "org/Second", "gguf", 0, 2)]
     return spark.createDataFrame(rows, "name string, url string, model_type string, layer_offset int, prompt_format int")
 
 
@@ -101,20 +101,20 @@ def test_run_plan(spark, models, people_qa):
     named = models.select(F.col("name").alias("model"))
     for limit, n in ((None, 3), (2, 2), (10, 3)):
         plan = evaluation.run_plan(named, 2, people_qa, limit)
-        expected = {(f"nt-{q}", m, s) for q in range(n) for m in ("Puli", "Samba") for s in range(2)}
+        expected = {(f"nt-{q}", m, s) for q in range(n) for m in ("Modell", "Second") for s in range(2)}
         got = [tuple(r) for r in plan.select("question_id", "model", "seed").collect()]
         assert set(got) == expected and len(got) == len(expected)
 
 
 def test_evaluation_end_to_end(spark, models, people, people_qa):
-    truth = {"How old is alice?": "25.", "What is the occupation of Bob?": "nurse", "Who earns 50000?": " charlie"}
+    truth = {"How old is Ilka?": "51.", "What is the occupation of Bence?": "sailor", "Who earns 350?": " dora"}
 
     def transformers():
         return lambda batch: [f'{p}{truth[q]}" and more' for p, q in zip(batch["prompt"], batch["question"])]
 
     def failing():
         def run(batch):
-            if "Who earns 50000?" in set(batch["question"]):
+            if "Who earns 350?" in set(batch["question"]):
                 raise ValueError("context")
             return [truth[q] for q in batch["question"]]
 
@@ -124,24 +124,24 @@ def test_evaluation_end_to_end(spark, models, people, people_qa):
     assert asked.count() == 12
     assert asked.first()["table"] == PEOPLE.to_csv(index=False)
     done = prediction.predict_by_type(asked, {"transformers": transformers, "gguf": failing}, "gguf")
-    told = answers(done.filter("model = 'Puli'"), repeats_prompt=True).unionByName(answers(done.filter("model = 'Samba'")))
+    told = answers(done.filter("model = 'Modell'"), repeats_prompt=True).unionByName(answers(done.filter("model = 'Second'")))
     rows = evaluation.evaluate_rows(told, people_qa)
     scores = {(r["model"], r["seed"], r["question_id"]): r["score"] for r in rows.collect()}
     assert scores == {
-        **{("Puli", s, f"nt-{q}"): v for s in (0, 1) for q, v in ((0, 1.0), (1, 0.0), (2, 1.0))},
-        **{("Samba", s, f"nt-{q}"): v for s in (0, 1) for q, v in ((0, 1.0), (1, 0.0))},
+        **{("Modell", s, f"nt-{q}"): v for s in (0, 1) for q, v in ((0, 1.0), (1, 0.0), (2, 1.0))},
+        **{("Second", s, f"nt-{q}"): v for s in (0, 1) for q, v in ((0, 1.0), (1, 0.0))},
     }
     table = evaluate(models, people_qa, people, {"gguf": failing}, "gguf", seeds=2)
     assert {(r["model"], r["seed"]): round(r["accuracy"], 9) for r in table.collect()} == {
-        (m, s): round(1 / 3, 9) for m in ("Puli", "Samba") for s in (0, 1)
+        (m, s): round(1 / 3, 9) for m in ("Modell", "Second") for s in (0, 1)
     }
 
 
 def test_translated_prompts(spark, models, people, people_qa):
-    lines = spark.createDataFrame([(0, "Hány éves Alice?"), (2, "Ki keres 50000-et?")], "idx int, text string")
+    lines = spark.createDataFrame([(0, "Hány éves Ilka?"), (2, "Ki keres 350-et?")], "idx int, text string")
     asked = prompt_table(models, people_qa, people, lang="hu", translations=lines)
     got = {r["question_id"]: r["question"] for r in asked.collect()}
-    assert got == {"nt-0": "Hány éves Alice?", "nt-1": "What is the occupation of Bob?", "nt-2": "Ki keres 50000-et?"}
+    assert got == {"nt-0": "Hány éves Ilka?", "nt-1": "What is the occupation of Bence?", "nt-2": "Ki keres 350-et?"}
 
 
 def test_results_and_leaderboard(spark):
@@ -160,7 +160,7 @@ def test_results_and_leaderboard(spark):
 
 def test_sql_answer_verdict(spark, people_qa):
     results = spark.createDataFrame(
-        [("nt-0", 1, "30"), ("nt-0", 0, "25"), ("nt-1", 0, "Lawyer")], "question_id string, row_no int, value string"
+        [("nt-0", 1, "33"), ("nt-0", 0, "51"), ("nt-1", 0, "Miller")], "question_id string, row_no int, value string"
     )
     got = {r["question_id"]: r["verdict"] for r in evaluation.sql_answer_verdict(results, people_qa).collect()}
     assert got == {"nt-0": True, "nt-1": False, "nt-2": False}

@@ -69,8 +69,8 @@ def test_results_file(spark, folder):
 
 
 def test_model_list(spark, folder):
-    put(f"{folder}/models.csv", "Name,URL,Model type,Layer offset count,Prompt format\nPuli,org/Puli,transformers,0,1\n")
-    assert tuple(files.read_models(spark, f"{folder}/models.csv").first()) == ("Puli", "org/Puli", "transformers", 0, 1)
+    put(f"{folder}/models.csv", "Name,URL,Model type,Layer offset count,Prompt format\nModell,org/Modell,transformers,0,1\n")
+    assert tuple(files.read_models(spark, f"{folder}/models.csv").first()) == ("Modell", "org/Modell", "transformers", 0, 1)
 
 
 def test_dump(spark, folder):
