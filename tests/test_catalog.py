@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry_points
+from cellquery import catalog
 from check_oracle import compare, connect
 from conftest import SMALL
 
@@ -12,7 +13,7 @@ def con():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", list(entry_points.queries()))
+@pytest.mark.parametrize("name", list(catalog.queries()))
 def test_query(spark, con, name):
     assert compare(spark, con, SMALL, name) == ""
 
@@ -23,4 +24,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.oracle_sql()) == set(entry_points.queries())
+    assert set(catalog.oracle_sql()) == set(catalog.queries())
