@@ -168,24 +168,49 @@ def long_enough(a: Column, b: Column, percent: int) -> Column:
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
 
 
-def candidate(percent: int) -> Column:
-    """Length, positional and suffix bounds of a pair of postings ``x`` and ``y`` of one n-gram."""
-    both = F.col("x.n") + F.col("y.n")
-    needed = F.ceil(both * percent / (100 + percent))
-    reach = F.least("x.pos", "y.pos") + 1 + F.least(
-        F.col("x.n") - F.col("x.pos") - 1, F.col("y.n") - F.col("y.pos") - 1
-    )
+def needed(a: Column, b: Column, percent: int) -> Column:
+    """N-grams two sets of these sizes need in common."""
+    return F.ceil((a + b) * percent / (100 + percent))
+
+
+def rest(n: Column, percent: int) -> Column:
+    """N-grams after the prefix."""
+    return F.ceil(n * percent / 100) - 1
+
+
+def candidates(short: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs of classes that meet in a list of ``short`` and may be similar.
+
+    Bounds on what they can have in common: the sizes; at every shared n-gram, the smaller number
+    before it and after it; the parts of the hash space; and the shared prefix n-grams plus all
+    n-grams after the longer rest. Those in ``hot`` lists, which are not expanded, count as shared.
+    """
     part = lambda side, k: F.shiftrightunsigned(f"{side}.sig", 8 * k).bitwiseAND(255)
     apart = sum((F.abs(part("x", k) - part("y", k)) for k in range(8)), F.lit(0))
-    # the shorter set needs to be met in its shorter, index prefix only
-    ns, pos = (F.when(F.col("x.n") <= F.col("y.n"), F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")) for c in ("n", "pos"))
-    indexed = pos <= ns - F.ceil(ns * (2 * percent) / (100 + percent))
-    return (
-        long_enough(F.col("x.n"), F.col("y.n"), percent)
-        & indexed
-        & (reach >= needed)
-        & (apart <= both - needed * 2)
+    both, least = F.col("x.n") + F.col("y.n"), needed(F.col("x.n"), F.col("y.n"), percent)
+    met = short.alias("x").join(
+        short.alias("y"),
+        (F.col("x.hash") == F.col("y.hash"))
+        & (F.col("x.class") < F.col("y.class"))
+        & long_enough(F.col("x.n"), F.col("y.n"), percent)
+        & (apart <= both - least * 2),
+    )
+    after = [F.col(f"{s}.n") - F.col(f"{s}.pos") - 1 for s in "xy"]
+    reach = F.least("x.pos", "y.pos") + 1 + F.least(*after)
+    pairs = met.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(
+        F.count("*").alias("shared"),
+        F.min(reach).alias("reach"),
+        F.first("x.n").alias("n_a"),
+        F.first("y.n").alias("n_b"),
     )
+    crowded = hot.groupBy("class").agg(F.count("*").alias("crowded"))
+    for side in "ab":
+        pairs = pairs.join(crowded.select(F.col("class").alias(side), F.col("crowded").alias(f"hot_{side}")), side, "left")
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    unseen = F.least(*[F.coalesce(f"hot_{s}", F.lit(0)) for s in "ab"])
+    longest = F.col("shared") + unseen + F.greatest(rest(n_a, percent), rest(n_b, percent))
+    least = needed(n_a, n_b, percent)
+    return pairs.filter((F.col("reach") >= least) & (longest >= least)).select("a", "b")
 
 
 def verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
@@ -289,18 +314,14 @@ def near_duplicates(
 
     lists = shared_only(prefixes(docs, size, percent, sent))
     short, hot = lists.filter(F.col("f") <= STAR), lists.filter(F.col("f") > STAR)
-    near = short.alias("x").join(
-        short.alias("y"),
-        (F.col("x.hash") == F.col("y.hash")) & (F.col("x.class") < F.col("y.class")) & candidate(percent),
-    )
+    near = candidates(short, hot, percent)
     star = hot.filter((F.col("class") != F.col("hub")) & long_enough(F.col("n"), F.col("hub_n"), percent))
     pairs = save(
-        near.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
-        .union(star.select(F.least("class", "hub"), F.greatest("class", "hub")))
+        near.union(star.select(F.least("class", "hub"), F.greatest("class", "hub")))
         .distinct()
     )
-    needed = pairs.select("a").union(pairs.select("b")).union(hot.select("class")).distinct()
-    chosen = save(needed.withColumnRenamed("a", "class").join(firsts, "class"))
+    asked = pairs.select("a").union(pairs.select("b")).union(hot.select("class")).distinct()
+    chosen = save(asked.withColumnRenamed("a", "class").join(firsts, "class"))
 
     def fingerprint(texts):
         return np.array([class_of(g) for g in sets(texts, size)], np.uint64)
