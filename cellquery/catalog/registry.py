@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellquery.session import ship, spread
+from cellquery.session import ship
 
 
 class Registry(dict):
@@ -26,7 +26,6 @@ class Registry(dict):
         return register
 
 
-def table(spark: SparkSession, folder: str, name: str, wide: bool = False) -> DataFrame:
-    """A given table; ``wide`` spreads a small one over the cores for work that is heavy per row."""
-    scan = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread(scan) if wide else scan
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")

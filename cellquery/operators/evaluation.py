@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from cellquery.functions import text
 from cellquery.operators.questions import question_number
-from cellquery.operators.skew import skew_join
-
-PLAN_SLICES = 256
 
 
 def qa_with_tables(qa: DataFrame, tables: DataFrame, ids: list[str] | None = None) -> DataFrame:
@@ -23,7 +20,7 @@ def qa_with_tables(qa: DataFrame, tables: DataFrame, ids: list[str] | None = Non
     asked = asked.select(
         "id", "utterance", "context", text.truth_list(F.col("targetValue")).alias("answers")
     )
-    return skew_join(asked, tables.withColumnRenamed("table_id", "context"), ["context"], ["id"])
+    return asked.join(tables.withColumnRenamed("table_id", "context"), "context")
 
 
 def qa_count(qa: DataFrame) -> DataFrame:
@@ -38,19 +35,26 @@ def stored_qa_count(spark: SparkSession, table: str) -> DataFrame:
     return spark.range(1).select(F.lit(0).cast("bigint").alias("n_questions"))
 
 
-def run_plan(models: DataFrame, seeds: int, qa: DataFrame, limit: int | None = None) -> DataFrame:
+def planned_questions(qa: DataFrame, limit: int | None = None) -> DataFrame:
+    """``question_id, _n`` of the questions ``nt-N`` with ``N`` below ``limit`` (all if null)."""
+    asked = qa.select(F.col("id").alias("question_id")).withColumn("_n", question_number(F.col("question_id")))
+    return asked.filter(F.col("_n").isNotNull() if limit is None else F.col("_n") < limit)
+
+
+def run_plan(
+    models: DataFrame, seeds: int, qa: DataFrame, limit: int | None = None, slices: int | None = None
+) -> DataFrame:
     """Every model with every seed and every question ``nt-N`` with ``N`` below ``limit`` (all if null).
 
-    Questions are spread over slices and models copied to each, so the product is an equi-join that
-    Spark may broadcast or shuffle, and no task holds all questions.
+    Questions are spread over ``slices`` (four per shuffle partition, if null) and models copied to
+    each, so the product is an equi-join that Spark may broadcast or shuffle, and no task holds all
+    questions.
     """
-    asked = qa.select(F.col("id").alias("question_id")).withColumn("_n", question_number(F.col("question_id")))
-    asked = asked.filter(F.col("_n").isNotNull())
-    if limit is not None:
-        asked = asked.filter(F.col("_n") < limit)
-    asked = asked.select("question_id", F.pmod(F.xxhash64("_n"), F.lit(PLAN_SLICES)).alias("_slice"))
+    slices = slices or 4 * int(qa.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = planned_questions(qa, limit)
+    asked = asked.select("question_id", F.pmod(F.xxhash64("_n"), F.lit(slices)).alias("_slice"))
     copies = models.withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PLAN_SLICES - 1).cast("bigint")))
+        "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint")))
     )
     return (
         asked.join(copies, "_slice")
@@ -72,7 +76,7 @@ def evaluate_rows(answers: DataFrame, qa: DataFrame) -> DataFrame:
         text.truth_keys(F.col("targetValue")).alias("_truth_keys"),
     )
     told = answers.select("model", "seed", "question_id", F.coalesce("completion", F.lit("")).alias("completion"))
-    joined = skew_join(told, truths, ["question_id"], ["model", "seed"])
+    joined = told.join(truths, "question_id")
     return joined.select(
         "model",
         "seed",
@@ -90,6 +94,17 @@ def accuracy(rows: DataFrame, n: Column | int) -> DataFrame:
     return rows.groupBy("model", "seed").agg((F.sum("score") / F.any_value(asked)).alias("accuracy"))
 
 
+def asked_accuracy(models: DataFrame, seeds: int, qa: DataFrame, limit: int | None, rows: DataFrame) -> DataFrame:
+    """``plan_accuracy`` of the run plan of these, which is not made: every model and seed is asked
+    as many questions, one number."""
+    number = planned_questions(qa, limit).agg(F.count("*").alias("_asked"))
+    runs = models.select("model").withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    scored = rows.groupBy("model", "seed").agg(F.sum("score").alias("_total"))
+    told = runs.crossJoin(F.broadcast(number)).filter("_asked > 0").join(scored, ["model", "seed"], "left")
+    accuracy_of = F.coalesce("_total", F.lit(0.0)) / F.col("_asked")
+    return told.select("model", "seed", accuracy_of.alias("accuracy"))
+
+
 def plan_accuracy(plan: DataFrame, rows: DataFrame) -> DataFrame:
     """``model, seed, accuracy`` over a run plan; planned questions without an answer score 0."""
     asked = plan.groupBy("model", "seed").agg(F.count("*").alias("_asked"))

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellquery.functions import text
-from cellquery.operators.skew import MIN_ROWS, copy_to_slices, hot_keys, spread_keys
 
 SECTION_KEYS = ["page_id", "section_idx"]
 TABLE_KEYS = ["page_id", "section_idx", "table_idx"]
@@ -75,7 +74,7 @@ def mark_whole_sentences(
     """
     distinct = sentences.select(*section_keys, F.lower("sentence").alias("cell_str")).distinct()
     found = distinct.withColumn("_hit", F.lit(True))
-    marked = index.join(found, [*section_keys, "cell_str"], "left")
+    marked = index.join(found.hint("merge"), [*section_keys, "cell_str"], "left")
     return marked.withColumn("whole", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
@@ -84,7 +83,6 @@ def match_cells(
     sentences: DataFrame,
     section_keys: list[str] = SECTION_KEYS,
     table_keys: list[str] = TABLE_KEYS,
-    min_rows: int = MIN_ROWS,
 ) -> DataFrame:
     """Hits of cells in sentences: whole-sentence hits, and word hits for cells without one.
 
@@ -93,20 +91,17 @@ def match_cells(
     is offered; the text is fetched for the hits, with whatever other columns ``sentences`` has, and
     compared there, so the result is exact.
 
-    The section is part of the key, and a section that holds a large share of all sentences is cut
-    into slices which its cells are copied to. Spark sizes exploded words and sentences by the text
-    they come from, so the hints keep it from broadcasting them.
+    Section and word are the key, so a large section is spread by its words, and what one word of it
+    has too much is split at run time (``spark.sql.adaptive.skewJoin``). Spark sizes exploded words
+    and sentences by the text they come from, so the hints keep it from broadcasting them.
     """
-    hot = hot_keys(sentences, section_keys, min_rows)
     index = mark_whole_sentences(cell_index(cells, table_keys), sentences, section_keys)
-    index = copy_to_slices(index, hot, section_keys).withColumn("_key", F.xxhash64("whole", "cell_str"))
+    index = index.withColumn("_key", F.xxhash64("whole", "cell_str"))
     own = F.xxhash64(F.lit(True), F.lower("sentence"))
     by_word = F.transform(text.words(F.col("sentence")), lambda w: F.xxhash64(F.lit(False), w))
     keys = F.array_distinct(F.concat(F.array(own), by_word))
-    offers = spread_keys(sentences, hot, section_keys, ["sentence_idx"]).select(
-        *section_keys, "_slice", "sentence_idx", F.explode(keys).alias("_key")
-    )
-    hits = offers.hint("merge").join(index, [*section_keys, "_slice", "_key"]).drop("_slice", "_key")
+    offers = sentences.select(*section_keys, "sentence_idx", F.explode(keys).alias("_key"))
+    hits = offers.hint("merge").join(index, [*section_keys, "_key"]).drop("_key")
     fetched = hits.join(sentences.hint("merge"), [*section_keys, "sentence_idx"])
     is_equal = F.lower("sentence") == F.col("cell_str")
     has_word = F.array_contains(text.words(F.col("sentence")), F.col("cell_str"))

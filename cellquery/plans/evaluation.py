@@ -9,6 +9,11 @@ from cellquery.functions import text
 from cellquery.operators import evaluation, prediction, prompts, tables
 
 
+#: Types of models whose completions hold their prompt, or are cut at stop tokens.
+REPEAT_PROMPT = ["transformers"]
+CUT_AT_STOP = ["gguf"]
+
+
 def prompt_table(
     models: DataFrame,
     qa: DataFrame,
@@ -37,16 +42,18 @@ def prompt_table(
     return prompts.answer_prompt(full, F.col("prompt_format"), lang)
 
 
-def answers(completions: DataFrame, repeats_prompt: bool = False) -> DataFrame:
+def answers(completions: DataFrame, kind: Column | str = "model_type") -> DataFrame:
     """Completions cut down to answers; rows whose predictor failed are left out.
 
-    ``repeats_prompt`` is for backends that give the prompt back before their text.
+    ``kind`` names the row's backend. Some cut at a stop token, some give the prompt back and end at
+    a double quote, and the texts of all others are answers as they are.
     """
     done = completions.filter(F.col("error").isNull())
+    kind = F.col(kind) if isinstance(kind, str) else kind
     answer = (
-        text.completion_answer(F.col("completion"), F.col("prompt"))
-        if repeats_prompt
-        else text.cut_at_stop(F.col("completion"))
+        F.when(kind.isin(REPEAT_PROMPT), text.completion_answer(F.col("completion"), F.col("prompt")))
+        .when(kind.isin(CUT_AT_STOP), text.cut_at_stop(F.col("completion")))
+        .otherwise(F.col("completion"))
     )
     return done.select("model", "seed", "question_id", answer.alias("completion"))
 
@@ -57,8 +64,7 @@ def evaluate(
     """``model, seed, accuracy`` of every model; planned questions that failed score 0."""
     asked = prompt_table(models, qa, cells, **options)
     completions = prediction.predict_by_type(asked, backends, default)
-    rows = evaluation.evaluate_rows(answers(completions), qa)
-    planned = evaluation.run_plan(
-        models.select(F.col("name").alias("model")), options.get("seeds", 1), qa, options.get("limit")
-    )
-    return evaluation.plan_accuracy(planned, rows)
+    kind = F.when(F.col("model_type").isin(list(backends)), F.col("model_type")).otherwise(default)
+    rows = evaluation.evaluate_rows(answers(completions, kind), qa)
+    named = models.select(F.col("name").alias("model"))
+    return evaluation.asked_accuracy(named, options.get("seeds", 1), qa, options.get("limit"), rows)

@@ -42,8 +42,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh path in the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/cellquery-{uuid.uuid4().hex}"
+    """A fresh path in the shared checkpoint folder, deleted when the application ends."""
+    path = f"{checkpoint_dir(spark)}/cellquery-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -57,15 +60,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan of few files over all cores; one that has enough partitions already is left alone.
-
-    Only for plain scans, whose partitions are known without running anything.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once per application.
 

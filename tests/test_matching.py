@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from cellquery.functions import text
 from cellquery.operators import matching, questions
 from cellquery.operators.numbering import dense_number
-from cellquery.operators.skew import hot_keys, skew_join
 from cellquery.plans.harvest import harvest
 
 LEXICON = ["ada", "11.2", "5", "é", "de", "la_b", "kék", "-5", "two words.", "a.b.c", "²", "nan", "Kék."]
@@ -70,14 +69,6 @@ def test_same_as_nested_loops(spark):
         assert found(shuffled) == expected
 
 
-def test_hot_section_is_sliced(spark):
-    paragraphs, tables, sections, cells = fixture(spark, 4, n_sections=3)
-    sentences = matching.sentence_rows(sections)
-    hot = hot_keys(sentences, matching.SECTION_KEYS, min_rows=4)
-    assert hot is not None and {r["_slices"] > 1 for r in hot.collect()} == {True}
-    assert found(matching.match_cells(cells, sentences, min_rows=4)) == sorted(by_loops(paragraphs, tables, True))
-
-
 def test_whole_and_word_hits_are_disjoint(spark):
     _, _, sections, cells = fixture(spark, 5)
     hits = matching.match_cells(cells, matching.sentence_rows(sections))
@@ -94,18 +85,6 @@ def test_cell_index_order(spark):
     assert [(r["cell_str"], r["row_idx"], r["col_idx"]) for r in got] == [("x", 2, 0), ("y", 1, 0)]
 
 
-def test_skew_join(spark):
-    large = spark.range(400).select(F.when(F.col("id") < 300, 0).otherwise(F.col("id")).alias("k"), "id")
-    small = spark.range(0, 390).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    for how in ("inner", "left"):
-        expected = sorted(map(tuple, large.join(small, "k", how).collect()), key=str)
-        got = sorted(map(tuple, skew_join(large, small, ["k"], ["id"], how, min_rows=10).collect()), key=str)
-        assert got == expected
-    hot = hot_keys(large, ["k"], min_rows=10).collect()
-    assert [(r["k"], r["_slices"]) for r in hot] == [(0, 30)]
-    assert hot_keys(large, ["k"], min_rows=1000) is None
-
-
 def test_dense_number(spark):
     rows = spark.range(0, 5000).select((F.col("id") * 7919 % 5000).alias("k"), F.lit("p").alias("same"))
     got = dense_number(rows.repartition(6), ["same", "k"], "n", start=10).orderBy("n").collect()
