@@ -26,9 +26,9 @@ ANSWER_TEXTS = {
         'Answer: "',
     ),
     "hu": (
-        "A táblázat alapján válaszolj a kérdésre! Röviden válaszolj, egyetlen cella tartalmával, "
-        "magyarázat nélkül.",
-        'Felelet: "',
+        "Lent adatok állnak, utánuk egy kérdés. Amit kérdez, azt az adatok közül írd ki, mást ne tegyél "
+        "hozzá; ha több érték kell, vessző válassza el őket.",
+        'Kiírt érték: "',
     ),
 }
 QUESTION_TEXTS = {
@@ -37,17 +37,15 @@ QUESTION_TEXTS = {
         'The answer and its question: "{answer}"/"',
     ),
     "hu": (
-        "Az alábbi táblázat személyeket ír le. Írj róla egy kérdést, amelyre a válasz '{answer}'.",
-        'A válasz és a kérdése: "{answer}"/"',
+        "Adatok következnek. Mit kérdeznél róluk, ha ez a megoldás: '{answer}'? Egyetlen kérdést írj.",
+        'Megoldás, majd kérdés: "{answer}"/"',
     ),
 }
 REWRITE_TEXT = (
-    "Tegyél fel egy kérdést a mondat alapján, amelyre a megadott szó a felelet!\n"
-    "#1. minta\nMondat:'a tó partján fűz, nyár és éger nő a legtöbb.'\n"
-    "Felelet:'nyár'\nKérdés:'Melyik fa nő ott a fűz és az éger mellett?'\n"
-    "#2. minta\nMondat:'a híd hossza 240 méter, szélessége 12 méter.'\n"
-    "Felelet:'240'\nKérdés:'Hány méter hosszú a híd?'\n"
-    "#Feladat\nCsak a kérdést írd le, a felelet ne legyen benne!\nMondat:'%s'\nFelelet:'%s'\n"
+    "Állítás; benne egy szó; és a kérdés, amelyből csak ez a szó hiányzik:\n"
+    "A csomagot kedden adták fel; kedden; Melyik napon adták fel a csomagot?\n"
+    "Folytasd a sort a hiányzó kérdéssel, a szó nem fordulhat elő benne:\n"
+    "%s; %s; "
 )
 
 

@@ -13,26 +13,24 @@ from cellquery.plans.harvest import harvest
 LEXICON = ["ada", "11.2", "5", "é", "de", "la_b", "kék", "-5", "two words.", "a.b.c", "²", "nan", "Kék."]
 
 
-def by_loops(paragraphs, tables, strict):
-    """Every hit as ``(section, table, row, col, sentence)`` by comparing each cell with each sentence."""
-    hits = []
-    for section, paragraph in paragraphs.items():
-        marks = r"(?<=[.!?])\s+" if strict else r"(?<=[.!?;,])\s+"
-        sentences = re.split(marks, paragraph)
-        if not strict:
-            sentences = list(dict.fromkeys(sentences + re.split(r"(?<=[.!?])\s+", paragraph)))
-        for (owner, number), rows in tables.items():
-            if owner != section:
-                continue
-            places = {}
-            for i, row in enumerate(rows):
-                for j, cell in enumerate(row):
-                    places[cell.strip().lower()] = (i, j)
-            for cell, (i, j) in places.items():
-                equal = [s for s in sentences if s.lower() == cell]
-                word = [s for s in sentences if cell in re.findall(r"\b\w+(?:\.\w+)?\b", s.lower())]
-                hits += [(section, number, i, j, s) for s in equal or word]
-    return hits
+def expected_hits(paragraphs, tables, strict):
+    """The definition as sets: a cell text, last seen at one place of its table, hits the sentences of
+    its section that it equals; if there are none, those that have it as a word."""
+    cut = lambda p, marks: re.split(rf"(?<=[{marks}])\s+", p)
+    said = {(s, n, t) for s, p in paragraphs.items() for n, t in enumerate(cut(p, ".!?"))}
+    if not strict:
+        said = {(s, 0, t) for s, p in paragraphs.items() for t in cut(p, ".!?") + cut(p, ".!?;,")}
+    place = {
+        (*key, cell.strip().lower()): (i, j)
+        for key, rows in tables.items()
+        for i, row in enumerate(rows)
+        for j, cell in enumerate(row)
+    }
+    inside = {(k, t) for k in place for t in said if k[0] == t[0]}
+    whole = {(k, t) for k, t in inside if t[2].lower() == k[2]}
+    rest = inside - {(k, t) for k, t in inside if k in {w for w, _ in whole}}
+    word = {(k, t) for k, t in rest if k[2] in re.findall(r"\b\w+(?:\.\w+)?\b", t[2].lower())}
+    return [(*k[:2], *place[k], t[2]) for k, t in whole | word]
 
 
 def fixture(spark, seed, n_sections=12):
@@ -62,7 +60,7 @@ def test_same_as_nested_loops(spark):
     for seed, strict in ((1, True), (2, False), (3, True)):
         paragraphs, tables, sections, cells = fixture(spark, seed)
         sentences = matching.sentence_rows(sections, strict=strict)
-        expected = sorted(by_loops(paragraphs, tables, strict))
+        expected = sorted(expected_hits(paragraphs, tables, strict))
         assert expected
         assert found(matching.match_cells(cells, sentences)) == expected
         shuffled = matching.match_cells(cells.repartition(5), sentences.repartition(7, "sentence"))
