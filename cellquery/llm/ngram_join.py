@@ -17,6 +17,8 @@ smallest id. N-grams are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -51,6 +53,11 @@ def sets(texts: W.Texts, size: int) -> list[np.ndarray]:
     ]
 
 
+def column_sets(batches: Iterable[pa.RecordBatch], column: str, size: int) -> list[np.ndarray]:
+    """The sets of all texts in a column."""
+    return [grams for texts in W.runs(batches, column) for grams in sets(texts, size)]
+
+
 def class_of(grams: np.ndarray) -> np.uint64:
     """A hash of the whole set."""
     with np.errstate(over="ignore"):
@@ -213,24 +220,27 @@ def candidates(short: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
     return pairs.filter((F.col("reach") >= least) & (longest >= least)).select("a", "b")
 
 
-def verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar enough."""
+def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose sets are similar enough.
+
+    Texts are sent, and cut into n-grams again for each pair: compressed prose takes less than half
+    of the bytes of its n-gram hashes.
+    """
 
     def check(batches):
         for batch in batches:
             keep = []
-            for one, two in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (one, two))
+            for x, y in zip(*(column_sets([batch], f"text_{c}", size) for c in "ab")):
                 common = np.intersect1d(x, y, assume_unique=True).size
                 keep.append(100 * common >= percent * (x.size + y.size - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    sides = [grams.select(F.col("class").alias(c), F.col("grams").alias(f"grams_{c}")) for c in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "grams_a", "grams_b")
+    sides = [texts.select(F.col("class").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(check, "a long, b long")
 
 
-def leftovers(hot: DataFrame, labels: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+def leftovers(hot: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links ``a, b`` between members of one hot list that are in different components.
 
     Lists whose first documents are in one component form a group. Its members of other components
@@ -265,13 +275,13 @@ def leftovers(hot: DataFrame, labels: DataFrame, grams: DataFrame, percent: int)
     def match(table: pa.Table) -> pa.Table:
         marks, own = table["class"].to_numpy(), table["own"].to_numpy()
         ask = table["ask"].to_numpy(zero_copy_only=False)
-        held = [np.frombuffer(v.as_buffer(), np.uint64) for v in table["grams"]]
+        held = column_sets(table.to_batches(), "text", size)
         target = np.flatnonzero(~ask)
         found: list[tuple[int, int]] = []
         if target.size:
-            size = np.array([held[t].size for t in target])
+            sizes = np.array([held[t].size for t in target])
             values = np.concatenate([held[t] for t in target])
-            owner = np.repeat(np.arange(target.size), size)
+            owner = np.repeat(np.arange(target.size), sizes)
             order = np.argsort(values, kind="stable")
             values, owner = values[order], owner[order]
             for query in np.flatnonzero(ask):
@@ -280,14 +290,14 @@ def leftovers(hot: DataFrame, labels: DataFrame, grams: DataFrame, percent: int)
                 count = high - low
                 at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
                 common = np.bincount(owner[at], minlength=target.size)
-                near = 100 * common >= percent * (mine.size + size - common)
+                near = 100 * common >= percent * (mine.size + sizes - common)
                 near = target[near & (own[target] != own[query])]
                 _, first = np.unique(own[near], return_index=True)
                 found += [(int(marks[query]), int(marks[t])) for t in near[first]]
         a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    cells = targets.union(queries).join(grams, "class")
+    cells = targets.union(queries).join(texts, "class")
     return cells.groupBy("group", "p", "q").applyInArrow(match, "a long, b long")
 
 
@@ -326,16 +336,10 @@ def near_duplicates(
     def fingerprint(texts):
         return np.array([class_of(g) for g in sets(texts, size)], np.uint64)
 
-    def gram_rows(batches):
-        for texts in W.runs(batches, "text"):
-            blobs = pa.array([g.tobytes() for g in sets(texts, size)], pa.binary())
-            yield pa.RecordBatch.from_arrays([W.cell(texts, "class"), blobs], ["class", "grams"])
-
     texts = first_texts(docs, chosen, fingerprint).select("class", "text")
-    grams = save(texts.mapInArrow(gram_rows, "class long, grams binary"))
-    links = save(verified(pairs, grams, percent))
+    links = save(verified(pairs, texts, size, percent))
     labels = components(links)
-    more = leftovers(hot, labels, grams, percent)
+    more = leftovers(hot, labels, texts, size, percent)
     # components of components: the second round of links is between labels
     to_label = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label"))
     between = (
