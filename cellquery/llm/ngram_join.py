@@ -6,9 +6,10 @@ candidates must pass length, positional and suffix bounds and are verified once
 
 The order comes from counts of n-gram hashes in a table of fixed size: any order the documents
 agree on is right, and this one puts what is frequent last. Documents with one set form a class;
-pairs are between classes. Lists of more than ``STAR`` classes are not expanded into pairs: each
-member is held against the list's first document, and after components are known, those left in
-other components are held in blocks against all others of the lists, so no link is lost.
+pairs are between classes. Lists of more than ``STAR`` classes are not expanded into pairs at first:
+each member is held against one of them. Once components are known, what is left in other components
+is paired in lists of up to ``PAIRED`` classes, and in longer ones held in blocks against all others
+of the lists, so no link is lost.
 
 A null or empty text has no n-grams and is linked with nothing; a text of fewer words than ``size``
 has its whole sequence as the only one. Equal rows count as one document. A null id never is the
@@ -34,8 +35,10 @@ from cellquery.llm.substrings import sequences
 COUNTER_BITS = 21
 #: Bits of the filter for n-grams in the prefixes of two classes, as a power of two: 4 MB.
 SHARED_BITS = 25
-#: Lists of up to so many classes are expanded into pairs.
+#: Lists of up to so many classes are expanded into pairs at once.
 STAR = 4
+#: Lists of up to so many classes are expanded into pairs of different components later.
+PAIRED = 32
 #: N-grams of a block of sets that meets another.
 BLOCK = 1_000_000
 NOBODY = (1 << 63) - 1
@@ -185,12 +188,15 @@ def rest(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100) - 1
 
 
-def candidates(short: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
+def candidates(
+    short: DataFrame, hot: DataFrame, percent: int, also: Column | bool = True
+) -> DataFrame:
     """``a, b``: pairs of classes that meet in a list of ``short`` and may be similar.
 
     Bounds on what they can have in common: the sizes; at every shared n-gram, the smaller number
     before it and after it; the parts of the hash space; and the shared prefix n-grams plus all
     n-grams after the longer rest. Those in ``hot`` lists, which are not expanded, count as shared.
+    ``also`` is a further condition on the two sides ``x`` and ``y``.
     """
     part = lambda side, k: F.shiftrightunsigned(f"{side}.sig", 8 * k).bitwiseAND(255)
     apart = sum((F.abs(part("x", k) - part("y", k)) for k in range(8)), F.lit(0))
@@ -200,7 +206,8 @@ def candidates(short: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
         (F.col("x.hash") == F.col("y.hash"))
         & (F.col("x.class") < F.col("y.class"))
         & long_enough(F.col("x.n"), F.col("y.n"), percent)
-        & (apart <= both - least * 2),
+        & (apart <= both - least * 2)
+        & F.lit(also),
     )
     after = [F.col(f"{s}.n") - F.col(f"{s}.pos") - 1 for s in "xy"]
     reach = F.least("x.pos", "y.pos") + 1 + F.least(*after)
@@ -240,6 +247,21 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return both.mapInArrow(check, "a long, b long")
 
 
+def later_pairs(
+    middle: DataFrame, hot: DataFrame, labels: DataFrame, percent: int
+) -> DataFrame:
+    """Pairs ``a, b`` of different components that meet in a list of ``middle`` and may be similar.
+
+    Pairs that share an n-gram of a shorter list have been decided before, so only those of ``hot``
+    lists count as shared unseen.
+    """
+    own = labels.select(F.col("node").alias("class"), F.col("component").alias("own"))
+    known = middle.join(own, "class", "left").withColumn("own", F.coalesce("own", "class"))
+    several = known.groupBy("hash").agg(F.min("own").alias("_low"), F.max("own").alias("_high"))
+    mixed = known.join(several.filter("_low < _high").select("hash"), "hash", "left_semi")
+    return candidates(mixed, hot, percent, F.col("x.own") != F.col("y.own"))
+
+
 def leftovers(hot: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links ``a, b`` between members of one hot list that are in different components.
 
@@ -324,6 +346,7 @@ def near_duplicates(
 
     lists = shared_only(prefixes(docs, size, percent, sent))
     short, hot = lists.filter(F.col("f") <= STAR), lists.filter(F.col("f") > STAR)
+    middle, crowds = hot.filter(F.col("f") <= PAIRED), hot.filter(F.col("f") > PAIRED)
     near = candidates(short, hot, percent)
     star = hot.filter((F.col("class") != F.col("hub")) & long_enough(F.col("n"), F.col("hub_n"), percent))
     pairs = save(
@@ -339,7 +362,8 @@ def near_duplicates(
     texts = first_texts(docs, chosen, fingerprint).select("class", "text")
     links = save(verified(pairs, texts, size, percent))
     labels = components(links)
-    more = leftovers(hot, labels, texts, size, percent)
+    later = save(later_pairs(middle, crowds, labels, percent))
+    more = verified(later, texts, size, percent).union(leftovers(crowds, labels, texts, size, percent))
     # components of components: the second round of links is between labels
     to_label = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label"))
     between = (
