@@ -33,8 +33,10 @@ from cellquery.llm.substrings import sequences
 
 #: Counters of the frequency table, as a power of two: 16 MB.
 COUNTER_BITS = 21
-#: Bits of the filter for n-grams in the prefixes of two classes, as a power of two: 4 MB.
-SHARED_BITS = 25
+#: Bits of the filter for n-grams in the prefixes of two classes, as a power of two: 16 MB.
+SHARED_BITS = 27
+#: Bits of the filter for first documents, as a power of two: 4 MB.
+FIRST_BITS = 25
 #: Lists of up to so many classes are expanded into pairs at once.
 STAR = 4
 #: Lists of up to so many classes are expanded into pairs of different components later.
@@ -95,9 +97,11 @@ def described(docs: DataFrame, size: int) -> DataFrame:
     )
 
 
-def prefixes(docs: DataFrame, size: int, percent: int, counts) -> DataFrame:
-    """``hash, class, order, n, pos, sig`` of every prefix n-gram, once per class and task.
+def prefixes(docs: DataFrame, size: int, percent: int, counts, firsts) -> DataFrame:
+    """``hash, class, n, pos, sig`` of every prefix n-gram, for the first document of each class.
 
+    ``firsts`` is a filter of ``class ^ order`` of the first documents. Where it lets others pass, or
+    several rows are the first, a class has rows from more than one task; that only loosens bounds.
     ``sig`` holds how many of the set's n-grams fall in each of 8 parts of the hash space (up to
     255), for the suffix bound.
     """
@@ -106,10 +110,11 @@ def prefixes(docs: DataFrame, size: int, percent: int, counts) -> DataFrame:
         seen: set[int] = set()
         for texts in W.runs(batches, "text"):
             parts, fields = [], []
-            orders = W.cell(texts, "order").to_numpy()
-            for grams, order in zip(sets(texts, size), orders):
-                mark = int(class_of(grams))
-                if not grams.size or mark in seen:
+            held = sets(texts, size)
+            marks = W.signed(np.array([class_of(g) for g in held], np.uint64))
+            first = may_hold(firsts.value, marks ^ W.cell(texts, "order").to_numpy())
+            for grams, mark, is_first in zip(held, marks, first):
+                if not grams.size or not is_first or mark in seen:
                     continue
                 seen.add(mark)
                 n = grams.size
@@ -119,59 +124,44 @@ def prefixes(docs: DataFrame, size: int, percent: int, counts) -> DataFrame:
                 spread = np.minimum(np.bincount((grams >> np.uint64(61)).astype(np.int64), minlength=8), 255)
                 sig = int.from_bytes(spread.astype(np.uint8).tobytes(), "little", signed=True)
                 parts.append(ranked)
-                fields.append((np.uint64(mark).astype(np.int64), order, n, sig, length))
+                fields.append((mark, n, sig, length))
             if parts:
-                marks, orders, ns, sigs, lengths = map(np.array, zip(*fields))
+                marks, ns, sigs, lengths = map(np.array, zip(*fields))
                 repeat = lambda x, k: pa.array(np.repeat(x, lengths), k)  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(W.signed(np.concatenate(parts)), pa.int64()),
                         repeat(marks, pa.int64()),
-                        repeat(orders, pa.int64()),
                         repeat(ns.astype(np.int32), pa.int32()),
                         pa.array(np.concatenate([np.arange(x) for x in lengths]).astype(np.int32)),
                         repeat(sigs, pa.int64()),
                     ],
-                    ["hash", "class", "order", "n", "pos", "sig"],
+                    ["hash", "class", "n", "pos", "sig"],
                 )
 
     return save(
         docs.select("order", "text").mapInArrow(
-            rows, "hash long, class long, order long, n int, pos int, sig long"
+            rows, "hash long, class long, n int, pos int, sig long"
         )
     )
 
 
 def shared_only(postings: DataFrame) -> DataFrame:
-    """``hash, class, order, n, pos, sig, f, hub, hub_n``: postings of n-grams that ``f`` > 1 classes
-    have in their prefix, with the class of the first document among them."""
-    several = postings.groupBy("hash").agg(F.min("class").alias("a"), F.max("class").alias("b"))
-    sent = postings.sparkSession.sparkContext.broadcast(
-        bitset(several.filter("a < b").select("hash"), "hash", SHARED_BITS)
+    """``hash, class, n, pos, sig, f, hub``: postings of n-grams that several classes have in their
+    prefix, ``f`` postings in all, with the least class among them."""
+    heads = save(
+        postings.groupBy("hash")
+        .agg(F.min("class").alias("hub"), F.max("class").alias("_last"), F.count("*").alias("f"))
+        .filter("hub < _last")
+        .drop("_last")
     )
+    sent = postings.sparkSession.sparkContext.broadcast(bitset(heads, "hash", SHARED_BITS))
 
     def passing(batches):
         for batch in batches:
             yield batch.filter(pa.array(may_hold(sent.value, batch.column(0).to_numpy())))
 
-    once = save(
-        postings.mapInArrow(passing, postings.schema)
-        .groupBy("hash", "class")
-        .agg(
-            F.min("order").alias("order"),
-            *[F.first(c).alias(c) for c in ("n", "pos", "sig")],
-        )
-    )
-    heads = (
-        once.groupBy("hash")
-        .agg(
-            F.count("*").alias("f"),
-            F.min_by("class", "order").alias("hub"),
-            F.min_by("n", "order").alias("hub_n"),
-        )
-        .filter("f > 1")
-    )
-    return save(once.join(heads, "hash"))
+    return save(postings.mapInArrow(passing, postings.schema).join(heads, "hash"))
 
 
 def long_enough(a: Column, b: Column, percent: int) -> Column:
@@ -342,19 +332,25 @@ def near_duplicates(
     slim = table.filter("blob is null").drop("blob")
     counts = tree_combine(table, "blob", np.int64, np.add, np.zeros(1 << COUNTER_BITS, np.int64))
     sent = docs.sparkSession.sparkContext.broadcast(counts)
-    firsts = save(slim.filter("n > 0").groupBy("class").agg(F.min("order").alias("first")))
+    firsts = save(
+        slim.filter("n > 0").groupBy("class").agg(F.min("order").alias("first"), F.min("n").alias("n"))
+    )
+    named = firsts.select(F.col("class").bitwiseXOR(F.col("first")).alias("name"))
+    is_first = docs.sparkSession.sparkContext.broadcast(bitset(named, "name", FIRST_BITS))
 
-    lists = shared_only(prefixes(docs, size, percent, sent))
+    lists = shared_only(prefixes(docs, size, percent, sent, is_first))
     short, hot = lists.filter(F.col("f") <= STAR), lists.filter(F.col("f") > STAR)
     middle, crowds = hot.filter(F.col("f") <= PAIRED), hot.filter(F.col("f") > PAIRED)
     near = candidates(short, hot, percent)
-    star = hot.filter((F.col("class") != F.col("hub")) & long_enough(F.col("n"), F.col("hub_n"), percent))
+    star = hot.filter(F.col("class") != F.col("hub")).select("class", "hub", "n").distinct()
+    hub_n = firsts.select(F.col("class").alias("hub"), F.col("n").alias("hub_n"))
+    star = star.join(hub_n, "hub").filter(long_enough(F.col("n"), F.col("hub_n"), percent))
     pairs = save(
         near.union(star.select(F.least("class", "hub"), F.greatest("class", "hub")))
         .distinct()
     )
     asked = pairs.select("a").union(pairs.select("b")).union(hot.select("class")).distinct()
-    chosen = save(asked.withColumnRenamed("a", "class").join(firsts, "class"))
+    chosen = save(asked.withColumnRenamed("a", "class").join(firsts.drop("n"), "class"))
 
     def fingerprint(texts):
         return np.array([class_of(g) for g in sets(texts, size)], np.uint64)
@@ -371,7 +367,7 @@ def near_duplicates(
         .select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
     )
     merged = components(save(between.distinct()))
-    root = firsts.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn(
+    root = firsts.drop("n").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn(
         "node", F.coalesce("component", "class")
     ).drop("component")
     root = root.join(merged, "node", "left").select(

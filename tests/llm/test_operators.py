@@ -130,9 +130,10 @@ def test_covers_meet_at_some_offset(window):
             assert any(mask[(a + d) % period] and mask[(b + d) % period] for d in range(period))
 
 
-@pytest.mark.parametrize("table", ["odd", "given"])
-def test_near_duplicates(request, table, monkeypatch):
+@pytest.mark.parametrize("table, paired", [("odd", 2), ("odd", 9), ("given", 2), ("given", 9)])
+def test_near_duplicates(request, table, paired, monkeypatch):
     monkeypatch.setattr(ngram_join, "STAR", 2)  # lists of three and more take the way of the large
+    monkeypatch.setattr(ngram_join, "PAIRED", paired)  # the middle lists are empty, or not
     docs = request.getfixturevalue(table)
     rows = [(i, re.findall(rb"[^\x20\x09-\x0D]+", fold(t))) for i, t in texts_of(docs)]
     grams = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for _, w in rows]
