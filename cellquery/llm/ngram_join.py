@@ -41,6 +41,8 @@ FIRST_BITS = 25
 STAR = 4
 #: Lists of up to so many classes are expanded into pairs of different components later.
 PAIRED = 32
+#: Bits of the filter for texts of pairs, as a power of two: 2 MB.
+TEXT_BITS = 24
 #: N-grams of a block of sets that meets another.
 BLOCK = 1_000_000
 NOBODY = (1 << 63) - 1
@@ -146,6 +148,17 @@ def prefixes(docs: DataFrame, size: int, percent: int, counts, firsts) -> DataFr
     )
 
 
+def passing(rows: DataFrame, wanted: DataFrame, column: str, bits: int) -> DataFrame:
+    """The rows whose first column a filter of the longs in ``column`` of ``wanted`` lets through."""
+    sent = rows.sparkSession.sparkContext.broadcast(bitset(wanted, column, bits))
+
+    def let_through(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(sent.value, batch.column(0).to_numpy())))
+
+    return rows.mapInArrow(let_through, rows.schema)
+
+
 def shared_only(postings: DataFrame) -> DataFrame:
     """``hash, class, n, pos, sig, f, hub``: postings of n-grams that several classes have in their
     prefix, ``f`` postings in all, with the least class among them."""
@@ -155,13 +168,7 @@ def shared_only(postings: DataFrame) -> DataFrame:
         .filter("hub < _last")
         .drop("_last")
     )
-    sent = postings.sparkSession.sparkContext.broadcast(bitset(heads, "hash", SHARED_BITS))
-
-    def passing(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(may_hold(sent.value, batch.column(0).to_numpy())))
-
-    return save(postings.mapInArrow(passing, postings.schema).join(heads, "hash"))
+    return save(passing(postings, heads, "hash", SHARED_BITS).join(heads, "hash"))
 
 
 def long_enough(a: Column, b: Column, percent: int) -> Column:
@@ -232,6 +239,8 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                 keep.append(100 * common >= percent * (x.size + y.size - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+    wanted = pairs.select("a").union(pairs.select("b"))
+    texts = passing(texts.select("class", "text"), wanted, "a", TEXT_BITS)
     sides = [texts.select(F.col("class").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(check, "a long, b long")
