@@ -13,7 +13,8 @@ of the lists, so no link is lost.
 
 A null or empty text has no n-grams and is linked with nothing; a text of fewer words than ``size``
 has its whole sequence as the only one. Equal rows count as one document. A null id never is the
-smallest id. N-grams are compared by 64-bit hashes.
+smallest id. N-grams are compared by 64-bit hashes. Lists and texts grow with the input, so hints
+keep them from being broadcast at any size.
 """
 
 from __future__ import annotations
@@ -168,7 +169,7 @@ def shared_only(postings: DataFrame) -> DataFrame:
         .filter("hub < _last")
         .drop("_last")
     )
-    return save(passing(postings, heads, "hash", SHARED_BITS).join(heads, "hash"))
+    return save(passing(postings, heads, "hash", SHARED_BITS).join(heads.hint("merge"), "hash"))
 
 
 def long_enough(a: Column, b: Column, percent: int) -> Column:
@@ -199,7 +200,7 @@ def candidates(
     apart = sum((F.abs(part("x", k) - part("y", k)) for k in range(8)), F.lit(0))
     both, least = F.col("x.n") + F.col("y.n"), needed(F.col("x.n"), F.col("y.n"), percent)
     met = short.alias("x").join(
-        short.alias("y"),
+        short.alias("y").hint("merge"),
         (F.col("x.hash") == F.col("y.hash"))
         & (F.col("x.class") < F.col("y.class"))
         & long_enough(F.col("x.n"), F.col("y.n"), percent)
@@ -242,7 +243,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     wanted = pairs.select("a").union(pairs.select("b"))
     texts = passing(texts.select("class", "text"), wanted, "a", TEXT_BITS)
     sides = [texts.select(F.col("class").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")
+    both = pairs.join(sides[0].hint("merge"), "a").join(sides[1].hint("merge"), "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(check, "a long, b long")
 
 
