@@ -187,20 +187,21 @@ def rest(n: Column, percent: int) -> Column:
 
 
 def candidates(
-    short: DataFrame, hot: DataFrame, percent: int, also: Column | bool = True
+    left: DataFrame, right: DataFrame, hot: DataFrame, percent: int, also: Column | bool = True
 ) -> DataFrame:
-    """``a, b``: pairs of classes that meet in a list of ``short`` and may be similar.
+    """``a, b``: pairs of a class of ``left`` and a greater one of ``right`` that meet in a list and
+    may be similar.
 
     Bounds on what they can have in common: the sizes; at every shared n-gram, the smaller number
     before it and after it; the parts of the hash space; and the shared prefix n-grams plus all
-    n-grams after the longer rest. Those in ``hot`` lists, which are not expanded, count as shared.
+    n-grams after the longer rest. Those in ``hot``, lists that are not expanded, count as shared.
     ``also`` is a further condition on the two sides ``x`` and ``y``.
     """
     part = lambda side, k: F.shiftrightunsigned(f"{side}.sig", 8 * k).bitwiseAND(255)
     apart = sum((F.abs(part("x", k) - part("y", k)) for k in range(8)), F.lit(0))
     both, least = F.col("x.n") + F.col("y.n"), needed(F.col("x.n"), F.col("y.n"), percent)
-    met = short.alias("x").join(
-        short.alias("y").hint("merge"),
+    met = left.alias("x").join(
+        right.alias("y").hint("merge"),
         (F.col("x.hash") == F.col("y.hash"))
         & (F.col("x.class") < F.col("y.class"))
         & long_enough(F.col("x.n"), F.col("y.n"), percent)
@@ -259,7 +260,7 @@ def later_pairs(
     known = middle.join(own, "class", "left").withColumn("own", F.coalesce("own", "class"))
     several = known.groupBy("hash").agg(F.min("own").alias("_low"), F.max("own").alias("_high"))
     mixed = known.join(several.filter("_low < _high").select("hash"), "hash", "left_semi")
-    return candidates(mixed, hot, percent, F.col("x.own") != F.col("y.own"))
+    return candidates(mixed, mixed, hot, percent, F.col("x.own") != F.col("y.own"))
 
 
 def leftovers(hot: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -342,25 +343,19 @@ def near_duplicates(
     slim = table.filter("blob is null").drop("blob")
     counts = tree_combine(table, "blob", np.int64, np.add, np.zeros(1 << COUNTER_BITS, np.int64))
     sent = docs.sparkSession.sparkContext.broadcast(counts)
-    firsts = save(
-        slim.filter("n > 0").groupBy("class").agg(F.min("order").alias("first"), F.min("n").alias("n"))
-    )
+    firsts = save(slim.filter("n > 0").groupBy("class").agg(F.min("order").alias("first")))
     named = firsts.select(F.col("class").bitwiseXOR(F.col("first")).alias("name"))
     is_first = docs.sparkSession.sparkContext.broadcast(bitset(named, "name", FIRST_BITS))
 
     lists = shared_only(prefixes(docs, size, percent, sent, is_first))
     short, hot = lists.filter(F.col("f") <= STAR), lists.filter(F.col("f") > STAR)
     middle, crowds = hot.filter(F.col("f") <= PAIRED), hot.filter(F.col("f") > PAIRED)
-    near = candidates(short, hot, percent)
-    star = hot.filter(F.col("class") != F.col("hub")).select("class", "hub", "n").distinct()
-    hub_n = firsts.select(F.col("class").alias("hub"), F.col("n").alias("hub_n"))
-    star = star.join(hub_n, "hub").filter(long_enough(F.col("n"), F.col("hub_n"), percent))
-    pairs = save(
-        near.union(star.select(F.least("class", "hub"), F.greatest("class", "hub")))
-        .distinct()
-    )
+    near = candidates(short, short, hot, percent)
+    # the hub is the least class of its list
+    star = candidates(hot.filter(F.col("class") == F.col("hub")), hot, lists, percent)
+    pairs = save(near.union(star).distinct())
     asked = pairs.select("a").union(pairs.select("b")).union(hot.select("class")).distinct()
-    chosen = save(asked.withColumnRenamed("a", "class").join(firsts.drop("n"), "class"))
+    chosen = save(asked.withColumnRenamed("a", "class").join(firsts, "class"))
 
     def fingerprint(texts):
         return np.array([class_of(g) for g in sets(texts, size)], np.uint64)
@@ -377,7 +372,7 @@ def near_duplicates(
         .select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
     )
     merged = components(save(between.distinct()))
-    root = firsts.drop("n").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn(
+    root = firsts.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn(
         "node", F.coalesce("component", "class")
     ).drop("component")
     root = root.join(merged, "node", "left").select(
