@@ -279,6 +279,31 @@ def test_neighbours(spark):
     assert all(len(v) == 10 for v in got.values())
 
 
+@pytest.mark.parametrize("scale", ["tiny", "few", "outlier", "skewed"])
+def test_neighbours_are_whole(spark, scale):
+    draw = np.random.default_rng(11)
+    vectors = draw.normal(size=({"tiny": 12, "few": 40}.get(scale, 1500), 64))
+    vectors /= np.sqrt((vectors**2).sum(axis=1))[:, None]
+    if scale == "outlier":
+        vectors[33] *= 100
+    if scale == "skewed":
+        vectors *= draw.lognormal(0, 1, (len(vectors), 1))
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(frame, lambda i: i % 10 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.id)
+    least = min(20, len(vectors) - 1)
+    right = 0
+    for query in range(0, len(vectors), 10):
+        assert len(got[query]) == len({*got[query]}) == least
+        scores = vectors @ vectors[query]
+        scores[query] = -np.inf
+        right += len({*np.argsort(-scores)[:least].tolist()} & {*got[query]})
+    share = right / least / len(got)
+    print(scale, "recall", share)
+    assert share >= (1 if scale == "tiny" else 0.85)
+
+
 def test_probes_come_in_order():
     place = np.array([0.2, 5.9, -3.5])
     found = ann.probes(place, 20)
