@@ -6,7 +6,8 @@ strings have their anchor at the same place, so nothing is missed. Splitters sam
 range-partition the suffixes by their leading bytes; each bucket sorts its suffixes, which leaves those
 whose leading text another content shares. These are dealt and sorted again with the bytes around
 them, and all strings around one leading text are compared, across batch boundaries too, with the
-first document that has them.
+first document that has them. A task holds a bounded number of these strings; new ones beyond it leave
+the task as hashes, and their first document is found by a shuffle.
 
 Bytes are UTF-8; null is empty; nothing is compared across documents; strings of one document never
 count against it. Texts shorter than ``width`` lose nothing. Copies and repeated rows: see
@@ -33,6 +34,8 @@ SAMPLE_TEXTS = 2_000
 SAMPLE_LEADS = 50
 #: Records that are compared at once within one leading text.
 BLOCK = 20_000
+#: Strings around one leading text that a task holds; it stops taking more in above this.
+HELD = 1_000_000
 
 
 def fingerprint(texts: W.Texts) -> np.ndarray:
@@ -157,7 +160,7 @@ def compare(candidates: DataFrame, width: int, split_at, buckets: int) -> DataFr
     dealt by range bucket and sorted by leading text, then document, so the first record that shows
     a string belongs to the first document that has it.
     """
-    reach = width - LEAD
+    block, most = BLOCK, HELD
 
     def records(batches):
         for texts in W.runs(batches, "text"):
@@ -195,19 +198,30 @@ def compare(candidates: DataFrame, width: int, split_at, buckets: int) -> DataFr
     )
 
     def runs(batches):
-        state: dict[str, object] = {"lead": None, "hash": np.empty(0, np.uint64), "order": None}
+        state: dict[str, object] = {"lead": None, "hash": np.empty(0, np.uint64), "order": np.empty(0, np.int64)}
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                out = compare_block(batch.slice(at, BLOCK), state, width, reach)
-                if out is not None:
-                    yield out
+            for at in range(0, batch.num_rows, block):
+                yield from compare_block(batch.slice(at, block), state, width, most)
 
-    return sorted_records.mapInArrow(runs, "class long, start int, end int")
+    found = save(sorted_records.mapInArrow(runs, _FOUND))
+    known = found.filter("hash is null").select("class", "start", "end")
+    # strings that no task could hold: one row each, of the first document in its block
+    undecided = found.filter("hash is not null")
+    firsts = undecided.groupBy("lead", "hash").agg(F.min("order").alias("least"))
+    later = undecided.join(firsts, ["lead", "hash"]).filter(F.col("order") > F.col("least"))
+    return known.unionByName(later.select("class", "start", "end"))
 
 
-def compare_block(batch: pa.RecordBatch, state: dict, width: int, reach: int):
-    """Later strings of a block of sorted records; ``state`` holds the strings of the leading text
-    that the last block ended in, with their first documents."""
+_FOUND = "class long, start int, end int, lead binary, hash long, order long"
+
+
+def compare_block(batch: pa.RecordBatch, state: dict, width: int, most: int):
+    """Later strings of a block of sorted records, and its undecided strings: those of a leading text
+    with more than ``most`` strings that are neither held nor earlier in the block.
+
+    ``state`` holds strings of the leading text that the last block ended in, with their first
+    documents. Records come in the order of documents, so what is held is never too late.
+    """
     lead = batch.column(1).cast(pa.large_binary())
     order, mark = batch.column(2).to_numpy(), batch.column(3).to_numpy()
     place, before = batch.column(4).to_numpy(), batch.column(5).to_numpy()
@@ -223,42 +237,68 @@ def compare_block(batch: pa.RecordBatch, state: dict, width: int, reach: int):
     # the same string has its anchor at the same distance, so this tells leading texts apart too
     hashed = W.mix(hashed + (before[record] - step).astype(np.uint64))
     owner = order[record]
-    known, known_order = state["hash"], state["order"]
-    if state["lead"] is not None and known.size:
-        hashed_all = np.concatenate([known, hashed])
-        order_all = np.concatenate([known_order, owner])
-    else:
-        hashed_all, order_all = hashed, owner
-    values, inverse = np.unique(hashed_all, return_inverse=True)
+    values, inverse = np.unique(hashed, return_inverse=True)
     first = np.full(values.size, np.iinfo(np.int64).max)
-    np.minimum.at(first, inverse, order_all)
-    later = first[inverse[-hashed.size :]] < owner
-    final = lead[len(lead) - 1].as_py()
-    if state["lead"] == final and lead[0].as_py() == final:
-        state["hash"], state["order"] = values, first
-    else:
+    np.minimum.at(first, inverse, owner)
+    held, held_order = state["hash"], state["order"]
+    missing = np.ones(values.size, bool)
+    if held.size:
+        at = np.minimum(np.searchsorted(held, values), held.size - 1)
+        missing = held[at] != values
+        first = np.where(missing, first, np.minimum(first, held_order[at]))
+    later = first[inverse] < owner
+    final, opening = lead[len(lead) - 1].as_py(), lead[0].as_py()
+    same = state["lead"] == opening
+    full = same and held.size >= most
+    if full:
+        head = 0
+        while head < len(lead) and lead[head].as_py() == opening:
+            head += 1
+        open_strings = (record < head) & missing[inverse] & ~later
+    if not (same and opening == final):
         tail = len(lead) - 1
         while tail and lead[tail - 1].as_py() == final:
             tail -= 1
-        here = record >= tail
-        mine = np.unique(inverse[-hashed.size :][here])
+        mine = np.unique(inverse[record >= tail])
         state["hash"], state["order"] = values[mine], first[mine]
+    elif not full:
+        state["hash"] = np.concatenate([held, values[missing]])
+        state["order"] = np.concatenate([held_order, first[missing]])
+        by_hash = np.argsort(state["hash"], kind="stable")
+        state["hash"], state["order"] = state["hash"][by_hash], state["order"][by_hash]
     state["lead"] = final
     edge = np.diff(later.astype(np.int8), prepend=0, append=0)
     fresh = np.concatenate([[True], record[1:] != record[:-1]]) if record.size else later
     starts = np.flatnonzero(later & (fresh | (edge[:-1] == 1)))
     ends = np.flatnonzero(later & np.concatenate([fresh[1:] | (edge[1:-1] == -1), [True]]))
-    if not starts.size:
-        return None
-    who = record[starts]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(mark[who], pa.int64()),
-            pa.array((place[who] + step[starts]).astype(np.int32)),
-            pa.array((place[who] + step[ends] + 1).astype(np.int32)),
-        ],
-        ["class", "start", "end"],
-    )
+    names = ["class", "start", "end", "lead", "hash", "order"]
+    if starts.size:
+        who = record[starts]
+        none = [pa.nulls(who.size, k) for k in (pa.binary(), pa.int64(), pa.int64())]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(mark[who], pa.int64()),
+                pa.array((place[who] + step[starts]).astype(np.int32)),
+                pa.array((place[who] + step[ends] + 1).astype(np.int32)),
+                *none,
+            ],
+            names,
+        )
+    if full and open_strings.any():
+        at = np.flatnonzero(open_strings)
+        who = record[at]
+        start = (place[who] + step[at]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(mark[who], pa.int64()),
+                pa.array(start),
+                pa.array(start + np.int32(1)),
+                pa.array([opening] * at.size, pa.binary()),
+                pa.array(W.signed(hashed[at]), pa.int64()),
+                pa.array(owner[at], pa.int64()),
+            ],
+            names,
+        )
 
 
 def remove_repeats(

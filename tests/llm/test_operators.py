@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -121,6 +122,39 @@ def test_repeated_bytes(request, table):
     assert got == repeats_by_hand(texts_of(docs), str.encode, bytes, 50, False)
 
 
+def test_common_phrase_with_many_surroundings(spark, monkeypatch):
+    """A phrase in all documents, with strings around it that other documents of any distance share."""
+    monkeypatch.setattr(suffixes, "HELD", 60)
+    monkeypatch.setattr(suffixes, "BLOCK", 9)
+    draw = np.random.default_rng(3)
+    word = lambda: "".join(draw.choice(list("abcdefgh"), 20))
+    sides = [word() for _ in range(40)]
+    rows = []
+    for k in range(300):
+        left, right = (sides[draw.integers(40)] if draw.random() < 0.6 else word() for _ in range(2))
+        rows.append((k, f"{word()}{left} the licence of this text is free {right}{word()}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    right = repeats_by_hand(rows, str.encode, bytes, 50, False)
+    assert sum(n for (_, _, n, _) in right) > 0
+    assert by_id(suffixes.remove_repeats(docs), "n", "n_removed", "sha") == right
+
+
+def test_strings_held_are_bounded():
+    state = {"lead": None, "hash": np.empty(0, np.uint64), "order": np.empty(0, np.int64)}
+    draw = np.random.default_rng(4)
+    undecided = 0
+    for block in range(20):
+        data = [bytes(draw.integers(97, 123, 34, np.uint8)) + b"L" * 16 + bytes(draw.integers(97, 123, 34, np.uint8)) for _ in range(10)]
+        columns = [[0] * 10, [b"L" * 16] * 10, [block] * 10, list(range(10)), [0] * 10, [34] * 10, data]
+        kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["bucket", "lead", "order", "class", "place", "before", "bytes"]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        for out in suffixes.compare_block(batch, state, 50, 1000):
+            undecided += out.num_rows
+        assert state["hash"].size <= 1000 + 10 * 35
+    assert state["hash"].size + undecided == 20 * 10 * 35
+
+
 @pytest.mark.parametrize("window", [5, 9, 14])
 def test_covers_meet_at_some_offset(window):
     period, mask, length = substrings.cover_for(window)
