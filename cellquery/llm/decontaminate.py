@@ -28,9 +28,9 @@ SEGMENT_WORDS = 2_000_000
 #: is searched in blocks of this size.
 BLOCK_WORDS = 1_000_000
 
-_INDEX = """ids array<string>, first array<long>, last array<long>,
+_INDEX = """keys array<long>, ids array<string>, first array<long>, last array<long>,
     terms array<int>, counts array<int>, places array<int>"""
-_FOUND = """id string, n_words long, n_hit long, starts array<int>, ends array<int>,
+_FOUND = """key long, id string, n_words long, n_hit long, starts array<int>, ends array<int>,
     items array<string>, near array<string>"""
 
 
@@ -53,20 +53,22 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, length: int):
     return ids, [(np.frombuffer(k, np.uint64), sorted(v)) for k, v in found.items()]
 
 
-def build_index(docs: DataFrame, id_col: str, text_col: str, vocabulary: np.ndarray) -> DataFrame:
-    """The stored index: postings of the terms in ``vocabulary`` (sorted hashes), one row a segment."""
+def build_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """The stored index of ``key, id, t``: postings of the terms in ``vocabulary`` (sorted hashes), one
+    row a segment."""
     prepare(docs)
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def segments(batches):
         terms = known.value
-        ids, firsts, lasts, at_term, at_place, total = [], [], [], [], [], 0
+        keys, ids, firsts, lasts, at_term, at_place, total = [], [], [], [], [], [], 0
 
         def segment():
             term, place = np.concatenate(at_term), np.concatenate(at_place)
             order = np.argsort(term, kind="stable")
             present, counts = np.unique(term, return_counts=True)
             values = [
+                [x for part in keys for x in part.to_pylist()],
                 [x for part in ids for x in part.to_pylist()],
                 np.concatenate(firsts),
                 np.concatenate(lasts),
@@ -74,9 +76,9 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, vocabulary: np.ndar
                 counts,
                 place[order],
             ]
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+            kinds = [pa.int64(), pa.string(), *[pa.int64()] * 2, *[pa.int32()] * 3]
             lists = [pa.array([v], pa.list_(k)) for v, k in zip(values, kinds)]
-            names = ["ids", "first", "last", "terms", "counts", "places"]
+            names = ["keys", "ids", "first", "last", "terms", "counts", "places"]
             return pa.RecordBatch.from_arrays(lists, names)
 
         for texts in W.runs(batches, "t"):
@@ -85,6 +87,7 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, vocabulary: np.ndar
             slot = np.searchsorted(terms, hashed)
             slot[slot == terms.size] = 0
             held = np.flatnonzero(terms[slot] == hashed) if terms.size else slot[:0]
+            keys.append(W.cell(texts, "key"))
             ids.append(W.cell(texts, "id"))
             firsts.append(cut.first + total)
             lasts.append(cut.last + total)
@@ -93,12 +96,11 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, vocabulary: np.ndar
             total += hashed.size
             if total >= SEGMENT_WORDS:
                 yield segment()
-                ids, firsts, lasts, at_term, at_place, total = [], [], [], [], [], 0
+                keys, ids, firsts, lasts, at_term, at_place, total = [], [], [], [], [], [], 0
         if ids:
             yield segment()
 
-    slim = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
-    return save(slim.mapInArrow(segments, _INDEX))
+    return save(docs.select("key", "id", "t").mapInArrow(segments, _INDEX))
 
 
 class Segment:
@@ -162,8 +164,8 @@ def search(index: DataFrame, vocabulary: np.ndarray, ids: list[str], windows: li
         names, asked, size = sent.value
         for batch in batches:
             for row in range(batch.num_rows):
-                doc_ids = batch.column(0)[row].as_py()
-                part = Segment(*(batch.column(c)[row].values.to_numpy() for c in range(1, 6)), size)
+                keys, doc_ids = (batch.column(c)[row].as_py() for c in range(2))
+                part = Segment(*(batch.column(c)[row].values.to_numpy() for c in range(2, 7)), size)
                 items = [set() for _ in doc_ids]
                 close = [set() for _ in doc_ids]
                 cover = np.zeros(int(part.last[-1]) + 1 if len(doc_ids) else 1, np.int32)
@@ -193,7 +195,7 @@ def search(index: DataFrame, vocabulary: np.ndarray, ids: list[str], windows: li
                 kinds = [pa.int64(), pa.int64(), many, many, *[pa.list_(pa.string())] * 2]
                 arrays = [pa.array(v, k) for v, k in zip(out.values(), kinds)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.string()), *arrays], ["id", *out]
+                    [pa.array(keys, pa.int64()), pa.array(doc_ids, pa.string()), *arrays], ["key", "id", *out]
                 )
 
     return index.mapInArrow(look, _FOUND)
@@ -219,30 +221,28 @@ def find_items(
     """
     words = items.agg(F.coalesce(F.sum(F.length(item_text_col)), F.lit(0))).first()[0] / 2
     blocks = max(1, int(np.ceil(words / block_words)))
+    key, name = F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("string").alias("id")
+    slim = docs.select(key, name, F.col(text_col).alias("t"))
+    if blocks > 1:
+        slim = save(slim)  # every block sees a row by the same key
     parts = []
     for block in range(blocks):
         chosen = items.filter(F.pmod(F.xxhash64(item_id_col, item_text_col), F.lit(blocks)) == block)
         ids, windows = item_windows(chosen, item_id_col, item_text_col, length)
         terms = np.unique(np.concatenate([w for w, _ in windows])) if windows else np.empty(0, np.uint64)
-        index = build_index(docs, id_col, text_col, terms)
+        index = build_index(slim, terms)
         parts.append(search(index, terms, ids, windows, slack))
-    if blocks == 1:
-        return parts[0]
-    return _merge(docs, parts, id_col, text_col)
+    return (parts[0] if blocks == 1 else _merge(parts)).drop("key")
 
 
-def _merge(docs: DataFrame, parts: list[DataFrame], id_col: str, text_col: str) -> DataFrame:
-    """The results of several blocks as one row per document; rows with one id and equal spans of a
-    block are repeated rows of one document and stay apart by their number."""
-    from pyspark.sql import Window
-
-    place = Window.partitionBy("id", "n_words").orderBy("starts", "ends", "items")
-    all_parts = [p.withColumn("copy", F.row_number().over(place)) for p in parts]
-    union = all_parts[0]
-    for part in all_parts[1:]:
+def _merge(parts: list[DataFrame]) -> DataFrame:
+    """The results of several blocks as one row per key."""
+    union = parts[0]
+    for part in parts[1:]:
         union = union.unionByName(part)
     lists = ("starts", "ends", "items", "near")
-    grouped = union.groupBy("id", "n_words", "copy").agg(
+    grouped = union.groupBy("key").agg(
+        *[F.first(c).alias(c) for c in ("id", "n_words")],
         *[F.flatten(F.collect_list(c)).alias(c) for c in lists]
     )
 
@@ -259,9 +259,9 @@ def _merge(docs: DataFrame, parts: list[DataFrame], id_col: str, text_col: str)
                 row |= {"starts": [s for s, _ in spans], "ends": [e for _, e in spans]}
                 row |= {"n_hit": sum(e - s for s, e in spans)}
                 row |= {"items": sorted(set(row["items"])), "near": sorted(set(row["near"]))}
-            names = ["id", "n_words", "n_hit", *lists]
+            names = ["key", "id", "n_words", "n_hit", *lists]
             many, texts = pa.list_(pa.int32()), pa.list_(pa.string())
-            kinds = [pa.string(), pa.int64(), pa.int64(), many, many, texts, texts]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), many, many, texts, texts]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)], names
             )

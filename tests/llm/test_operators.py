@@ -244,6 +244,18 @@ def test_benchmark_hits(spark, odd, blocks):
     assert {r.doc_id for r in kept.collect()} == {4, 5, 6, 9, 11, 13, None}
 
 
+def test_blocks_of_items_keep_rows_apart(spark):
+    """Rows with one id, or none, and equal word counts, each hit by another block of the benchmark."""
+    items = [(k, " ".join(f"i{k}w{n}" for n in range(12))) for k in range(8)]
+    texts = [f"before {text} after" for _, text in items] + [" ".join(["clean"] * 14)]
+    texts += [items[a][1] + " " + " ".join(items[b][1].split()[:2]) for a, b in ((2, 5), (6, 1))]
+    rows = [(doc_id, text) for doc_id in (None, 7, 7) for text in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.digest(decontaminate.find_items(docs, table, block_words=40))
+    assert by_id(found, "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == item_hits(rows, items)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "c x b y a"), (2, "a b z z z z c"), (3, "a b"), (4, "c"), (5, "b a")], "doc_id long, text string")
     items = spark.createDataFrame([(9, "a b c")], "item_id long, text string")
