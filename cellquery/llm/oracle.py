@@ -96,3 +96,69 @@ SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)
 """
+
+
+def _integers(scale: int, columns: str, condition: str = "true") -> str:
+    """Rows whose vectors are whole, with integer components."""
+    return f"""SELECT {columns}, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND {condition}
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+TOP_PRODUCTS = f"""
+WITH r AS ({_integers(1024, "vec_id")}),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM r q JOIN r c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM n WHERE rank <= 10
+"""
+
+NEGATIVES = f"""
+WITH r AS ({_integers(256, "vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label", "label IS NOT NULL")}),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM r a JOIN r c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same)
+  WHERE k <= 5
+), n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INT AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+    AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
+def _round(at: int) -> str:
+    """The assignment ``a{at}`` to the centroids ``c{at}``."""
+    return f"""a{at} AS (
+  SELECT vec_id, arg_min(k, d) AS k, min(d) AS d FROM (
+    SELECT r.vec_id, c.k, list_sum(list_transform(list_zip(r.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT * 1000 + c.k AS d
+    FROM r CROSS JOIN c{at} c) GROUP BY vec_id
+)"""
+
+
+def _moved(at: int) -> str:
+    """The centroids ``c{at}`` after the assignment before."""
+    return f"""m{at} AS (
+  SELECT k, list(f ORDER BY j) AS v FROM (
+    SELECT a.k, j, floor(sum(r.v[j]::BIGINT) / count(*))::DOUBLE AS f
+    FROM a{at - 1} a JOIN r USING (vec_id), (SELECT unnest(range(1, 65)) AS j) GROUP BY a.k, j) GROUP BY k
+), c{at} AS (SELECT k, coalesce(m{at}.v, c{at - 1}.v) AS v FROM c{at - 1} LEFT JOIN m{at} USING (k))"""
+
+
+CLUSTERS = f"""
+WITH r AS ({_integers(64, "vec_id", "len(embedding) = 64")}),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS k, v
+  FROM (SELECT sha256('1:' || vec_id) AS h, v FROM r ORDER BY h LIMIT 16)
+), {_round(0)}, {_moved(1)}, {_round(1)}, {_moved(2)}, {_round(2)}, {_moved(3)}, {_round(3)},
+f AS (SELECT vec_id, k, (d // 1000)::BIGINT AS distance FROM a3)
+SELECT f.vec_id, f.k::INT AS cluster, f.distance,
+       (sum(f.distance) OVER (PARTITION BY f.k))::BIGINT AS cluster_inertia, (sum(f.distance) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(c3.v, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256
+FROM f JOIN c3 USING (k)
+"""

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from cellquery.llm import (
     ann,
+    centroids,
     decontaminate,
     lm,
     mixing,
+    negatives,
     ngram_join,
     oracle,
+    pivots,
     quality,
     sharding,
     substrings,
@@ -122,3 +125,23 @@ def prefix_jaccard(table) -> DataFrame:
     return ngram_join.near_duplicates(table("documents")).select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id"
     )
+
+
+@query("op11_l2ap_negatives", oracle.NEGATIVES)
+def l2ap_negatives(table) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.pmod("vec_id", F.lit(7)) == 0, (label + 1) % 10).otherwise(label)
+    found = negatives.hard_negatives(table("embeddings"), lambda i: F.pmod(i, F.lit(100)) == 0, moved)
+    return found.drop("anchor_key")
+
+
+@query("op12_pivot_top_products", oracle.TOP_PRODUCTS)
+def pivot_top_products(table) -> DataFrame:
+    found = pivots.largest_products(table("embeddings"), lambda i: F.pmod(i, F.lit(100)) == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op13_vantage_clusters", oracle.CLUSTERS)
+def vantage_clusters(table) -> DataFrame:
+    found, _ = centroids.cluster(table("embeddings"))
+    return found.withColumnRenamed("id", "vec_id")
