@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from cellquery.catalog.registry import table
 from cellquery.functions import text
+from cellquery.operators import matching
+from cellquery.operators.tables import position
 
 # -- SQL pieces --------------------------------------------------------------------------------
 
@@ -86,9 +88,10 @@ scored AS (SELECT *, len(list_filter(list_transform(answer, lambda x: {sql_key('
 # -- documents ---------------------------------------------------------------------------------
 
 
-def doc_sections(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+def doc_sections(spark: SparkSession, folder: str, docs: DataFrame | None = None, *beside: str) -> DataFrame:
+    docs = table(spark, folder, "documents") if docs is None else docs
     return docs.select(
+        *beside,
         F.col("doc_id").alias("page_id"),
         F.lit(0).alias("section_idx"),
         F.col("lang").alias("section_id"),
@@ -97,29 +100,41 @@ def doc_sections(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def doc_cells(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    first_word = F.regexp_extract(F.lower("text"), WORD, 0)
+def _doc_facts() -> Column:
+    """A document's table of its own facts, two rows of three cells."""
     values = [
         (0, 0, F.col("lang")),
         (0, 1, F.col("source")),
         (0, 2, F.col("n_chars").cast("string")),
         (1, 0, F.element_at(text.sentences(F.col("text")), -1)),
-        (1, 1, first_word),
+        (1, 1, F.regexp_extract(F.lower("text"), WORD, 0)),
         (1, 2, F.col("lang")),
     ]
-    structs = [
-        F.struct(F.lit(i).alias("row_idx"), F.lit(j).alias("col_idx"), c.alias("cell")) for i, j, c in values
-    ]
-    cells = docs.select(
-        F.col("doc_id").alias("page_id"),
-        F.lit(0).alias("section_idx"),
-        F.lit(0).alias("table_idx"),
-        F.explode(F.array(*structs)).alias("_c"),
+    structs = [F.struct(F.lit(i).alias("row_idx"), F.lit(j).alias("col_idx"), c.alias("cell")) for i, j, c in values]
+    return F.array(*structs)
+
+
+def doc_cells(spark: SparkSession, folder: str) -> DataFrame:
+    cells = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("page_id"), F.lit(0).alias("section_idx"), F.lit(0).alias("table_idx"), F.explode(_doc_facts()).alias("_c")
     ).select("page_id", "section_idx", "table_idx", "_c.*")
     return cells.withColumn("cell_str", text.strip(F.lower("cell")))
 
 
+def doc_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Sections and their table in one row, as matching within a row takes them."""
+    cells = F.transform(
+        _doc_facts(),
+        lambda c: F.struct(
+            text.strip(F.lower(c["cell"])).alias("cell_str"), position(c["row_idx"], c["col_idx"], F.lit(False)).alias("pos")
+        ),
+    )
+    docs = table(spark, folder, "documents").withColumn("_cells", cells)
+    sections = doc_sections(spark, folder, docs, "_cells")
+    spoken = matching.said(text.sentences(F.col("paragraph")))
+    return sections.withColumn("table_idx", F.lit(0)).withColumnRenamed("_cells", "cells").withColumn("_said", spoken).drop("paragraph")
+
+
 # -- customers as tables and as pages ----------------------------------------------------------
 
 

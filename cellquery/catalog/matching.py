@@ -21,8 +21,7 @@ def m4_cell_index(spark, folder):
 
 def doc_hits(spark, folder, beside=()):
     """Hits of every document's facts in its sentences."""
-    sentences = matching.sentence_rows(inputs.doc_sections(spark, folder), beside=beside)
-    return matching.match_cells(inputs.doc_cells(spark, folder), sentences)
+    return matching.match_tables(inputs.doc_tables(spark, folder), beside=beside)
 
 
 _HIT = ["page_id", "row_idx", "col_idx", "cell_str", "first_pos", "sentence_idx", "sentence"]
@@ -34,6 +33,13 @@ def m5_sentence_hits(spark, folder):
     return doc_hits(spark, folder).filter("whole").select(*_HIT)
 
 
+@query("m6_hits_of_apart_inputs", f"WITH {inputs.HITS} SELECT {_SQL_HIT}, whole FROM hits")
+def m6_hits_of_apart_inputs(spark, folder):
+    """Cells and sentences as two long tables, each shuffled once."""
+    sentences = matching.sentence_rows(inputs.doc_sections(spark, folder))
+    return matching.match_cells(inputs.doc_cells(spark, folder), sentences).select(*_HIT, "whole")
+
+
 @query("m6_word_hits", f"WITH {inputs.HITS} SELECT {_SQL_HIT} FROM hits WHERE NOT whole")
 def m6_word_hits(spark, folder):
     return doc_hits(spark, folder).filter("not whole").select(*_HIT)

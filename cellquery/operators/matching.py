@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellquery.functions import text
+from cellquery.operators.tables import once, position
 
 SECTION_KEYS = ["page_id", "section_idx"]
 TABLE_KEYS = ["page_id", "section_idx", "table_idx"]
@@ -30,14 +31,16 @@ def sentence_rows(
     )
 
 
-def _position(cells: DataFrame) -> Column:
-    """Row-major place in one long, the ``upcast`` mark in its lowest bit."""
-    upcast = F.col("upcast").cast("long") if "upcast" in cells.columns else F.lit(0)
-    return (
-        F.shiftleft(F.col("row_idx").cast("long"), 32)
-        + F.shiftleft(F.col("col_idx").cast("long"), 1)
-        + upcast
-    )
+def place_columns(cell_str: Column, first: Column, last: Column) -> list[Column]:
+    """``cell_str``, its last coordinate, ``first_pos`` for the order, and the answer ``word``."""
+    whole_number = last.bitwiseAND(1) == 1
+    return [
+        cell_str.alias("cell_str"),
+        F.shiftright(last, 32).cast("int").alias("row_idx"),
+        F.shiftright(last.bitwiseAND(0xFFFFFFFF), 1).cast("int").alias("col_idx"),
+        F.shiftright(first, 1).alias("first_pos"),
+        F.when(whole_number, F.regexp_replace(cell_str, r"\.0$", "")).otherwise(cell_str).alias("word"),
+    ]
 
 
 def cell_index(cells: DataFrame, table_keys: list[str] = TABLE_KEYS) -> DataFrame:
@@ -46,36 +49,81 @@ def cell_index(cells: DataFrame, table_keys: list[str] = TABLE_KEYS) -> DataFram
     Only two longs are aggregated, so this is a hash aggregate with a map-side part, and a text
     that fills a column arrives at the shuffle once per task.
     """
+    upcast = F.col("upcast") if "upcast" in cells.columns else F.lit(False)
     found = (
         cells.filter(F.col("cell_str").isNotNull())
-        .withColumn("_pos", _position(cells))
+        .withColumn("_pos", position(F.col("row_idx"), F.col("col_idx"), upcast))
         .groupBy(*table_keys, "cell_str")
         .agg(F.max("_pos").alias("_last"), F.min("_pos").alias("_first"))
     )
-    whole_number = F.col("_last").bitwiseAND(1) == 1
-    return found.select(
-        *table_keys,
-        "cell_str",
-        F.shiftright("_last", 32).cast("int").alias("row_idx"),
-        F.shiftright(F.col("_last").bitwiseAND(0xFFFFFFFF), 1).cast("int").alias("col_idx"),
-        F.shiftright("_first", 1).alias("first_pos"),
-        F.when(whole_number, F.regexp_replace("cell_str", r"\.0$", ""))
-        .otherwise(F.col("cell_str"))
-        .alias("word"),
+    return found.select(*table_keys, *place_columns(F.col("cell_str"), F.col("_first"), F.col("_last")))
+
+
+def said(sentences: Column) -> Column:
+    """Sentences as ``struct(sentence_idx, sentence, lower, words)``; words are cut out once."""
+    return F.transform(
+        sentences,
+        lambda s, at: F.struct(
+            at.cast("int").alias("sentence_idx"),
+            s.alias("sentence"),
+            F.lower(s).alias("lower"),
+            text.words(s).alias("words"),
+        ),
     )
 
 
-def mark_whole_sentences(
-    index: DataFrame, sentences: DataFrame, section_keys: list[str] = SECTION_KEYS
-) -> DataFrame:
-    """``index`` with ``whole``: true where the cell text equals a lowercase sentence of its section.
+def _mentioned(cells: Column, said: Column) -> Column:
+    """The texts of ``cells`` that are a sentence or a word of one; found by hash, not cell by cell."""
+    offered = F.concat(F.transform(said, lambda s: s["lower"]), F.flatten(F.transform(said, lambda s: s["words"])))
+    return F.array_intersect(F.transform(cells, lambda c: c["cell_str"]), offered)
+
+
+def _hits(df: DataFrame, rest: list[str]) -> DataFrame:
+    """``rest``, ``_cell`` and ``_said`` of all hits, from rows with arrays ``_cells`` and ``_said``.
+
+    ``_cells`` are distinct cells that are mentioned, which are few. The outer forms of ``explode``
+    leave out the filters that Spark would otherwise put below, with all that they compute.
+    """
+    whole = F.array_intersect(F.transform("_cells", lambda c: c["cell_str"]), F.transform("_said", lambda s: s["lower"]))
+    rows = once(df, _whole=whole).select(*rest, "_cells", "_whole", F.explode_outer("_said").alias("_s"))
+
+    def in_sentence(c: Column) -> Column:
+        equal = c["cell_str"] == F.col("_s.lower")
+        return F.when(F.array_contains("_whole", c["cell_str"]), equal).otherwise(
+            F.array_contains("_s.words", c["cell_str"])
+        )
+
+    hits = rows.select(*rest, "_whole", F.col("_s").alias("_said"), F.explode_outer(F.filter("_cells", in_sentence)).alias("_cell"))
+    found = hits.filter(F.col("_cell").isNotNull())
+    return found.withColumn("_is_whole", F.array_contains("_whole", F.col("_cell.cell_str"))).drop("_whole")
 
-    Sentences are made distinct first, so a line repeated over a section meets the join once.
+
+_HIT = ["row_idx", "col_idx", "cell_str", "word", "first_pos"]
+
+
+def match_tables(tables: DataFrame, keys: list[str] = TABLE_KEYS, beside: list[str] = ()) -> DataFrame:
+    """Hits of tables in the paragraph beside them; every step is within one row, nothing is shuffled.
+
+    ``tables`` has a row per table: ``keys``, the columns ``beside``, ``_said`` (see ``said``) and
+    ``cells``, an array of ``struct(cell_str, pos)`` (see ``position``). Cells that the paragraph does
+    not mention leave before anything is sorted.
     """
-    distinct = sentences.select(*section_keys, F.lower("sentence").alias("cell_str")).distinct()
-    found = distinct.withColumn("_hit", F.lit(True))
-    marked = index.join(found.hint("merge"), [*section_keys, "cell_str"], "left")
-    return marked.withColumn("whole", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    rest = [*keys, *beside]
+    named = once(
+        tables.select(*rest, "_said", F.filter("cells", lambda c: c["cell_str"].isNotNull()).alias("cells")),
+        _texts=_mentioned(F.col("cells"), F.col("_said")),
+    )
+    mentioned = F.filter("cells", lambda c: F.array_contains("_texts", c["cell_str"]))
+    ordered = once(named.select(*rest, "_said", "_texts", "cells"), _sorted=F.array_sort(mentioned))
+    is_other = lambda at, x: F.coalesce(F.get("_sorted", at)["cell_str"] != x["cell_str"], F.lit(True))
+    first = F.filter("_sorted", lambda x, at: (at == 0) | is_other(F.greatest(at - 1, F.lit(0)), x))
+    last = F.filter("_sorted", lambda x, at: is_other(at + 1, x))
+    index = once(
+        ordered.select(*rest, "_said", "_sorted"),
+        _cells=F.zip_with(first, last, lambda a, b: F.struct(*place_columns(a["cell_str"], a["pos"], b["pos"]))),
+    )
+    found = _hits(index.select(*rest, "_said", "_cells"), rest)
+    return found.select(*rest, *[f"_cell.{c}" for c in _HIT], F.col("_is_whole").alias("whole"), "_said.sentence_idx", "_said.sentence")
 
 
 def match_cells(
@@ -86,37 +134,30 @@ def match_cells(
 ) -> DataFrame:
     """Hits of cells in sentences: whole-sentence hits, and word hits for cells without one.
 
-    One equi-join does both: a sentence offers its own lowercase text (``whole``) and each of its
-    words, a cell takes part under exactly one of the two. Offers are numbers only, the hash of what
-    is offered; the text is fetched for the hits, with whatever other columns ``sentences`` has, and
-    compared there, so the result is exact.
-
-    Section and word are the key, so a large section is spread by its words, and what one word of it
-    has too much is split at run time (``spark.sql.adaptive.skewJoin``). Spark sizes exploded words
-    and sentences by the text they come from, so the hints keep it from broadcasting them.
+    For inputs that come apart: each is shuffled once, by section, and the cells and the sentences of
+    a section meet as two arrays in one row (a section is part of a page, which is read whole
+    anyway). Other columns of ``sentences`` stay beside the hits.
     """
-    index = mark_whole_sentences(cell_index(cells, table_keys), sentences, section_keys)
-    index = index.withColumn("_key", F.xxhash64("whole", "cell_str"))
-    own = F.xxhash64(F.lit(True), F.lower("sentence"))
-    by_word = F.transform(text.words(F.col("sentence")), lambda w: F.xxhash64(F.lit(False), w))
-    keys = F.array_distinct(F.concat(F.array(own), by_word))
-    offers = sentences.select(*section_keys, "sentence_idx", F.explode(keys).alias("_key"))
-    hits = offers.hint("merge").join(index, [*section_keys, "_key"]).drop("_key")
-    fetched = hits.join(sentences.hint("merge"), [*section_keys, "sentence_idx"])
-    is_equal = F.lower("sentence") == F.col("cell_str")
-    has_word = F.array_contains(text.words(F.col("sentence")), F.col("cell_str"))
+    inner = [k for k in table_keys if k not in section_keys]
     known = {*section_keys, "sentence_idx", "sentence"}
-    return fetched.filter(F.when(F.col("whole"), is_equal).otherwise(has_word)).select(
-        *table_keys,
-        *[c for c in sentences.columns if c not in known],
-        "row_idx",
-        "col_idx",
-        "cell_str",
-        "word",
-        "first_pos",
-        "whole",
-        "sentence_idx",
-        "sentence",
+    beside = [c for c in sentences.columns if c not in known]
+    index = cell_index(cells.repartition(*section_keys), table_keys)
+    nested = index.groupBy(*section_keys).agg(F.collect_list(F.struct(*inner, *_HIT)).alias("_all"))
+    spoken = F.struct(
+        "sentence_idx", "sentence", F.lower("sentence").alias("lower"), text.words(F.col("sentence")).alias("words"), *beside
+    )
+    told = sentences.groupBy(*section_keys).agg(F.collect_list(spoken).alias("_said"))
+    both = once(nested.join(told.hint("merge"), section_keys), _texts=_mentioned(F.col("_all"), F.col("_said")))
+    mentioned = F.filter("_all", lambda c: F.array_contains("_texts", c["cell_str"]))
+    found = _hits(once(both, _cells=mentioned).select(*section_keys, "_said", "_cells"), section_keys)
+    return found.select(
+        *section_keys,
+        *[f"_cell.{c}" for c in inner],
+        *[f"_said.{c}" for c in beside],
+        *[f"_cell.{c}" for c in _HIT],
+        F.col("_is_whole").alias("whole"),
+        "_said.sentence_idx",
+        "_said.sentence",
     )
 
 

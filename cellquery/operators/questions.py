@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellquery.functions import text
-from cellquery.operators.numbering import dense_number
+from cellquery.operators.numbering import number_by_group
 from cellquery.operators.sections import table_id
 
 # Hungarian question words.
@@ -14,7 +14,7 @@ QUESTION_WORDS = [
     "ki", "kik", "mi", "mik", "kit", "mit", "kivel", "mivel", "hol", "hová", "honnan", "mikor",
     "meddig", "mióta", "milyen gyakran", "hány", "mennyi", "hányszor",
 ]
-HIT_ORDER = ["page_id", "section_idx", "table_idx", "first_pos", "sentence_idx"]
+HIT_ORDER = ["section_idx", "table_idx", "first_pos", "sentence_idx"]
 PLACEHOLDER = "e"
 QA_COLUMNS = ["id", "utterance", "context", "targetValue", "valid", "original"]
 
@@ -28,10 +28,10 @@ def question_number(qid: Column) -> Column:
     return F.regexp_extract(qid, r"^nt-(\d+)$", 1).try_cast("bigint")
 
 
-def statements(matches: DataFrame, start: int = 0, order_by: list[str] = HIT_ORDER) -> DataFrame:
+def statements(matches: DataFrame, start: int = 0, page: str = "page_id", order_by: list[str] = HIT_ORDER) -> DataFrame:
     """Hits with ``statement`` and the dense question number ``n``, in page, table and cell order."""
     named = matches.withColumn("statement", text.strip(F.lower("sentence")))
-    return dense_number(named, order_by, "n", start)
+    return number_by_group(named, page, order_by, "n", start)
 
 
 def build_qa(numbered: DataFrame, context: Column, candidates: DataFrame | None = None) -> DataFrame:

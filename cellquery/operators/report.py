@@ -21,9 +21,13 @@ def leaderboard(results: DataFrame) -> DataFrame:
     ).orderBy(F.desc("accuracy"), "model")
 
 
-def table_index(cells: DataFrame, qa: DataFrame) -> DataFrame:
-    """``table_id, n_rows, n_cols, n_questions`` of every stored table."""
+def table_index(cells: DataFrame, qa: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """``table_id, n_rows, n_cols, n_questions`` of every stored table.
+
+    With ``tables`` (``table_id, n_rows, n_cols``) no cell is read, and tables without rows are listed too.
+    """
+    sizes = table_sizes(cells, ["table_id"]) if tables is None else tables.select("table_id", "n_rows", "n_cols")
     questions = qa.groupBy(F.col("context").alias("table_id")).agg(F.count("*").alias("_asked"))
-    return table_sizes(cells, ["table_id"]).join(questions, "table_id", "left").select(
+    return sizes.join(questions, "table_id", "left").select(
         "table_id", "n_rows", "n_cols", F.coalesce("_asked", F.lit(0)).alias("n_questions")
     )

@@ -73,25 +73,45 @@ def _explode(df: DataFrame, array: str, rest: list[str], at: str, item: str) ->
     return df.select(*rest, F.posexplode_outer(array).alias(at, item)).filter(F.col(at).isNotNull())
 
 
-def type_cells(
-    tables: DataFrame,
-    decimal: str = ",",
-    thousands: str | None = " ",
-    null_as_nan: bool = False,
-) -> DataFrame:
-    """Long-form typed cells of nested tables (``header``, ``rows``); every step is row-local.
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with computed columns that later lambdas may use.
 
-    ``cell`` is the cleaned text, ``cell_str`` the lowercase match key as the row reads (in an
-    all-numeric table with a float column, whole numbers read ``5.0``; ``upcast`` marks them) and
-    ``word`` the answer as the column reads.
+    Spark moves a projection into the only expression that uses it, even into a lambda, where it
+    would be computed anew for every element; it does not move one through a generator.
     """
+    rest = df.columns
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(*rest, F.explode_outer(F.array(made)).alias("_once")).select(*rest, "_once.*")
+
+
+def position(row_idx: Column, col_idx: Column, upcast: Column) -> Column:
+    """Row-major place in one long, the ``upcast`` mark in its lowest bit."""
+    return (
+        F.shiftleft(row_idx.cast("long"), 32) + F.shiftleft(col_idx.cast("long"), 1) + upcast.cast("long")
+    )
+
+
+def table_list(tables: DataFrame) -> DataFrame:
+    """The tables themselves: their keys, ``header, n_rows, n_cols``; also those without rows."""
+    keys = [c for c in tables.columns if c not in ("header", "rows")]
+    widest = F.coalesce(F.array_max(F.transform("rows", F.size)), F.lit(0))
+    return tables.select(
+        *keys,
+        "header",
+        F.size("rows").cast("bigint").alias("n_rows"),
+        F.greatest(F.size("header"), widest).cast("bigint").alias("n_cols"),
+    )
+
+
+def _typed(tables: DataFrame, decimal: str, thousands: str | None) -> DataFrame:
+    """Nested tables with ``_coded`` cells, the ``_types`` of their columns, and ``_all_numeric``."""
     keys = [c for c in tables.columns if c not in ("header", "rows")]
     coded = tables.select(
         *keys,
         "header",
         typed.coded_rows(F.col("rows"), decimal, thousands).alias("_coded"),
     )
-    kinds = coded.select(
+    return coded.select(
         "*", typed.column_types(F.col("_coded"), F.size("header")).alias("_types")
     ).select(
         *keys,
@@ -103,6 +123,57 @@ def type_cells(
             & F.array_contains("_types", "float")
         ).alias("_all_numeric"),
     )
+
+
+def _cell_text(cell: Column, col_type: Column, null_as_nan: bool) -> Column:
+    """The lowercase text of a cell as its column reads."""
+    text = typed.typed_text(cell, col_type)
+    return strip(F.lower(F.coalesce(text, F.lit("nan")) if null_as_nan else text))
+
+
+def _as_text(cell: Column) -> Column:
+    return F.when(cell["code"] != 0, cell["text"])
+
+
+def nested_cells(
+    tables: DataFrame, decimal: str = ",", thousands: str | None = " ", null_as_nan: bool = False
+) -> DataFrame:
+    """Nested tables with ``cells``, all their match keys as ``array<struct(cell_str, pos)>``, instead of the rows.
+
+    The same texts as those of ``type_cells``, for matching within one row.
+    """
+    keys = [c for c in tables.columns if c not in ("header", "rows")]
+    kinds = _typed(tables, decimal, thousands)
+    named = F.transform("_types", lambda t: F.struct(t.alias("type"), ((t == "int") & F.col("_all_numeric")).alias("upcast")))
+    fixed = once(kinds.select(*keys, "_types", "_all_numeric", "_coded"), _kinds=named)
+
+    def place(i: Column):
+        def of_cell(c: Column, j: Column) -> Column:
+            kind = F.get("_kinds", j)
+            word = _cell_text(_as_text(c), kind["type"], null_as_nan)
+            text = F.when(kind["upcast"], F.concat(word, F.lit(".0"))).otherwise(word)
+            return F.struct(text.alias("cell_str"), position(i, j, F.coalesce(kind["upcast"], F.lit(False))).alias("pos"))
+
+        return of_cell
+
+    cells = F.flatten(F.transform("_coded", lambda row, i: F.transform(row, place(i))))
+    return fixed.select(*keys, cells.alias("cells"))
+
+
+def type_cells(
+    tables: DataFrame,
+    decimal: str = ",",
+    thousands: str | None = " ",
+    null_as_nan: bool = False,
+) -> DataFrame:
+    """Long-form typed cells of nested tables (``header``, ``rows``); every step is row-local.
+
+    ``cell`` is the cleaned text, ``cell_str`` the lowercase match key as the row reads (in an
+    all-numeric table with a float column, whole numbers read ``5.0``; ``upcast`` marks them) and
+    ``word`` the answer as the column reads. A table without rows has no cells; ``table_list`` has it.
+    """
+    keys = [c for c in tables.columns if c not in ("header", "rows")]
+    kinds = _typed(tables, decimal, thousands)
     rows = _explode(kinds, "_coded", [*keys, "header", "_types", "_all_numeric"], "row_idx", "_row")
     cells = rows.select(
         *keys,
@@ -117,24 +188,27 @@ def type_cells(
         "col_idx",
         F.get("header", F.col("col_idx")).alias("col_name"),
         F.get("_types", F.col("col_idx")).alias("col_type"),
-        F.when(F.col("_cell.code") != 0, F.col("_cell.text")).alias("cell"),
+        _as_text(F.col("_cell")).alias("cell"),
         "_all_numeric",
     )
-    text = typed.typed_text(F.col("cell"), F.col("col_type"))
-    text = F.coalesce(text, F.lit("nan")) if null_as_nan else text
     upcast = F.col("_all_numeric") & (F.col("col_type") == "int")
-    cells = cells.withColumn("word", strip(F.lower(text))).withColumn("upcast", upcast)
+    word = _cell_text(F.col("cell"), F.col("col_type"), null_as_nan)
+    cells = cells.withColumn("word", word).withColumn("upcast", upcast)
     return cells.withColumn(
         "cell_str", F.when(F.col("upcast"), F.concat("word", F.lit(".0"))).otherwise(F.col("word"))
     ).select(*keys, *CELL_COLUMNS)
 
 
+def read_tables(df: DataFrame, html: str) -> DataFrame:
+    """Nested tables (``table_idx, header, rows``) of the HTML column, also those without rows."""
+    return explode_tables(read_fragments(df, html).drop("clean_html"))
+
+
 def extract_cells(
     df: DataFrame, html: str, decimal: str = ",", thousands: str | None = " ", **typing
 ) -> DataFrame:
     """Typed cells of every table in the HTML column."""
-    parsed = read_fragments(df, html).drop("clean_html")
-    return type_cells(explode_tables(parsed), decimal, thousands, **typing)
+    return type_cells(read_tables(df, html), decimal, thousands, **typing)
 
 
 def flatten_nested_qa(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -175,35 +249,39 @@ def _ordered_text(idx: str, text: str, separator: str) -> Column:
     return F.array_join(F.transform(items, lambda i: i[text]), separator)
 
 
-def table_to_csv(cells: DataFrame, keys: list[str], rows_per_block: int = 10_000) -> DataFrame:
+def _csv_line(fields: Column) -> Column:
+    alone = F.size(fields) == 1
+    return F.array_join(F.transform(fields, lambda f: _csv_field(f, alone)), ",")
+
+
+def table_to_csv(
+    cells: DataFrame, keys: list[str], tables: DataFrame | None = None, rows_per_block: int = 10_000
+) -> DataFrame:
     """``keys, csv``: each table as CSV text, header first, ``\\n`` after every line.
 
     Every row of a table has all its columns, as all sources here give it; the first one names them.
+    With ``tables`` (``keys, header``) they are named there, and tables without rows come out too.
 
-    Lines are built per row, then per block of rows, then per table, so the only thing a single
-    task holds whole is the text that is the result.
+    One pass over the cells and one shuffle, by table. Lines are built per row, then per block of
+    rows, then per table, so the only thing a single task holds whole is the text that is the result.
     """
-    header = cells.filter(F.col("row_idx") == 0).select(
-        *keys, "col_idx", F.col("col_name").alias("_text"), F.lit(-1).cast("bigint").alias("_row")
-    )
-    body = cells.select(
-        *keys, "col_idx", F.col("cell").alias("_text"), F.col("row_idx").cast("bigint").alias("_row")
-    )
-    field = F.struct("col_idx", F.coalesce("_text", F.lit("")).alias("_text"))
+    field = F.struct("col_idx", F.coalesce("cell", F.lit("")).alias("text"), F.when(F.col("row_idx") == 0, F.col("col_name")).alias("name"))
     raw = (
-        header.unionByName(body)
-        .groupBy(*keys, "_row")
+        cells.repartition(*keys)
+        .groupBy(*keys, F.col("row_idx").cast("bigint").alias("_row"))
         .agg(F.array_sort(F.collect_list(field)).alias("_fields"))
-        .withColumn("_block", F.floor(F.col("_row") / rows_per_block))
-    )
-    alone = F.size("_fields") == 1
-    lines = raw.withColumn(
-        "_line", F.array_join(F.transform("_fields", lambda f: _csv_field(f["_text"], alone)), ",")
     )
+    line = _csv_line(F.transform("_fields", lambda f: f["text"]))
+    if tables is None:
+        named = _csv_line(F.transform("_fields", lambda f: f["name"]))
+        line = F.when(F.col("_row") == 0, F.concat(named, F.lit("\n"), line)).otherwise(line)
+    lines = raw.select(*keys, "_row", F.floor(F.col("_row") / rows_per_block).alias("_block"), line.alias("_line"))
     blocks = lines.groupBy(*keys, "_block").agg(_ordered_text("_row", "_line", "\n").alias("_part"))
-    return blocks.groupBy(*keys).agg(
-        F.concat(_ordered_text("_block", "_part", "\n"), F.lit("\n")).alias("csv")
-    )
+    body = blocks.groupBy(*keys).agg(F.concat(_ordered_text("_block", "_part", "\n"), F.lit("\n")).alias("csv"))
+    if tables is None:
+        return body
+    header = tables.select(*keys, F.concat(_csv_line(F.col("header")), F.lit("\n")).alias("_header"))
+    return header.join(body, keys, "left").select(*keys, F.concat("_header", F.coalesce("csv", F.lit(""))).alias("csv"))
 
 
 def table_sizes(cells: DataFrame, keys: list[str]) -> DataFrame:
