@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cellquery.operators.sections import drop_known
+from cellquery.operators.sections import canonical_url
 from cellquery.plans.harvest import harvest
 from cellquery.sources.files import PAGES
+from cellquery.sources.store import first_number, note_numbers
 
-KNOWN = "batch_id long, canonical_url string"
+_PAGE = "page_id long, url string, html string"
 
 
 def page_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,29 +23,42 @@ def page_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(PAGES).parquet(folder)
 
 
+def new_pages(pages: DataFrame) -> DataFrame:
+    """The first page of every canonical URL over the whole stream; of one batch that of the lowest id.
+
+    Spark's state store keeps which URLs are known, spread by URL. A batch looks up its own URLs
+    and nothing else, however many came before.
+    """
+
+    def first(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best = None
+        for part in parts:
+            page = part.loc[[part["page_id"].idxmin()], ["page_id", "url", "html"]]
+            if best is None or page["page_id"].iat[0] < best["page_id"].iat[0]:
+                best = page
+        if not state.exists and best is not None:
+            state.update((True,))
+            yield best
+
+    named = pages.select("page_id", "url", "html", canonical_url(F.col("html"), F.col("url")).alias("canonical_url"))
+    return named.groupBy("canonical_url").applyInPandasWithState(
+        first, _PAGE, "known boolean", "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def harvest_stream(pages: DataFrame, folder: str, state: str, **options) -> DataStreamWriter:
     """Writer that harvests each batch's new URLs into ``folder/batch=N``.
 
-    Batches write to a folder of their own number, so a batch that is run again replaces itself;
-    a page is known if an *earlier* batch took its URL, or a lower page id of its own batch. Statement numbers restart in every batch;
-    ``batch, n`` together are unique.
+    Statements are numbered on from batch to batch; a log in ``state`` notes which numbers a batch
+    has taken. Batches write to a folder of their own number, and one that is run again gets
+    the same pages and the same numbers, so it replaces itself.
     """
+
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        named = batch.withColumn("canonical_url", F.col("url"))
-        first = named.groupBy("canonical_url").agg(F.min("page_id").alias("page_id"))
-        fresh = named.join(first, ["canonical_url", "page_id"], "left_semi")
-        known_folder = f"{state}/known"
-        path = spark._jvm.org.apache.hadoop.fs.Path(known_folder)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            known = spark.read.schema(KNOWN).option("recursiveFileLookup", True).parquet(known_folder)
-            known = known.filter(F.col("batch_id") < number)
-            fresh = drop_known(fresh, known)
-        fresh = fresh.select("page_id", "url", "html")
-        harvest(fresh, **options).statements.write.mode("overwrite").parquet(f"{folder}/batch={number}")
-        taken = batch.select(
-            F.lit(number).cast("bigint").alias("batch_id"), F.col("url").alias("canonical_url")
-        ).distinct()
-        taken.write.mode("overwrite").parquet(f"{known_folder}/batch-{number}")
-
-    return pages.writeStream.foreachBatch(run).option("checkpointLocation", f"{state}/offsets")
+        numbers, out = f"{state}/numbers", f"{folder}/batch={number}"
+        start = first_number(spark, numbers, number)
+        harvest(batch, start=start, **options).statements.write.mode("overwrite").parquet(out)
+        note_numbers(spark, numbers, number, spark.read.parquet(out).count())
+
+    return new_pages(pages).writeStream.foreachBatch(run).option("checkpointLocation", f"{state}/offsets")

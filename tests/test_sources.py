@@ -1,12 +1,14 @@
 """Files in and out, each in a fresh folder."""
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from cellquery.operators.sections import canonical_url, next_titles, title_batches
 from cellquery.sources import files, store
+from cellquery.sources.log import Conflict, Log
 
 
 def put(path, content):
@@ -60,6 +62,64 @@ def test_qa_store_ignores_unfinished_versions(spark, folder):
     assert sorted(tuple(r)[:2] for r in store.read_qa(spark, path).collect()) == [("nt-0", "new"), ("nt-1", "new")]
 
 
+def test_appended_questions_go_on(spark, folder):
+    path, kind = f"{folder}/qa", "id string, utterance string"
+    make = lambda *ids: spark.createDataFrame([(f"nt-{i}", f"q{i}") for i in ids], kind)
+    store.append_numbered_qa(make(0, 1), path, batch=0)
+    store.append_numbered_qa(make(0, 1), path, batch=0)  # run again
+    store.append_qa(make(2), path)
+    store.append_numbered_qa(make(1, 0), path, batch=1)
+    assert sorted(r["id"] for r in store.read_qa(spark, path).collect()) == [f"nt-{i}" for i in range(5)]
+    version = store.compact_qa(spark, path)
+    assert store.append_numbered_qa(make(0), path) == version + 1
+    assert sorted(r["id"] for r in store.read_qa(spark, path).collect()) == [f"nt-{i}" for i in range(6)]
+    store.write_qa(make(3, 7), path)
+    store.append_numbered_qa(make(0), path, batch=2)
+    assert sorted(r["id"] for r in store.read_qa(spark, path).collect()) == ["nt-3", "nt-7", "nt-8"]
+
+
+def test_writers_side_by_side(spark, folder):
+    path = f"{folder}/qa"
+    rows = spark.createDataFrame([("nt-0", "x"), ("nt-1", "y")], "id string, utterance string")
+    with ThreadPoolExecutor(6) as pool:
+        versions = list(pool.map(lambda _: store.append_numbered_qa(rows, path), range(12)))
+    assert sorted(versions) == list(range(1, 13))
+    assert sorted(int(r["id"][3:]) for r in store.read_qa(spark, path).collect()) == list(range(24))
+
+
+def test_only_one_claim_of_a_number_counts(spark, folder):
+    one = Log(spark, f"{folder}/log")
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: one._claim(1, {"name": str(k)}), range(8)))
+    assert won.count(True) == 1 and one.last()[1]["name"] == str(won.index(True))
+
+
+def test_compaction_yields_to_other_writers(spark, folder):
+    path = f"{folder}/qa"
+    rows = spark.createDataFrame([("nt-0", "x")], "id string, utterance string")
+    store.append_qa(rows, path)
+    log = Log(spark, path)
+    with pytest.raises(Conflict):
+        store.append_qa(rows, path)
+        log.commit(lambda last: {"name": "late", "base": True}, expected=1)
+
+
+def test_table_lists(spark, folder):
+    path, kind = f"{folder}/cells", "table_id string, row_idx int, col_idx int, col_name string, cell string"
+    listed = spark.createDataFrame([("a", ["%"], 1, 1), ("empty", ["x", ""], 0, 2)], "table_id string, header array<string>, n_rows long, n_cols long")
+    store.save_cells(spark.createDataFrame([("a", 0, 0, "%", "1")], kind), path, tables=listed)
+    store.save_cells(spark.createDataFrame([("b", 0, 1, "v", "1"), ("b", 0, 0, "u", "2"), ("a", 1, 0, "%", "2")], kind), path, "append")
+    expected = [("a", ["Percentage"], 2, 1), ("b", ["u", "v"], 1, 2), ("empty", ["x", "Empty"], 0, 2)]
+    read = lambda: sorted(tuple(r) for r in store.read_tables(spark, path).collect())
+    assert read() == expected
+    plan = store.read_cells(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+    store.compact_cells(spark, path)
+    assert read() == expected and store.read_cells(spark, path).count() == 4
+    store.save_cells(spark.createDataFrame([("a", 0, 0, "z", "9")], kind), path)
+    assert read()[0] == ("a", ["z"], 1, 1) and store.read_cells(spark, path).filter("table_id = 'a'").count() == 1
+
+
 def test_results_file(spark, folder):
     row = [("2024-10-20 12:00:00", "Research", 10, "English", "m", "1.25", "[0.500, 0.250]")]
     for _ in range(2):
