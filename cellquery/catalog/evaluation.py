@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from cellquery.catalog import inputs
 from cellquery.catalog.registry import Registry, table
 from cellquery.operators import evaluation, report
+from cellquery.operators.prediction import base_model
 from cellquery.operators.tables import table_to_csv
+from cellquery.plans.evaluation import evaluate, result_file_rows
 
 QUERIES = Registry()
 query = QUERIES.query
@@ -90,10 +92,85 @@ def e7_run_plan_limit(spark, folder):
 )
 def e6_plan_accuracy(spark, folder):
     models = table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("model")).distinct()
-    asked = evaluation.run_plan(models, 9, inputs.order_qa(spark, folder))
+    return evaluation.asked_accuracy(models, 9, inputs.order_qa(spark, folder), None, scored(spark, folder))
+
+
+@query(
+    "e6_run_plan_accuracy",
+    f"""WITH {inputs.SCORED}, s AS (SELECT model, seed, sum(score) AS total FROM scored GROUP BY model, seed)
+    SELECT m.model, k.seed, coalesce(s.total, 0) / (SELECT count(*) FROM orders WHERE o_orderkey < 1000) AS accuracy
+    FROM (SELECT DISTINCT l_returnflag AS model FROM lineitem) m CROSS JOIN (SELECT unnest(range(2))::INT AS seed) k
+    LEFT JOIN s ON s.model = m.model AND s.seed = k.seed""",
+)
+def e6_run_plan_accuracy(spark, folder):
+    """Over a plan that is there anyway, of the first questions; scores are of all answers."""
+    models = table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("model")).distinct()
+    asked = evaluation.run_plan(models, 2, inputs.order_qa(spark, folder), 1000)
     return evaluation.plan_accuracy(asked, scored(spark, folder))
 
 
+def _gguf():
+    return lambda batch: [" O <|im_end|>, F" for _ in batch["question"]]
+
+
+def _transformers():
+    return lambda batch: [f'{prompt}F, 5-LOW" and, O' for prompt in batch["prompt"]]
+
+
+def _plain():
+    return lambda batch: ['x", P!' if "," in table else "" for table in batch["table"]]
+
+
+BACKENDS = {"gguf": _gguf, "transformers": _transformers, "openai": _plain, "base": base_model}
+_TYPES = "gguf transformers openai base unheard-of"
+
+
+def region_models(spark, folder):
+    """Five models of five types, one of them of no known backend."""
+    kind = F.element_at(F.split(F.lit(_TYPES), " "), (F.col("r_regionkey") + 1).cast("int"))
+    return table(spark, folder, "region").select(
+        F.col("r_name").alias("name"), kind.alias("model_type"), (F.col("r_regionkey") - 1).cast("int").alias("prompt_format")
+    )
+
+
+_BY_TYPE = f"""told AS (SELECT r_name AS model, seed, string_split('{_TYPES}', ' ')[r_regionkey + 1] AS kind, o_orderstatus AS s, o_orderpriority AS p
+    FROM orders, region, (SELECT unnest([0, 1]) AS seed)),
+  acc AS (SELECT model, seed, sum(CASE kind WHEN 'gguf' THEN (s = 'O')::INT WHEN 'transformers' THEN (s = 'F')::INT + (p = '5-LOW')::INT
+      WHEN 'openai' THEN (s = 'P')::INT ELSE 0 END / 2.0) / (SELECT count(*) FROM orders) AS accuracy FROM told GROUP BY ALL)"""
+
+
+@query("evaluate_by_type", f"WITH {_BY_TYPE} SELECT model, seed, round(accuracy, 9) AS accuracy FROM acc")
+def evaluate_by_type(spark, folder):
+    """All questions to models of all types: cut at a stop token, after the repeated prompt, or not at all."""
+    found = evaluate(
+        region_models(spark, folder), inputs.order_qa(spark, folder), inputs.customer_cells(spark, folder), BACKENDS, "base", seeds=2, tasks=32
+    )
+    return found.withColumn("accuracy", F.round("accuracy", 9))
+
+
+@query(
+    "evaluate_result_rows",
+    f"""WITH {_BY_TYPE} SELECT '2024-10-20 12:30:00' AS "Date", 'Research' AS "Dataset name", (SELECT count(*) FROM orders) AS "Dataset size",
+    'English' AS "Dataset language", model AS "Model name", format('{{:.2f}}', (SELECT count(*) FROM orders) / (length(model) + 0.5)) AS "Iteration speed",
+    '[' || string_agg(format('{{:.3f}}', accuracy), ', ' ORDER BY seed) || ']' AS "Score" FROM acc GROUP BY model""",
+)
+def evaluate_result_rows(spark, folder):
+    """The same down to the rows of the result file."""
+    elapsed = table(spark, folder, "region").select(F.col("r_name").alias("model"), (F.length("r_name") + F.lit(0.5)).alias("seconds"))
+    return result_file_rows(
+        region_models(spark, folder), inputs.order_qa(spark, folder), inputs.customer_cells(spark, folder), BACKENDS, "base",
+        elapsed, F.lit("2024-10-20 12:30:00").cast("timestamp"), "Research", seeds=2, tasks=32,
+    )
+
+
+@query("s8_stored_qa_count", "SELECT 'stored' AS name, count(*) AS n_questions FROM orders UNION ALL SELECT 'missing', 0")
+def s8_stored_qa_count(spark, folder):
+    """The count of a stored question table, and of one that is not there."""
+    inputs.order_qa(spark, folder).createOrReplaceTempView("cellquery_stored_qa")
+    count = lambda name: evaluation.stored_qa_count(spark, f"cellquery_{name}_qa").select(F.lit(name).alias("name"), "n_questions")
+    return count("stored").union(count("missing"))
+
+
 def results(spark, folder):
     elapsed = table(spark, folder, "lineitem").groupBy(F.col("l_returnflag").alias("model")).agg(
         F.sum("l_quantity").alias("seconds")

@@ -202,6 +202,45 @@ def customer_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def supplier_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """One wiki page per supplier: two sentences, a table of a header only, and one with an empty cell."""
+    firm = F.concat(F.lit("Firm"), F.col("s_suppkey").cast("string"))
+    share = F.col("s_nationkey").cast("string")
+    html = [
+        F.lit('<p>lead</p><h2 id="data">Data</h2><p>'), firm, F.lit(" said nan, and "), share, F.lit(",0 more. So "), firm,
+        F.lit("; ok</p><table><tr><th>firm</th><th>%</th></tr></table><table><tr><th>firm</th><th>share</th></tr>"),
+        *_row(firm, ""), *_row("ok", share), F.lit('</table><h2 id="z">Z</h2>'),
+    ]
+    return table(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("page_id"),
+        F.concat(F.lit("https://hu.wikipedia.org/wiki/S"), F.col("s_suppkey").cast("string")).alias("url"),
+        F.concat(*html).alias("html"),
+    )
+
+
+# Hits of a supplier's page: cell, place of the cell, sentence; strict ones, those of null cells, loose ones.
+_FIRM = "'firm' || s_suppkey"
+_SHARE = "s_nationkey || '.0'"
+_FIRST = f"{_FIRM} || ' said nan, and ' || {_SHARE} || ' more.'"
+_SECOND = f"'so ' || {_FIRM} || '; ok'"
+
+
+def supplier_hits(strict: bool = True, null_as_nan: bool = False) -> str:
+    hits = [(_FIRM, 0, 4, _FIRST), (_FIRM, 0, 5, _SECOND), (_SHARE, 3, 4, _FIRST)]
+    if strict:
+        hits += [("'ok'", 2, 5, _SECOND)]
+    else:
+        hits += [(_FIRM, 0, 0, f"{_FIRM} || ' said nan,'"), (_FIRM, 0, 2, f"'so ' || {_FIRM} || ';'")]
+        hits += [("'ok'", 2, 3, "'ok'"), (_SHARE, 3, 1, f"'and ' || {_SHARE} || ' more.'")]
+    if null_as_nan:
+        hits += [("'nan'", 1, 4, _FIRST)]
+    rows = " UNION ALL ".join(
+        f"SELECT s_suppkey, s_acctbal, 'S' || s_suppkey || '_data_1' AS context, {word} AS word, {pos} AS pos, {at} AS sentence, {said} AS original FROM supplier"
+        for word, pos, at, said in hits
+    )
+    return f"supplier_hits AS ({rows})"
+
+
 # -- orders as questions, line items as answers ------------------------------------------------
 
 

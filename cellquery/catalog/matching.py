@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellquery.catalog import inputs
-from cellquery.catalog.registry import Registry
+from cellquery.catalog.registry import Registry, table
 from cellquery.operators import matching, questions
+from cellquery.operators.report import table_index
 from cellquery.plans.harvest import harvest
+from cellquery.session import scratch
+from cellquery.sources import store
 
 QUERIES = Registry()
 query = QUERIES.query
@@ -102,3 +105,50 @@ def harvest_stored_cells(spark, folder):
         F.count(F.when(F.col("col_type") == "text", 1)).alias("n_text"),
         F.countDistinct("row_idx").alias("n_rows"),
     )
+
+
+def _supplier_qa(order: str = "s_suppkey, pos, sentence") -> str:
+    return f"""SELECT 'nt-' || (row_number() OVER (ORDER BY {order}) - 1) AS id, 'e' AS utterance, context,
+    word AS "targetValue", false AS valid, original FROM supplier_hits"""
+
+
+@query("m7_numbers_of_pages", f"WITH {inputs.supplier_hits()}, n AS ({_supplier_qa()}) SELECT 'nt-' || (row_number() OVER (ORDER BY substr(id, 4)::BIGINT) - 1) AS id, * EXCLUDE (id) FROM n WHERE \"targetValue\" LIKE '%.0'")
+def m7_numbers_of_pages(spark, folder):
+    """Only cells that read as a number become answers."""
+    return harvest(inputs.supplier_pages(spark, folder), numbers_only=True).qa()
+
+
+@query("harvest_null_as_nan", f"WITH {inputs.supplier_hits(null_as_nan=True)} {_supplier_qa()}")
+def harvest_null_as_nan(spark, folder):
+    """Empty cells match the word nan."""
+    return harvest(inputs.supplier_pages(spark, folder), null_as_nan=True).qa()
+
+
+@query("harvest_loose", f"WITH {inputs.supplier_hits(strict=False)} {_supplier_qa()}")
+def harvest_loose(spark, folder):
+    """Clauses count as sentences, so a cell can be a whole clause."""
+    return harvest(inputs.supplier_pages(spark, folder), strict=False).qa()
+
+
+@query("m8_append_qa", f"WITH {inputs.supplier_hits()} {_supplier_qa('s_acctbal >= 0, s_suppkey, pos, sentence')}")
+def m8_append_qa(spark, folder):
+    """Two batches appended to one store, the first one twice: numbers go on, nothing is there twice."""
+    path = scratch(spark)
+    owing = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("page_id"), (F.col("s_acctbal") < 0).alias("owes"))
+    pages = inputs.supplier_pages(spark, folder).join(owing, "page_id")
+    for batch, part in ((0, pages.filter("owes")), (0, pages.filter("owes")), (1, pages.filter("not owes"))):
+        store.append_numbered_qa(harvest(part.drop("owes")).qa(), path, batch)
+    return store.read_qa(spark, path)
+
+
+@query(
+    "e11_all_tables",
+    f"""WITH {inputs.supplier_hits()} SELECT 'S' || s_suppkey || '_data_0' AS table_id, 0::BIGINT AS n_rows, 2::BIGINT AS n_cols, 0::BIGINT AS n_questions FROM supplier
+    UNION ALL SELECT context, 2, 2, count(*) FROM supplier_hits GROUP BY context""",
+)
+def e11_all_tables(spark, folder):
+    """Harvested tables and questions, stored and listed, with those that have a header only."""
+    path = scratch(spark)
+    job = harvest(inputs.supplier_pages(spark, folder))
+    store.save_cells(job.stored_cells(), path, tables=job.stored_tables())
+    return table_index(store.read_cells(spark, path), job.qa(), store.read_tables(spark, path))

@@ -51,6 +51,30 @@ def s4_table_tree_cells(spark, folder):
     )
 
 
+def _put(spark, path, text):
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).create(fs_path)
+    out.write(text.encode())
+    out.close()
+
+
+@query(
+    "s4_broken_tables",
+    """SELECT 'csv/' || n_regionkey || '-csv/' || n_nationkey || '.csv' AS table_id, 0 AS col_idx, 'nation' AS col_name, n_name AS cell FROM nation
+    UNION ALL SELECT 'csv/' || n_regionkey || '-csv/' || n_nationkey || '.csv', 1, 'key', n_nationkey::VARCHAR FROM nation""",
+)
+def s4_broken_tables(spark, folder):
+    """A tree where the ``.tsv`` of every other nation cannot be read and its ``.csv`` is taken."""
+    path = scratch(spark)
+    for row in table(spark, folder, "nation").collect():  # 25 rows at every scale, one file each
+        stem = f"{path}/csv/{row.n_regionkey}-csv/{row.n_nationkey}"
+        fine = row.n_nationkey % 2
+        _put(spark, f"{stem}.tsv", f"nation\tkey\n{row.n_name}\t{row.n_nationkey}\n" + ("" if fine else "a\tb\tc\td\n"))
+        _put(spark, f"{stem}.csv", f"nation,key\n{row.n_name + ('?' if fine else '')},{row.n_nationkey}\n")
+    _training(spark, folder).write.option("sep", "\t").option("header", True).csv(f"{path}/data/training.tsv")
+    return files.read_table_tree(spark, path)[0].select("table_id", "col_idx", "col_name", "cell")
+
+
 def _training(spark, folder):
     return inputs.order_qa(spark, folder)
 
@@ -72,6 +96,12 @@ def s4_table_tree_qa(spark, folder):
 )
 def s5_save_cells(spark, folder):
     path = scratch(spark)
+    _save_thrice(spark, folder, path)
+    return store.read_cells(spark, path)
+
+
+def _save_thrice(spark, folder, path):
+    """All tables, all again, and more rows for some."""
     cells = inputs.customer_cells(spark, folder)
     store.save_cells(cells.withColumn("cell", F.lit("old")), path)
     store.save_cells(
@@ -82,7 +112,30 @@ def s5_save_cells(spark, folder):
         F.lit(1).alias("row_idx"), F.lit(0).alias("col_idx"), F.lit("name").alias("col_name"), F.lit("more").alias("cell"),
     )
     store.save_cells(more, path, "append")
-    return store.read_cells(spark, path)
+
+
+@query(
+    "s5_stored_tables",
+    """SELECT 'customer-' || c_custkey AS table_id, 'name|Percentage|nation' AS header,
+    CASE WHEN c_acctbal < 0 THEN 2 ELSE 1 END::BIGINT AS n_rows, 3::BIGINT AS n_cols FROM customer""",
+)
+def s5_stored_tables(spark, folder):
+    """Tables written, replaced, added to and made one version of."""
+    path = scratch(spark)
+    _save_thrice(spark, folder, path)
+    store.compact_cells(spark, path)
+    return store.read_tables(spark, path).withColumn("header", F.array_join("header", "|"))
+
+
+@query("s6_append_qa", f"WITH {inputs.QA} SELECT id, utterance, context, targetValue AS \"targetValue\" FROM qa")
+def s6_append_qa(spark, folder):
+    """Questions written in two parts and made one version of."""
+    path = scratch(spark)
+    qa = inputs.order_qa(spark, folder)
+    store.append_qa(qa.filter("targetValue LIKE 'O%'"), path)
+    store.append_qa(qa.filter("targetValue NOT LIKE 'O%'"), path)
+    store.compact_qa(spark, path)
+    return store.read_qa(spark, path)
 
 
 @query(
@@ -147,6 +200,16 @@ def s13_line_file(spark, folder):
     return files.read_line_file(spark, f"{path}/lines").select("idx")
 
 
+@query("s13_line_file_text", "SELECT p_partkey AS idx, p_partkey || ' ' || p_name AS text FROM part")
+def s13_line_file_text(spark, folder):
+    """Lines of files in name order; the parts' keys count from 0."""
+    path = scratch(spark)
+    line = F.concat_ws(" ", F.col("p_partkey").cast("string"), "p_name")
+    parts = table(spark, folder, "part").repartitionByRange(4, "p_partkey").sortWithinPartitions("p_partkey")
+    parts.select(line.alias("text")).write.text(path)
+    return files.read_line_file(spark, path)
+
+
 @query("s14_export_qa_csv", f"WITH {inputs.QA} SELECT id, utterance, context, targetValue AS \"targetValue\" FROM qa")
 def s14_export_qa_csv(spark, folder):
     path = scratch(spark)

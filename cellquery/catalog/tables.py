@@ -128,3 +128,26 @@ def p1_table_to_csv(spark, folder):
 def p4_reduce_tables(spark, folder):
     cut = tables.reduce_tables(conversation_cells(spark, folder), ["conv_id"], max_size=10)
     return cut.groupBy("conv_id", "row_idx").agg(F.count("*").alias("n_cells"))
+
+
+_SUPPLIER_TABLES = """t AS (SELECT s_suppkey AS page_id, 0 AS table_idx, 'firm|%' AS header, 0::BIGINT AS n_rows, 2::BIGINT AS n_cols,
+    'firm,%' || chr(10) AS csv FROM supplier
+  UNION ALL SELECT s_suppkey, 1, 'firm|share', 2, 2, concat('firm,share', chr(10), 'Firm', s_suppkey, ',', chr(10), 'ok,', s_nationkey, chr(10)) FROM supplier)"""
+
+
+def supplier_tables(spark, folder):
+    return tables.read_tables(inputs.supplier_pages(spark, folder).drop("url"), "html")
+
+
+@query("h9_tables", f"WITH {_SUPPLIER_TABLES} SELECT * EXCLUDE (csv) FROM t")
+def h9_tables(spark, folder):
+    """The tables of a page, also those without rows."""
+    listed = tables.table_list(supplier_tables(spark, folder))
+    return listed.withColumn("header", F.array_join("header", "|"))
+
+
+@query("p1_header_only", f"WITH {_SUPPLIER_TABLES} SELECT page_id, table_idx, csv FROM t")
+def p1_header_only(spark, folder):
+    """Every table as CSV text, headers from the table list."""
+    nested = supplier_tables(spark, folder)
+    return tables.table_to_csv(tables.type_cells(nested), ["page_id", "table_idx"], tables=tables.table_list(nested))

@@ -51,12 +51,12 @@ cut AS (SELECT *, left(r, greatest(length(r) - 1, 0)) || '?' AS m FROM masked)""
 
 @query(
     "q1_mask",
-    f"WITH {_STATEMENTS} SELECT doc_id, sentence_idx, m AS masked, 'Kérdés: ' || m || chr(10) || 'Válasz: ' || a || '.' AS prompt FROM cut",
+    f"WITH {_STATEMENTS} SELECT doc_id, sentence_idx, m AS masked, 'Sentence: ' || m || chr(10) || 'Word: ' || a AS prompt FROM cut",
 )
 def q1_mask(spark, folder):
     masked = text.mask_statement(F.col("s"), F.col("a"))
     return _statements(spark, folder).select(
-        "doc_id", "sentence_idx", masked.alias("masked"), text.mask_prompt(masked, F.col("a")).alias("prompt")
+        "doc_id", "sentence_idx", masked.alias("masked"), text.mask_prompt(masked, F.col("a"), ("Sentence", "Word")).alias("prompt")
     )
 
 

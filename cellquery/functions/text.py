@@ -112,9 +112,13 @@ def mask_statement(statement: Column, answer: Column) -> Column:
     return _last_char_to_question_mark(F.replace(statement, answer, F.lit(MASK)))
 
 
-def mask_prompt(masked: Column, answer: Column) -> Column:
-    """Two-line input of a mask-fill model: the labelled question, then the labelled answer."""
-    return F.concat(F.lit("Kérdés: "), masked, F.lit("\nVálasz: "), answer, F.lit("."))
+def mask_prompt(masked: Column, answer: Column, labels: tuple[str, str] = ("Question", "Answer")) -> Column:
+    """Two-line input of a mask-fill model: the labelled question, then the labelled answer.
+
+    Labels should be in the language of the model.
+    """
+    asked, told = labels
+    return F.concat(F.lit(f"{asked}: "), masked, F.lit(f"\n{told}: "), answer)
 
 
 def fill_mask(masked: Column, token: Column) -> Column:

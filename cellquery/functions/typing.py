@@ -85,11 +85,55 @@ def int_text(c: Column) -> Column:
     return F.when(bare == "-0", F.lit("0")).otherwise(bare)
 
 
+def _shortest(d: Column) -> Column:
+    """A double as ``d.ddde+XX`` with the fewest of 15, 16 or 17 digits that read back as it.
+
+    Java writes a few large whole numbers with other last digits than the nearest ones, so those that
+    fit in a long are rounded as longs. Numbers under 1e-307 keep Java's digits.
+    """
+    forms = [F.format_string(f"%.{n}e", d) for n in (14, 15, 16)]
+    large = (F.abs(d) >= float(1 << 53)) & (F.abs(d) < 9e18)
+    exact = F.abs(F.when(large, d).otherwise(F.lit(0.0)).cast("bigint"))
+    size = F.length(exact.cast("string"))
+    whole = []
+    for n in (15, 16, 17):
+        unit = F.when(size > n, F.pow(F.lit(10.0), size - n)).otherwise(F.lit(1.0)).cast("bigint")
+        rounded = (exact + F.floor(unit / 2).cast("bigint") - F.pmod(exact + F.floor(unit / 2).cast("bigint"), unit)).cast("string")
+        sign = F.when(d < 0, "-").otherwise("")
+        digits = F.concat(sign, F.substring(rounded, 1, 1), F.lit("."), F.substring(rounded, 2, 19))
+        whole.append(F.concat(digits, F.lit("e+"), F.lpad((F.length(rounded) - 1).cast("string"), 2, "0")))
+
+    def first(found: list[Column]) -> Column:
+        chosen = found[-1]
+        for form in found[-2::-1]:
+            chosen = F.when(form.try_cast("double") == d, form).otherwise(chosen)
+        return chosen
+
+    return F.when(large, first(whole)).otherwise(first(forms))
+
+
+def _spelled(form: Column) -> Column:
+    """``-d.ddde+XX`` in the usual way: as it is from 1e-4 to 1e16, else with an exponent."""
+    sign = F.when(F.startswith(form, F.lit("-")), "-").otherwise("")
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(form, r"([0-9.]+)e", 1), r"\.", ""), r"(?<=.)0+$", "")
+    power = F.regexp_extract(form, r"e([-+][0-9]+)$", 1).cast("int")
+    n = F.length(digits)
+    rest = lambda at: F.substring(digits, at + 1, n)
+    whole = F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, "0")
+    above = F.concat(sign, whole, F.lit("."), F.when(n > power + 1, rest(power + 1)).otherwise("0"))
+    below = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    mantissa = F.concat(sign, F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), rest(F.lit(1)))).otherwise(""))
+    exponent = F.concat(mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    long = F.concat(mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.abs(power).cast("string"))
+    exponent = F.when(F.abs(power) >= 100, long).otherwise(exponent)
+    return F.when((power >= 16) | (power < -4), exponent).when(power >= 0, above).otherwise(below)
+
+
 def float_text(c: Column) -> Column:
     """Text of a floating point number: shortest digits, always a point or an exponent.
 
     Up to 15 digits the cleaned decimal text already is that; longer ones and exponents go through
-    a double, whose exponent form starts at other magnitudes in Java.
+    a double. The lambda names the double's digits once for all their uses.
     """
     bare = F.lower(strip(c))
     whole = F.regexp_extract(bare, r"^[-+]?0*([0-9]*)", 1)
@@ -104,23 +148,14 @@ def float_text(c: Column) -> Column:
     short = (F.length(whole) + F.length(part) <= 15) & ~(
         (whole == "") & part.rlike("^0000")
     )
-    as_double = bare.try_cast("double")
-    size = F.abs(as_double)
-    java = as_double.cast("string")
-    exponent = F.regexp_replace(
-        F.regexp_replace(F.regexp_replace(java, r"\.0E", "E"), r"E(-?)([0-9])$", "E$10$2"),
-        r"E([0-9])",
-        "e+$1",
-    )
-    middle = F.regexp_replace(
-        F.regexp_replace(as_double.cast("decimal(38,20)").cast("string"), r"0+$", ""), r"\.$", ".0"
+    infinite = F.concat(sign, F.lit("inf"))
+    spelled = F.transform(
+        F.transform(F.array(bare.try_cast("double")), lambda d: F.when(F.abs(d) < float("inf"), _shortest(d))), _spelled
     )
     return (
         F.when(bare.rlike(r"^[-+]?[0-9]*\.?[0-9]*$") & short, plain)
-        .when(bare.rlike("inf"), F.concat(sign, F.lit("inf")))
-        .when((size >= 1e16) | ((size < 1e-4) & (size > 0)), F.replace(exponent, F.lit("E"), F.lit("e")))
-        .when(java.contains("E"), middle)
-        .otherwise(java)
+        .when(bare.rlike("inf"), infinite)
+        .otherwise(F.coalesce(F.get(spelled, F.lit(0)), infinite))
     )
 
 

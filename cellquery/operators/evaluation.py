@@ -35,24 +35,29 @@ def stored_qa_count(spark: SparkSession, table: str) -> DataFrame:
     return spark.range(1).select(F.lit(0).cast("bigint").alias("n_questions"))
 
 
-def planned_questions(qa: DataFrame, limit: int | None = None) -> DataFrame:
+def planned_questions(qa: DataFrame, limit: int | None = None, beside: list[str] = ()) -> DataFrame:
     """``question_id, _n`` of the questions ``nt-N`` with ``N`` below ``limit`` (all if null)."""
-    asked = qa.select(F.col("id").alias("question_id")).withColumn("_n", question_number(F.col("question_id")))
+    asked = qa.select(F.col("id").alias("question_id"), *beside).withColumn("_n", question_number(F.col("question_id")))
     return asked.filter(F.col("_n").isNotNull() if limit is None else F.col("_n") < limit)
 
 
 def run_plan(
-    models: DataFrame, seeds: int, qa: DataFrame, limit: int | None = None, slices: int | None = None
+    models: DataFrame,
+    seeds: int,
+    qa: DataFrame,
+    limit: int | None = None,
+    slices: int | None = None,
+    beside: list[str] = (),
 ) -> DataFrame:
     """Every model with every seed and every question ``nt-N`` with ``N`` below ``limit`` (all if null).
 
     Questions are spread over ``slices`` (four per shuffle partition, if null) and models copied to
     each, so the product is an equi-join that Spark may broadcast or shuffle, and no task holds all
-    questions.
+    questions. The columns ``beside`` of ``qa`` go along; they should be short.
     """
     slices = slices or 4 * int(qa.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = planned_questions(qa, limit)
-    asked = asked.select("question_id", F.pmod(F.xxhash64("_n"), F.lit(slices)).alias("_slice"))
+    asked = planned_questions(qa, limit, beside)
+    asked = asked.select("question_id", *beside, F.pmod(F.xxhash64("_n"), F.lit(slices)).alias("_slice"))
     copies = models.withColumn(
         "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint")))
     )

@@ -21,9 +21,9 @@ WRAPPERS = {
 
 ANSWER_TEXTS = {
     "en": (
-        "You answer questions about the table you are given. Use only the table and do not explain. "
-        "Put a comma between several answers.",
-        'Answer: "',
+        "Below come a table as CSV lines and then a question. Reply with the cell values that settle it, "
+        "nothing else; several values are separated by commas.",
+        'The values are: "',
     ),
     "hu": (
         "Lent adatok állnak, utánuk egy kérdés. Amit kérdez, azt az adatok közül írd ki, mást ne tegyél "
@@ -33,8 +33,8 @@ ANSWER_TEXTS = {
 }
 QUESTION_TEXTS = {
     "en": (
-        "The table below describes people. Write one question about it whose answer is '{answer}'.",
-        'The answer and its question: "{answer}"/"',
+        "Below come CSV lines. Think of something they tell, and ask for it so that only '{answer}' is right.",
+        'Right reply / what is asked: "{answer}"/"',
     ),
     "hu": (
         "Adatok következnek. Mit kérdeznél róluk, ha ez a megoldás: '{answer}'? Egyetlen kérdést írj.",

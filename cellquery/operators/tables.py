@@ -255,7 +255,7 @@ def _csv_line(fields: Column) -> Column:
 
 
 def table_to_csv(
-    cells: DataFrame, keys: list[str], tables: DataFrame | None = None, rows_per_block: int = 10_000
+    cells: DataFrame, keys: list[str], rows_per_block: int = 10_000, tables: DataFrame | None = None
 ) -> DataFrame:
     """``keys, csv``: each table as CSV text, header first, ``\\n`` after every line.
 

@@ -22,24 +22,26 @@ def prompt_table(
     limit: int | None = None,
     lang: Column | str = "en",
     translations: DataFrame | None = None,
+    listed: DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """One row per model, seed and question: ``model, model_type, seed, question_id, table, question, prompt``.
 
-    Table texts are made once per table and questions joined to them before the plan multiplies.
+    The plan is multiplied with questions only. Table texts, made once per table, are joined last, so
+    they are shuffled once, and a text is copied only as the rows that need it are made. Spark sizes
+    tasks by bytes; for predictors that take long per row give their number in ``tasks``.
     """
-    texts = tables.table_to_csv(cells, ["table_id"]).withColumnRenamed("csv", "table")
-    asked = evaluation.qa_with_tables(qa, texts)
+    asked = qa.select("id", "utterance", "context")
     if translations is not None:
         asked = prompts.with_translation(asked, translations).withColumn(
             "utterance", F.coalesce("translation", "utterance")
         )
     named = models.select(F.col("name").alias("model"), "model_type", "prompt_format")
-    plan = evaluation.run_plan(named, seeds, asked, limit)
-    full = plan.join(
-        asked.select(F.col("id").alias("question_id"), "table", F.col("utterance").alias("question")),
-        "question_id",
-    )
-    return prompts.answer_prompt(full, F.col("prompt_format"), lang)
+    plan = evaluation.run_plan(named, seeds, asked, limit, beside=["utterance", "context"])
+    texts = tables.table_to_csv(cells, ["table_id"], tables=listed)
+    full = plan.join(texts.select(F.col("table_id").alias("context"), F.col("csv").alias("table")), "context")
+    full = full if tasks is None else full.repartition(tasks)
+    return prompts.answer_prompt(full.withColumnRenamed("utterance", "question"), F.col("prompt_format"), lang)
 
 
 def answers(completions: DataFrame, kind: Column | str = "model_type") -> DataFrame:
@@ -68,3 +70,13 @@ def evaluate(
     rows = evaluation.evaluate_rows(answers(completions, kind), qa)
     named = models.select(F.col("name").alias("model"))
     return evaluation.asked_accuracy(named, options.get("seeds", 1), qa, options.get("limit"), rows)
+
+
+def result_file_rows(
+    models: DataFrame, qa: DataFrame, cells: DataFrame, backends: dict, default: str, elapsed: DataFrame, date: Column,
+    dataset_name: str, language_en: bool = True, **options
+) -> DataFrame:
+    """The rows of the result file of an evaluation; ``elapsed`` has ``model, seconds``."""
+    found = evaluate(models, qa, cells, backends, default, **options)
+    size = evaluation.planned_questions(qa, options.get("limit")).count()
+    return evaluation.result_rows(found, elapsed, date, dataset_name, size, language_en)

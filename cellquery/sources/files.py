@@ -6,12 +6,13 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellquery.operators.numbering import dense_number
 from cellquery.operators.tables import type_cells
+from cellquery.session import materialize
 
 PAGES = "page_id long, url string, html string"
 NESTED_QA = "table struct<header:array<string>,rows:array<array<string>>>, question string, answers array<string>"
@@ -64,30 +65,35 @@ def _parse_files(separator: str):
     return parse
 
 
-def _table_files(spark: SparkSession, folder: str, ending: str) -> DataFrame:
-    path = F.col("_metadata.file_path")
-    return (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"*{ending}")
-        .text(folder, wholetext=True)
-        .select(F.regexp_replace(path, rf"\Q{ending}\E$", "").alias("stem"), "value")
-    )
+def _stem(ending: str) -> Column:
+    return F.regexp_replace(F.col("_metadata.file_path"), rf"\Q{ending}\E$", "").alias("stem")
+
+
+def _table_files(spark: SparkSession, paths: str | list[str], ending: str) -> DataFrame:
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{ending}")
+    return reader.text(paths, wholetext=True).select(_stem(ending), "value")
+
+
+def _substitutes(spark: SparkSession, folder: str, broken: DataFrame) -> list[str]:
+    """The ``.csv`` files beside broken ``.tsv`` files. Only names are listed, no content is read; the
+    driver lists all files of a folder anyway."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(folder)
+    return [r["path"] for r in listed.select(_stem(".csv"), "path").join(broken, "stem", "left_semi").collect()]
 
 
 def read_table_tree(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """``(cells, qa)`` of a tree ``csv/<dir>/<n>.tsv`` with questions in ``data/training.tsv``.
 
     A ``.tsv`` that cannot be read is replaced by the ``.csv`` of the same name. Tables are named
-    ``csv/<dir>/<n>.csv``, as the questions name them.
+    ``csv/<dir>/<n>.csv``, as the questions name them. Every file is parsed once: a parse gives its
+    rows or, with a null header, the mark that it failed, and that is written out.
     """
     schema = "stem string, header array<string>, rows array<array<string>>"
-    tsv = _table_files(spark, f"{folder}/csv", ".tsv").mapInPandas(_parse_files("\t"), schema)
-    broken = tsv.filter(F.col("header").isNull()).select("stem")
-    csv = (
-        _table_files(spark, f"{folder}/csv", ".csv")
-        .join(broken, "stem", "left_semi")
-        .mapInPandas(_parse_files(","), schema)
-    )
+    tsv = materialize(_table_files(spark, f"{folder}/csv", ".tsv").mapInPandas(_parse_files("\t"), schema))
+    others = _substitutes(spark, f"{folder}/csv", tsv.filter(F.col("header").isNull()).select("stem"))
+    csv = tsv.limit(0)
+    if others:
+        csv = _table_files(spark, others, ".csv").mapInPandas(_parse_files(","), schema)
     tables = tsv.unionByName(csv).filter(F.col("header").isNotNull())
     parts = F.split("stem", "/")
     name = F.concat(

@@ -5,30 +5,26 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellquery.operators import evaluation, prediction, prompts, report
-from cellquery.plans.evaluation import answers, evaluate, prompt_table
+from cellquery.plans.evaluation import answers, evaluate, prompt_table, result_file_rows
 from cellquery.plans.generation import generate_qa
 from test_tables import frame_cells
 
-PEOPLE = pd.DataFrame(
-    {
-        "Name": ["Ilka", "Bence", "Dora", "Mark", "Zita"],
-        "Age": ["51", "33", "47", "29", "62"],
-        "Occupation": ["Baker", "Pilot", "Tailor", "Miller", "Gardener"],
-        "Salary": ["410", "620", "350", "580", "590"],
-    }
+LINES = pd.DataFrame(
+    {"line": ["12", "M4", "31B", "N2"], "stops": ["18", "9", "23", "14"], "ends at": ["Harbour", "Airport", "Old Town", "Harbour"]}
 )
 QA_SCHEMA = "id string, utterance string, context string, targetValue string, valid boolean, original string"
+STOPS, LONGEST, SHARED, BOTH = "How often does M4 stop?", "Where does the longest line end?", "Which place do two lines share?", "Name the lines to it."
 
 
 @pytest.fixture
-def people(spark):
-    return frame_cells(spark, "People_0", PEOPLE)
+def lines(spark):
+    return frame_cells(spark, "city-lines", LINES)
 
 
 @pytest.fixture
-def people_qa(spark):
-    rows = [("How old is Ilka?", "51"), ("What is the occupation of Bence?", "Pilot"), ("Who earns 350?", "Dora")]
-    return spark.createDataFrame([(f"nt-{i}", q, "People_0", a, True, None) for i, (q, a) in enumerate(rows)], QA_SCHEMA)
+def lines_qa(spark):
+    rows = [(STOPS, "9"), (LONGEST, "Old Town"), (SHARED, "Harbour"), (BOTH, "12|N2")]
+    return spark.createDataFrame([(f"nt-{i}", q, "city-lines", a, True, None) for i, (q, a) in enumerate(rows)], QA_SCHEMA)
 
 
 @pytest.fixture
@@ -97,50 +93,67 @@ def test_base_model_and_backends(spark):
     assert got == {"q1": "Gq1", "q2": "t\nq2\nBase model answer.", "q3": "t\nq3\nBase model answer."}
 
 
-def test_run_plan(spark, models, people_qa):
+def test_run_plan(spark, models, lines_qa):
     named = models.select(F.col("name").alias("model"))
-    for limit, n in ((None, 3), (2, 2), (10, 3)):
-        plan = evaluation.run_plan(named, 2, people_qa, limit)
+    for limit, n in ((None, 4), (2, 2), (10, 4)):
+        plan = evaluation.run_plan(named, 2, lines_qa, limit)
         expected = {(f"nt-{q}", m, s) for q in range(n) for m in ("Modell", "Second") for s in range(2)}
         got = [tuple(r) for r in plan.select("question_id", "model", "seed").collect()]
         assert set(got) == expected and len(got) == len(expected)
 
 
-def test_evaluation_end_to_end(spark, models, people, people_qa):
-    truth = {"How old is Ilka?": "51.", "What is the occupation of Bence?": "sailor", "Who earns 350?": " dora"}
+def test_evaluation_end_to_end(spark, models, lines, lines_qa):
+    told = {STOPS: "9.", LONGEST: "Airport", SHARED: " harbour", BOTH: "n2, 31B"}
 
     def transformers():
-        return lambda batch: [f'{p}{truth[q]}" and more' for p, q in zip(batch["prompt"], batch["question"])]
+        return lambda batch: [f'{p}{told[q]}" and more' for p, q in zip(batch["prompt"], batch["question"])]
 
     def failing():
         def run(batch):
-            if "Who earns 350?" in set(batch["question"]):
+            if SHARED in set(batch["question"]):
                 raise ValueError("context")
-            return [truth[q] for q in batch["question"]]
+            return [told[q] for q in batch["question"]]
 
         return run
 
-    asked = prompt_table(models, people_qa, people, seeds=2)
-    assert asked.count() == 12
-    assert asked.first()["table"] == PEOPLE.to_csv(index=False)
+    asked = prompt_table(models, lines_qa, lines, seeds=2)
+    assert asked.count() == 16
+    assert asked.first()["table"] == LINES.to_csv(index=False)
     done = prediction.predict_by_type(asked, {"transformers": transformers, "gguf": failing}, "gguf")
-    rows = evaluation.evaluate_rows(answers(done), people_qa)
+    rows = evaluation.evaluate_rows(answers(done), lines_qa)
     scores = {(r["model"], r["seed"], r["question_id"]): r["score"] for r in rows.collect()}
+    right = {0: 1.0, 1: 0.0, 2: 1.0, 3: 0.5}
     assert scores == {
-        **{("Modell", s, f"nt-{q}"): v for s in (0, 1) for q, v in ((0, 1.0), (1, 0.0), (2, 1.0))},
-        **{("Second", s, f"nt-{q}"): v for s in (0, 1) for q, v in ((0, 1.0), (1, 0.0))},
+        **{("Modell", s, f"nt-{q}"): v for s in (0, 1) for q, v in right.items()},
+        **{("Second", s, f"nt-{q}"): v for s in (0, 1) for q, v in right.items() if q != 2},
+    }
+    table = evaluate(models, lines_qa, lines, {"gguf": failing}, "gguf", seeds=2, tasks=3)
+    assert {(r["model"], r["seed"]): r["accuracy"] for r in table.collect()} == {
+        (m, s): 1.5 / 4 for m in ("Modell", "Second") for s in (0, 1)
     }
-    table = evaluate(models, people_qa, people, {"gguf": failing}, "gguf", seeds=2)
-    assert {(r["model"], r["seed"]): round(r["accuracy"], 9) for r in table.collect()} == {
-        (m, s): round(1 / 3, 9) for m in ("Modell", "Second") for s in (0, 1)
+
+
+def test_backends_end_where_their_texts_end(spark, models, lines, lines_qa):
+    """A stop token, a repeated prompt, and a text as it is, in one evaluation down to the result file."""
+    kinds = models.unionByName(
+        spark.createDataFrame([("Third", "u", "openai", 0, 9)], "name string, url string, model_type string, layer_offset int, prompt_format int")
+    )
+    backends = {
+        "gguf": lambda: lambda b: ["Harbour</s>, 9" for _ in b["prompt"]],
+        "transformers": lambda: lambda b: [f'{p}9, Old Town" Harbour' for p in b["prompt"]],
+        "openai": lambda: lambda b: ['"12", Harbour' for _ in b["prompt"]],
     }
+    elapsed = spark.createDataFrame([("Modell", 8.0), ("Second", 2.0), ("Third", 3.0)], "model string, seconds double")
+    rows = result_file_rows(kinds, lines_qa, lines, backends, "gguf", elapsed, F.lit("2025-01-02 03:04:05").cast("timestamp"), "Lines")
+    got = {r["Model name"]: (r["Score"], r["Iteration speed"], r["Dataset size"]) for r in rows.collect()}
+    assert got == {"Modell": ("[0.500]", "0.50", 4), "Second": ("[0.250]", "2.00", 4), "Third": ("[0.375]", "1.33", 4)}
 
 
-def test_translated_prompts(spark, models, people, people_qa):
-    lines = spark.createDataFrame([(0, "Hány éves Ilka?"), (2, "Ki keres 350-et?")], "idx int, text string")
-    asked = prompt_table(models, people_qa, people, lang="hu", translations=lines)
+def test_translated_prompts(spark, models, lines, lines_qa):
+    spoken = spark.createDataFrame([(0, "Hány megállója van?"), (2, "Hol van kettőnek vége?")], "idx int, text string")
+    asked = prompt_table(models, lines_qa, lines, lang="hu", translations=spoken)
     got = {r["question_id"]: r["question"] for r in asked.collect()}
-    assert got == {"nt-0": "Hány éves Ilka?", "nt-1": "What is the occupation of Bence?", "nt-2": "Ki keres 350-et?"}
+    assert got == {"nt-0": "Hány megállója van?", "nt-1": LONGEST, "nt-2": "Hol van kettőnek vége?", "nt-3": BOTH}
 
 
 def test_results_and_leaderboard(spark):
@@ -157,34 +170,34 @@ def test_results_and_leaderboard(spark):
     assert [b[0] for b in board] == ["b", "a"] and board[0][1:] == (float(f"{2.675:.3f}"), 3.33)
 
 
-def test_sql_answer_verdict(spark, people_qa):
+def test_sql_answer_verdict(spark, lines_qa):
     results = spark.createDataFrame(
-        [("nt-0", 1, "33"), ("nt-0", 0, "51"), ("nt-1", 0, "Miller")], "question_id string, row_no int, value string"
+        [("nt-0", 1, "14"), ("nt-0", 0, "9"), ("nt-1", 0, "Airport")], "question_id string, row_no int, value string"
     )
-    got = {r["question_id"]: r["verdict"] for r in evaluation.sql_answer_verdict(results, people_qa).collect()}
-    assert got == {"nt-0": True, "nt-1": False, "nt-2": False}
+    got = {r["question_id"]: r["verdict"] for r in evaluation.sql_answer_verdict(results, lines_qa).collect()}
+    assert got == {"nt-0": True, "nt-1": False, "nt-2": False, "nt-3": False}
 
 
-def test_table_index(spark, people, people_qa):
-    other = frame_cells(spark, "other", PEOPLE[["Name"]])
-    got = {r["table_id"]: tuple(r)[1:] for r in report.table_index(people.union(other), people_qa).collect()}
-    assert got == {"People_0": (5, 4, 3), "other": (5, 1, 0)}
+def test_table_index(spark, lines, lines_qa):
+    other = frame_cells(spark, "other", LINES[["line"]])
+    got = {r["table_id"]: tuple(r)[1:] for r in report.table_index(lines.union(other), lines_qa).collect()}
+    assert got == {"city-lines": (4, 3, 4), "other": (4, 1, 0)}
 
 
-def test_question_count(spark, people_qa):
-    assert evaluation.qa_count(people_qa).first()[0] == 3
+def test_question_count(spark, lines_qa):
+    assert evaluation.qa_count(lines_qa).first()[0] == 4
     assert evaluation.stored_qa_count(spark, "no_such_table").first()[0] == 0
-    people_qa.createOrReplaceTempView("qa_table")
-    assert evaluation.stored_qa_count(spark, "qa_table").first()[0] == 3
+    lines_qa.createOrReplaceTempView("qa_table")
+    assert evaluation.stored_qa_count(spark, "qa_table").first()[0] == 4
 
 
-def test_generate_qa(spark, people):
+def test_generate_qa(spark, lines):
     def quoting():
         return lambda batch: [f'"no" "Who or what is {a}?" "x' for a in batch["answer"]]
 
-    for n, expected in ((4, 4), (30, 20)):
-        made = generate_qa(people, n, quoting, fmt=3).collect()
+    for n, expected in ((4, 4), (30, 12)):
+        made = generate_qa(lines, n, quoting, fmt=3).collect()
         assert sorted(r["id"] for r in made) == sorted(f"nt-{i}" for i in range(expected))
-        cells = set(PEOPLE.to_numpy().ravel())
+        cells = set(LINES.to_numpy().ravel())
         assert all(r["utterance"] == f"Who or what is {r['targetValue']}?" and r["targetValue"] in cells for r in made)
-        assert len({r["targetValue"] for r in made}) == expected
+        assert len({r["targetValue"] for r in made}) >= expected - 1  # one place is there twice

@@ -2,6 +2,8 @@
 
 import csv
 import io
+import random
+import struct
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -48,6 +50,26 @@ def test_float_text_is_pythons(spark):
     assert {r["v"]: r["t"] for r in df.collect()} == {v: str(float(v)) for v in values}
 
 
+def test_float_text_over_all_magnitudes(spark):
+    pick = random.Random(4)
+    values = {f"{pick.choice(['', '-'])}{pick.randint(0, 10 ** pick.randint(1, 19))}.{pick.randint(0, 10 ** pick.randint(1, 19))}" for _ in range(1500)}
+    values |= {f"{pick.randint(0, 10 ** 17)}e{pick.randint(-330, 300)}" for _ in range(1500)}
+    values |= {repr(struct.unpack("d", pick.randbytes(8))[0]) for _ in range(1500)}
+    values = [v for v in values | {"1e400", "-1e400", "1e23", "2e-3", "0e5", "-0e1"} if v != "nan" and not 0 < abs(float(v)) < 1e-307]
+    df = spark.createDataFrame([(v,) for v in values], "v string").select("v", float_text(F.col("v")).alias("t"))
+    wrong = {r["v"]: (r["t"], str(float(r["v"]))) for r in df.collect() if r["t"] != str(float(r["v"]))}
+    assert not wrong, (len(wrong), list(wrong.items())[:5])
+
+
+def test_tables_without_rows(spark):
+    html = "<table><tr><th>a</th><th>%</th></tr></table><table><tr><th>b</th></tr><tr><td>x,\"y\"</td></tr></table>"
+    nested = tables.read_tables(spark.createDataFrame([(1, html), (2, "none")], "p int, html string"), "html")
+    listed = tables.table_list(nested)
+    assert sorted(tuple(r) for r in listed.collect()) == [(1, 0, ["a", "%"], 0, 2), (1, 1, ["b"], 1, 1)]
+    texts = tables.table_to_csv(tables.type_cells(nested), ["p", "table_idx"], tables=listed)
+    assert {r["table_idx"]: r["csv"] for r in texts.collect()} == {0: "a,%\n", 1: 'b\n"x,""y"""\n'}
+
+
 def test_typing_against_pandas(spark):
     header = ["a", "b", "c", "d"]
     rows = [["1", "2.5", "", "x"], ["-3", "1e-3", "7", "NaN"], ["+4", ".5", "8", "12"], ["05", "inf", "9", ""]]

@@ -57,7 +57,7 @@ def test_mask_and_fill(spark):
     masked = apply(spark, text.mask_statement, ("az ég kék.", "kék"), ("15 és 5.", "5"), ("x y", "y"))
     assert masked == ["az ég <mask>?", "1<mask> és <mask>?", "x <mask?"]
     assert apply(spark, text.fill_mask, ("az ég <mask>?", "mi")) == ["az ég mi?"]
-    assert apply(spark, text.mask_prompt, ("az ég <mask>?", "kék")) == ["Kérdés: az ég <mask>?\nVálasz: kék."]
+    assert apply(spark, text.mask_prompt, ("az ég <mask>?", "kék")) == ["Question: az ég <mask>?\nAnswer: kék"]
     guard = lambda variant: lambda s, a: text.question_guard(s, a, variant)
     match = apply(spark, guard("match"), ("15 és 5.", "5"), ("az ég kék.", "kék"), ("x y", "y"), ("a.", ""))
     assert [tuple(r) for r in match] == [
