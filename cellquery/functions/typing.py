@@ -79,84 +79,93 @@ def column_types(coded: Column, n_cols: Column) -> Column:
     return F.transform(F.transform(positions, of_column), name)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def int_text(c: Column) -> Column:
     """Canonical text of a whole number: no plus sign, no leading zeros."""
     bare = F.regexp_replace(strip(c), r"^([-]?)\+?0*([0-9])", "$1$2")
-    return F.when(bare == "-0", F.lit("0")).otherwise(bare)
+    return let(bare, lambda b: F.when(b == "-0", F.lit("0")).otherwise(b))
+
+
+def _rounded(x: Column, digits: int) -> Column:
+    """A whole number of up to 19 digits, rounded to so many, as ``d.ddde+XX``."""
+    size = F.length(x.cast("string"))
+    unit = F.when(size > digits, F.pow(F.lit(10.0), size - digits)).otherwise(F.lit(1.0)).cast("bigint")
+    nearest = let(unit, lambda u: let(x + F.shiftright(u, 1), lambda y: (y - F.pmod(y, u)).cast("string")))
+    power = lambda t: F.lpad((F.length(t) - 1).cast("string"), 2, "0")
+    return let(nearest, lambda t: F.concat(F.substring(t, 1, 1), F.lit("."), F.substring(t, 2, 19), F.lit("e+"), power(t)))
 
 
 def _shortest(d: Column) -> Column:
-    """A double as ``d.ddde+XX`` with the fewest of 15, 16 or 17 digits that read back as it.
+    """A positive double as ``d.ddde+XX`` with the fewest of 15, 16 or 17 digits that read back as it.
 
     Java writes a few large whole numbers with other last digits than the nearest ones, so those that
     fit in a long are rounded as longs. Numbers under 1e-307 keep Java's digits.
     """
-    forms = [F.format_string(f"%.{n}e", d) for n in (14, 15, 16)]
-    large = (F.abs(d) >= float(1 << 53)) & (F.abs(d) < 9e18)
-    exact = F.abs(F.when(large, d).otherwise(F.lit(0.0)).cast("bigint"))
-    size = F.length(exact.cast("string"))
-    whole = []
-    for n in (15, 16, 17):
-        unit = F.when(size > n, F.pow(F.lit(10.0), size - n)).otherwise(F.lit(1.0)).cast("bigint")
-        rounded = (exact + F.floor(unit / 2).cast("bigint") - F.pmod(exact + F.floor(unit / 2).cast("bigint"), unit)).cast("string")
-        sign = F.when(d < 0, "-").otherwise("")
-        digits = F.concat(sign, F.substring(rounded, 1, 1), F.lit("."), F.substring(rounded, 2, 19))
-        whole.append(F.concat(digits, F.lit("e+"), F.lpad((F.length(rounded) - 1).cast("string"), 2, "0")))
-
-    def first(found: list[Column]) -> Column:
-        chosen = found[-1]
-        for form in found[-2::-1]:
-            chosen = F.when(form.try_cast("double") == d, form).otherwise(chosen)
-        return chosen
-
-    return F.when(large, first(whole)).otherwise(first(forms))
+
+    def first(forms: list[Column]) -> Column:
+        right = [let(form, lambda f: F.when(f.try_cast("double") == d, f)) for form in forms[:-1]]
+        return F.coalesce(*right, forms[-1])
+
+    whole = let(d.cast("bigint"), lambda x: first([_rounded(x, n) for n in (15, 16, 17)]))
+    return F.when((d >= float(1 << 53)) & (d < 9e18), whole).otherwise(first([F.format_string(f"%.{n}e", d) for n in (14, 15, 16)]))
 
 
 def _spelled(form: Column) -> Column:
-    """``-d.ddde+XX`` in the usual way: as it is from 1e-4 to 1e16, else with an exponent."""
-    sign = F.when(F.startswith(form, F.lit("-")), "-").otherwise("")
+    """``d.ddde+XX`` in the usual way: as it is from 1e-4 to 1e16, else with an exponent."""
     digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(form, r"([0-9.]+)e", 1), r"\.", ""), r"(?<=.)0+$", "")
-    power = F.regexp_extract(form, r"e([-+][0-9]+)$", 1).cast("int")
-    n = F.length(digits)
-    rest = lambda at: F.substring(digits, at + 1, n)
-    whole = F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, "0")
-    above = F.concat(sign, whole, F.lit("."), F.when(n > power + 1, rest(power + 1)).otherwise("0"))
-    below = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    mantissa = F.concat(sign, F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), rest(F.lit(1)))).otherwise(""))
-    exponent = F.concat(mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
-    long = F.concat(mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.abs(power).cast("string"))
-    exponent = F.when(F.abs(power) >= 100, long).otherwise(exponent)
-    return F.when((power >= 16) | (power < -4), exponent).when(power >= 0, above).otherwise(below)
+    parts = F.struct(digits.alias("digits"), F.regexp_extract(form, r"e([-+][0-9]+)$", 1).cast("int").alias("power"))
+
+    def text(p: Column) -> Column:
+        digits, power, n = p["digits"], p["power"], F.length(p["digits"])
+        rest = lambda at: F.when(n > at, F.substring(digits, at + 1, n)).otherwise("0")
+        above = F.concat(F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, "0"), F.lit("."), rest(power + 1))
+        below = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        mantissa = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""))
+        size = F.abs(power).cast("string")
+        exponent = F.concat(mantissa, F.when(power < 0, "e-").otherwise("e+"), F.lpad(size, F.greatest(F.length(size), F.lit(2)), "0"))
+        return F.when((power >= 16) | (power < -4), exponent).when(power >= 0, above).otherwise(below)
+
+    return let(parts, text)
+
+
+def _rounded_text(bare: Column) -> Column:
+    """The text of a number that only a double tells."""
+    sign = F.when(F.startswith(bare, F.lit("-")), "-").otherwise("")
+    digits = lambda d: F.when(F.abs(d) < float("inf"), _shortest(F.abs(d)))
+    return F.concat(sign, F.coalesce(let(let(bare.try_cast("double"), digits), _spelled), F.lit("inf")))
+
+
+def _float_text(bare: Column) -> Column:
+    parts = F.struct(
+        F.regexp_extract(bare, r"^[-+]?0*([0-9]*)", 1).alias("whole"),
+        F.regexp_extract(bare, r"\.([0-9]*?)0*$", 1).alias("part"),
+    )
+
+    def text(p: Column) -> Column:
+        whole, part = p["whole"], p["part"]
+        plain = F.concat(
+            F.when(F.startswith(bare, F.lit("-")), "-").otherwise(""),
+            F.when(whole == "", "0").otherwise(whole),
+            F.lit("."),
+            F.when(part == "", "0").otherwise(part),
+        )
+        short = (F.length(whole) + F.length(part) <= 15) & ~((whole == "") & part.startswith("0000"))
+        return F.when(short & bare.rlike(r"^[-+]?[0-9]*\.?[0-9]*$"), plain).otherwise(_rounded_text(bare))
+
+    return let(parts, text)
 
 
 def float_text(c: Column) -> Column:
     """Text of a floating point number: shortest digits, always a point or an exponent.
 
     Up to 15 digits the cleaned decimal text already is that; longer ones and exponents go through
-    a double. The lambda names the double's digits once for all their uses.
+    a double.
     """
-    bare = F.lower(strip(c))
-    whole = F.regexp_extract(bare, r"^[-+]?0*([0-9]*)", 1)
-    part = F.regexp_extract(bare, r"\.([0-9]*?)0*$", 1)
-    sign = F.when(F.startswith(bare, F.lit("-")), "-").otherwise("")
-    plain = F.concat(
-        sign,
-        F.when(whole == "", "0").otherwise(whole),
-        F.lit("."),
-        F.when(part == "", "0").otherwise(part),
-    )
-    short = (F.length(whole) + F.length(part) <= 15) & ~(
-        (whole == "") & part.rlike("^0000")
-    )
-    infinite = F.concat(sign, F.lit("inf"))
-    spelled = F.transform(
-        F.transform(F.array(bare.try_cast("double")), lambda d: F.when(F.abs(d) < float("inf"), _shortest(d))), _spelled
-    )
-    return (
-        F.when(bare.rlike(r"^[-+]?[0-9]*\.?[0-9]*$") & short, plain)
-        .when(bare.rlike("inf"), infinite)
-        .otherwise(F.coalesce(F.get(spelled, F.lit(0)), infinite))
-    )
+    return let(F.lower(strip(c)), _float_text)
 
 
 def typed_text(cell: Column, col_type: Column) -> Column:
