@@ -29,7 +29,19 @@ from pyspark.sql import functions as F
 from cellquery.llm import words as W
 from cellquery.llm.graph import components
 from cellquery.llm.repeats import first_texts, order_of
-from cellquery.llm.scratch import bitset, may_hold, pack, prepare, row_key, save, slots, tree_combine, without
+from cellquery.llm.scratch import (
+    bitset,
+    finished,
+    may_hold,
+    pack,
+    prepare,
+    row_key,
+    save,
+    slots,
+    tree_combine,
+    unused,
+    without,
+)
 from cellquery.llm.substrings import sequences
 
 #: Counters of the frequency table, as a power of two: 16 MB.
@@ -333,12 +345,16 @@ def near_duplicates(
     what links reach, ``component_id`` is the smallest id in it, ``n`` the size of the set.
     """
     prepare(docs)
-    docs = docs.select(
+    named = docs.select(
         F.col(id_col).alias("id"),
         order_of(id_col).alias("order"),
         row_key(id_col, text_col).alias("key"),
         F.col(text_col).alias("text"),
     )
+    return finished(docs.sparkSession, lambda: _near_duplicates(named, size, percent))
+
+
+def _near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     table = described(docs, size)
     slim = table.filter("blob is null").drop("blob")
     counts = tree_combine(table, "blob", np.int64, np.add, np.zeros(1 << COUNTER_BITS, np.int64))
@@ -360,7 +376,8 @@ def near_duplicates(
     def fingerprint(texts):
         return np.array([class_of(g) for g in sets(texts, size)], np.uint64)
 
-    texts = first_texts(docs, chosen, fingerprint).select("class", "text")
+    # What is chosen grows with the documents, so it is never broadcast.
+    texts = first_texts(docs, chosen.hint("merge"), fingerprint).select("class", "text")
     links = save(verified(pairs, texts, size, percent))
     labels = components(links)
     later = save(later_pairs(middle, crowds, labels, percent))
@@ -394,14 +411,19 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each group of near duplicates (the smallest id), and all rows linked with nothing."""
-    rows = save(near_duplicates(docs, id_col, text_col, **options).select("key", "order", "n", "component"))
-    linked = rows.filter("n > 0")
-    kept = linked.groupBy("component").agg(F.min(F.struct("order", "key")).alias("_kept")).select("_kept.key")
-    times = linked.groupBy("key").agg(F.count("*").alias("times"))
-    # rows that go, and keys of several equal rows, of which one stays
-    status = save(times.join(kept.withColumn("stays", F.lit(True)), "key", "left"))
+    rows = near_duplicates(docs, id_col, text_col, **options).select("key", "order", "n", "component")
+
+    def decided() -> DataFrame:
+        linked = rows.filter("n > 0")
+        kept = linked.groupBy("component").agg(F.min(F.struct("order", "key")).alias("_kept")).select("_kept.key")
+        times = linked.groupBy("key").agg(F.count("*").alias("times"))
+        # rows that go, and keys of several equal rows, of which one stays
+        return times.join(kept.withColumn("stays", F.lit(True)), "key", "left")
+
+    status = finished(docs.sparkSession, decided)
     gone = status.filter("stays is null or times > 1").select("key")
     rest = without(docs, row_key(id_col, text_col), gone)
-    several = status.filter("stays and times > 1").select(F.col("key").alias("_key"))
-    again = docs.withColumn("_key", row_key(id_col, text_col)).join(several, "_key", "left_semi")
-    return rest.unionByName(again.dropDuplicates(["_key"]).drop("_key"))
+    named = unused("_key", docs.columns)
+    several = status.filter("stays and times > 1").select(F.col("key").alias(named))
+    again = docs.withColumn(named, row_key(id_col, text_col)).join(several, named, "left_semi")
+    return rest.unionByName(again.dropDuplicates([named]).drop(named))

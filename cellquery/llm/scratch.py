@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellquery.session import scratch
@@ -24,14 +25,51 @@ def save(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there.
 
     It cuts lineage, survives lost executors, and gives every later pass the same rows. The folder
-    is deleted when the application ends.
+    is deleted when the application ends, or when the work it was saved for is ``finished``.
     """
     spark = df.sparkSession
     path = scratch(spark)
+    if _saved:
+        _saved[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables saved within each ``finished`` that is under way, the innermost last.
+_saved: list[list[str]] = []
+
+
+def finished(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``build``, written out; what was saved on the way to it is deleted.
+
+    Shuffle files go when nothing refers to their jobs any more, which the driver only notices when
+    it collects garbage, so it is asked to.
+    """
+    _saved.append([])
+    try:
+        result = build()
+    except BaseException:
+        _saved.pop()
+        raise
+    passed = _saved.pop()
+    kept = save(result)
+    del result
+    for path in passed:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    gc.collect()
+    spark._jvm.System.gc()
+    return kept
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or a longer one that no column has (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pack(values: np.ndarray) -> bytes:
     """An array as compressed bytes, for one cell of a table."""
     return zlib.compress(np.ascontiguousarray(values).tobytes(), 1)
@@ -116,14 +154,15 @@ def without(docs: DataFrame, key: Column, gone: DataFrame, bits: int = 24) -> Da
     """The rows of ``docs`` whose key is not in the only column of ``gone``.
 
     Rows that a filter of fixed size rules out stay where they are; only the others are shuffled to
-    the exact anti-join.
+    the exact anti-join. What is gone grows with the documents, so it is never broadcast.
     """
     import pyarrow as pa
 
     prepare(docs)
-    gone = gone.select(F.col(gone.columns[0]).alias("_key"))
-    sent = docs.sparkSession.sparkContext.broadcast(bitset(gone, "_key", bits))
-    keyed = docs.withColumn("_key", key)
+    named = unused("_key", docs.columns)
+    gone = gone.select(F.col(gone.columns[0]).alias(named))
+    sent = docs.sparkSession.sparkContext.broadcast(bitset(gone, named, bits))
+    keyed = docs.withColumn(named, key)
     place = len(docs.columns)
 
     def part(wanted):
@@ -134,4 +173,4 @@ def without(docs: DataFrame, key: Column, gone: DataFrame, bits: int = 24) -> Da
 
         return keyed.mapInArrow(rows, keyed.schema)
 
-    return part(False).unionByName(part(True).join(gone, "_key", "left_anti")).drop("_key")
+    return part(False).unionByName(part(True).join(gone.hint("merge"), named, "left_anti")).drop(named)
