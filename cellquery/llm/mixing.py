@@ -6,8 +6,9 @@ and documents are taken by comparing their hash with it. Nothing is sorted, and
 nested: a smaller budget takes a subset of what a larger one takes.
 
 A null or empty text has no words and nothing of it is taken. A null source is a source of its own
-(the last one). Documents with one id have one hash, so they are taken together; a null id is an id.
-Repeated rows are separate documents. An empty table gives an empty mix.
+(the last one). The hash is of id and text, so documents that share an id, or have none, are told
+apart; only rows with equal id and text have one hash and are taken together. Repeated rows are
+separate documents. An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellquery.llm.scratch import save
+from cellquery.llm.scratch import save, unused
 from cellquery.operators.numbering import dense_number
 
 #: Bits of a level of the histogram, and levels: 32 bits of the hash are used.
@@ -30,9 +31,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def hash32(key: Column) -> Column:
-    """The first 32 bits of the MD5 of the key as text, which any SQL engine can follow."""
-    text = F.coalesce(key.cast("string"), F.lit("null"))
+def hash32(key: Column, content: Column) -> Column:
+    """The first 32 bits of the MD5 of the key and the text, which any SQL engine can follow."""
+    text = F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(content, F.lit("")))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
@@ -152,7 +153,7 @@ def mix(
             word_count(F.col(text_col)).alias("size"),
             source.alias("source"),
             F.coalesce(F.concat(F.lit("s"), source), F.lit("null")).alias("_source"),
-            hash32(F.col(id_col)).alias("_hash"),
+            hash32(F.col(id_col), F.col(text_col)).alias("_hash"),
             *[F.col(c).alias(f"_keep_{c}") for c in keep],
         )
     )
@@ -190,18 +191,20 @@ def take(
             word_count(F.col(text_col)).alias("size"),
             F.col(source_col).isNull().alias("_null"),
             source.alias("_source"),
-            hash32(F.col(id_col)).alias("_hash"),
+            hash32(F.col(id_col), F.col(text_col)).alias("_hash"),
         )
     )
     most = options.get("most", 2)
     limits = limits_of(slim, **options)
-    copies = F.col("_whole") + (F.col("_hash") < F.col("_below")).cast("long")
+    names = {n: unused(n, docs.columns) for n in ("_source", "_hash", "_salt", "_copy", "_whole", "_below")}
+    met = limits.select("_source", "_salt", "_whole", "_below").withColumnsRenamed(names)
+    hashed = docs.withColumns({names["_source"]: source, names["_hash"]: hash32(F.col(id_col), F.col(text_col))})
+    copies = F.col(names["_whole"]) + (F.col(names["_hash"]) < F.col(names["_below"])).cast("long")
     copies = F.least(copies, F.lit(most)).cast("int")
-    hashed = docs.withColumns({"_source": source, "_hash": hash32(F.col(id_col))})
     return (
-        hashed.withColumn("_salt", (F.col("_hash") % SALTS).cast("int"))
-        .join(limits, ["_source", "_salt"])
+        hashed.withColumn(names["_salt"], (F.col(names["_hash"]) % SALTS).cast("int"))
+        .join(met, [names["_source"], names["_salt"]])
         .filter((copies > 0) & (word_count(F.col(text_col)) > 0))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
+        .withColumn(names["_copy"], F.explode(F.sequence(F.lit(1), copies)))
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )

@@ -9,7 +9,7 @@ _FOLDED = (
 MIX = f"""
 WITH d AS (
   SELECT doc_id, coalesce(len({_WORDS}), 0)::BIGINT AS size, source,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')), 1, 8))::BIGINT AS h
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
