@@ -18,6 +18,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellquery.llm.scratch import unused
+
 #: Slots of the ring; the only thing the driver sees is one count per slot.
 RING_SLOTS = 8192
 VIRTUAL_NODES = 64
@@ -83,7 +85,8 @@ def shard(
     slots: int = RING_SLOTS,
     nodes: int = VIRTUAL_NODES,
 ) -> DataFrame:
-    """``docs`` with ``shard`` (from 0) and ``slot`` (its number in the shard, gapless from 0).
+    """``docs`` with ``shard`` (from 0) and ``slot`` (its number in the shard, gapless from 0); columns
+    of these names that ``docs`` has are replaced.
 
     The first pass reads ids only. The second numbers the rows of each ring slot (1/8192 of all
     rows) and joins at most ``slots + shards * nodes`` rows, a proven bound, by broadcast.
@@ -93,20 +96,22 @@ def shard(
     counts = {r[0]: r[1] for r in docs.select(place.alias("s")).groupBy("s").count().collect()}
     owners, ring_nodes = ring(spark, shards, slots, nodes)
     dealt = deal(counts, owners, ring_nodes, capacities(sum(counts.values()), shards, balance))
-    kind = "array<struct<_slot:int,_first:bigint,_last:bigint,shard:int,_offset:bigint>>"
-    keys = ("_slot", "_first", "_last", "shard", "_offset")
+    own = {n: unused(f"_{n}", docs.columns) for n in ("place", "slot", "first", "last", "offset", "number")}
+    kind = f"array<struct<{own['slot']}:int,{own['first']}:bigint,{own['last']}:bigint,shard:int,{own['offset']}:bigint>>"
+    keys = (own["slot"], own["first"], own["last"], "shard", own["offset"])
     sent = json.dumps([dict(zip(keys, d)) for d in dealt])
     table = spark.range(1).select(F.inline(F.from_json(F.lit(sent), kind)))
-    order = Window.partitionBy("_slot").orderBy(
+    order = Window.partitionBy(own["place"]).orderBy(
         F.xxhash64(F.col(id_col).cast("string")), F.col(id_col), F.xxhash64(text_col)
     )
     named = [c for c in docs.columns if c not in ("shard", "slot")]
-    numbered = docs.select(*[F.col(f"`{c}`") for c in named], place.alias("_slot")).withColumn(
-        "_number", (F.row_number().over(order) - 1).cast("long")
+    numbered = docs.select(*[F.col(f"`{c}`") for c in named], place.alias(own["place"])).withColumn(
+        own["number"], (F.row_number().over(order) - 1).cast("long")
     )
-    inside = (F.col("_number") >= F.col("_first")) & (F.col("_number") < F.col("_last"))
+    number = F.col(own["number"])
+    inside = (number >= F.col(own["first"])) & (number < F.col(own["last"]))
     return (
-        numbered.join(F.broadcast(table.withColumnRenamed("_slot", "_at")), (F.col("_slot") == F.col("_at")) & inside)
-        .withColumn("slot", F.col("_number") + F.col("_offset"))
+        numbered.join(F.broadcast(table), (F.col(own["place"]) == F.col(own["slot"])) & inside)
+        .withColumn("slot", number + F.col(own["offset"]))
         .select(*[F.col(f"`{c}`") for c in named], "shard", "slot")
     )

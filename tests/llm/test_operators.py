@@ -350,6 +350,44 @@ def test_neighbours_are_whole(spark, scale):
     assert share >= (1 if scale == "tiny" else 0.85)
 
 
+def test_neighbours_of_repeated_ids_and_tiny_vectors(spark):
+    draw = np.random.default_rng(12)
+    vectors = draw.normal(size=(30, 8))
+    ids = list(range(28)) + [3, 20]
+    vectors[25], vectors[29] = np.abs(vectors[25]) * 1e-170, vectors[20]
+    vectors[26] = [1e-300] + [0.0] * 7
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors)], "vec_id long, embedding array<double>")
+    found = ann.nearest(frame, lambda i: i % 5 == 0).collect()
+    wanted = {k: ids[k] for k in range(30) if ids[k] % 5 == 0}  # 20 is there twice, 25 is tiny
+    assert collections.Counter(r.query_id for r in found) == collections.Counter(
+        i for i in wanted.values() for _ in range(20)
+    )
+    assert {25, 26} <= {r.id for r in found}
+    right = 0
+    for query in wanted:
+        scores = vectors @ vectors[query]
+        order = sorted((k for k in range(30) if k != query), key=lambda k: (-scores[k], ids[k]))[:20]
+        near = collections.Counter((ids[k], scores[k].round(9)) for k in order)
+        mine = collections.Counter({(r.id, round(r.score, 9)): 1 for r in found if r.query_id == ids[query]})
+        right += sum((near & mine).values())
+    assert right >= 0.8 * 20 * len(wanted)
+
+
+def test_recall_on_the_given_vectors(spark):
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = given.collect()
+    ids, vectors = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    got = collections.defaultdict(set)
+    for r in ann.nearest(given, lambda i: i % 20 == 0).collect():
+        got[r.query_id].add(r.id)
+    right = 0
+    for at in np.flatnonzero(ids % 20 == 0):
+        scores = vectors @ vectors[at]
+        scores[at] = -np.inf
+        right += len(set(ids[np.argsort(-scores)[:20]].tolist()) & got[ids[at]])
+    assert right / 20 / len(got) >= 0.9
+
+
 def test_probes_come_in_order():
     place = np.array([0.2, 5.9, -3.5])
     found = ann.probes(place, 20)
@@ -371,6 +409,17 @@ def test_mix(odd, given):
         assert mixing.take(docs).count() == taken and mixing.take(docs).columns == docs.columns
 
 
+def test_mix_with_a_third_of_ids_null(spark):
+    rows = [(None if k % 3 == 0 else k, f"w{k} " * (1 + k % 7), "en", "ab"[k % 2]) for k in range(6000)]
+    docs = spark.createDataFrame([(*r, None, "own", 7) for r in rows], KIND)
+    found = mixing.mix(docs).collect()
+    for source in "ab":
+        mine = [r for r in found if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 7
+    wide = docs.withColumns({n: F.lit(n) for n in ("_source", "_hash", "_salt", "_copy", "_below")})
+    assert mixing.take(wide).columns == wide.columns and mixing.take(wide).count() == sum(r.copies for r in found)
+
+
 def test_mix_is_nested(given):
     small, large = (
         {r.id for r in mixing.mix(given, share=s).collect() if r.copies} for s in (0.3, 0.6)
