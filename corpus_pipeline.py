@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cellquery.llm import decontaminate, mixing, ngram_join, quality, sharding
-from cellquery.llm.scratch import save
+from cellquery.llm.scratch import finished
 from cellquery.session import ship
 
 SHARDS = 16
@@ -62,5 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn on ``documents``, each written out and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir))
+        docs = finished(spark, lambda: stage(spark, docs, sf_dir))  # noqa: B023
     return STAGES[-1][1](spark, docs, sf_dir)
