@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cellquery.session import scratch
 
 #: Arrow batches stay below this size whatever the length of the texts.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def prepare(df: DataFrame) -> None:
