@@ -47,16 +47,16 @@ def features(texts: W.Texts) -> tuple[list[np.ndarray], np.ndarray]:
     shares = np.zeros((len(texts.starts), SHARES))
     if not cut.starts.size:
         return [np.empty(0, np.int64) for _ in texts.starts], shares
-    prefix = W.sums(texts.data, True)
+    data = W.LOWER[texts.data]
     shape = _SHAPE[texts.data]
     turn = np.concatenate([[True], shape[1:] != shape[:-1]])
     turn[cut.starts] = True
     place = np.cumsum(turn)
     hashed = [
-        W.span(prefix, cut.starts, cut.ends),
-        W.span(prefix, cut.starts, np.minimum(cut.starts + 4, cut.ends)) + np.uint64(1),
-        W.span(prefix, cut.starts, np.minimum(cut.starts + 5, cut.ends)) + np.uint64(2),
-        W.span(W.sums(shape[turn], False), place[cut.starts] - 1, place[cut.ends - 1]) + np.uint64(3),
+        W.spans(data, cut.starts, cut.ends),
+        W.spans(data, cut.starts, np.minimum(cut.starts + 4, cut.ends)) + np.uint64(1),
+        W.spans(data, cut.starts, np.minimum(cut.starts + 5, cut.ends)) + np.uint64(2),
+        W.spans(shape[turn], place[cut.starts] - 1, place[cut.ends - 1]) + np.uint64(3),
     ]
     slot = [(W.mix(h) >> np.uint64(64 - FEATURE_BITS)).astype(np.int32) for h in hashed]
     letters = np.concatenate([[0], np.cumsum((shape == 97) | (shape == 65) | (shape == 48))])

@@ -43,9 +43,8 @@ def fingerprint(texts: W.Texts) -> np.ndarray:
 
 
 def sequences(hashed: np.ndarray, cut: W.Words) -> np.ndarray:
-    steps = W.powers(0xBF58476D1CE4E5B9, hashed.size)
-    out = [np.dot(hashed[a:b], steps[: b - a]) for a, b in zip(cut.first, cut.last)]
-    return W.mix(np.array(out, np.uint64) + (cut.last - cut.first).astype(np.uint64))
+    """One hash per text of its words' hashes in order."""
+    return W.sequences(hashed, cut.first, cut.last)
 
 
 def describe(texts: W.Texts):

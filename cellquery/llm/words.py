@@ -22,9 +22,8 @@ SPACES = _table(lambda b: b == 32 or 9 <= b <= 13)
 #: Separators: all of ASCII but digits and letters.
 MARKS = _table(lambda b: b < 128 and not chr(b).isalnum())
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-_BYTES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
-_BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: By number of bytes, the part of eight that they fill.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 class Texts(NamedTuple):
@@ -103,36 +102,45 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values
 
 
-_powers: dict[int, np.ndarray] = {}
+def salts(places: np.ndarray) -> np.ndarray:
+    """A 64-bit value for each place."""
+    return mix((places.astype(np.uint64) + np.uint64(1)) * _ODD)
 
 
-def powers(base: int, size: int) -> np.ndarray:
-    """``base**0 .. base**(size - 1)`` modulo 2**64."""
-    known = _powers.get(base)
-    if known is None or known.size < size:
-        steps = np.full(max(size, CHUNK + 1), base, np.uint64)
-        steps[0] = 1
-        known = _powers[base] = np.multiply.accumulate(steps)
-    return known[:size]
+def sequences(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """One hash per stretch ``values[first:last]``, of its values in order and their number.
 
+    Each value is mixed with its place before the sum, which no pattern of values cancels.
+    """
+    sizes = last - first
+    before = np.cumsum(sizes) - sizes
+    place = np.arange(sizes.sum()) - np.repeat(before, sizes)
+    held = values[place + np.repeat(first, sizes)]
+    total = np.zeros(held.size + 1, np.uint64)
+    np.cumsum(mix(held ^ salts(place)), out=total[1:])
+    return mix(total[before + sizes] - total[before] + sizes.astype(np.uint64) * _ODD)
 
-def sums(data: np.ndarray, fold_case: bool) -> np.ndarray:
-    """Prefix sums of a polynomial hash; ``span`` turns two of them into the hash of the bytes between."""
-    values = _BYTES[LOWER] if fold_case else _BYTES
-    out = np.zeros(data.size + 1, np.uint64)
-    np.cumsum(values[data] * powers(_BASE, data.size), out=out[1:])
-    return out
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on (zeros after the end) as one number."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(data.size + 1, "<u8", padded, strides=(1,))
 
-def span(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of ``data[start:end]``; equal bytes give equal hashes wherever they stand."""
-    raw = (prefix[ends] - prefix[starts]) * powers(_INVERSE, prefix.size)[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * _ODD)
+    sizes = ends - starts
+    parts = (sizes + 7) >> 3
+    last = np.cumsum(parts)
+    at = np.repeat(starts, parts) + 8 * (np.arange(parts.sum()) - np.repeat(last - parts, parts))
+    left = np.minimum(np.repeat(ends, parts) - at, 8)
+    # the number of bytes tells zeros at the end from none
+    return mix(sequences(mix(eights(data)[at] & _MASKS[left]), last - parts, last) + sizes.astype(np.uint64))
 
 
 def hashes(texts: Texts, words: Words, fold_case: bool) -> np.ndarray:
     """One 64-bit hash per word."""
-    return span(sums(texts.data, fold_case), words.starts, words.ends)
+    return spans(LOWER[texts.data] if fold_case else texts.data, words.starts, words.ends)
 
 
 def windows(values: np.ndarray, size: int) -> np.ndarray:
@@ -140,10 +148,23 @@ def windows(values: np.ndarray, size: int) -> np.ndarray:
     n = values.size - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    factors = powers(0xA24BAED4963EE407, size)
+    factors = salts(np.arange(size)) | np.uint64(1)
     total = values[:n] * factors[0]
     for k in range(1, size):
-        total = total + values[k : n + k] * factors[k]
+        total += values[k : n + k] * factors[k]
+    return mix(total)
+
+
+def strings(data: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the ``width`` bytes (eight at least) from every place that has so many."""
+    n = data.size - width + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    eight = mix(eights(data))
+    places = [*range(0, width - 7, 8), *([width - 8] if width % 8 else [])]
+    total = np.zeros(n, np.uint64)
+    for place, factor in zip(places, salts(np.arange(len(places))) | np.uint64(1)):
+        total += eight[place : n + place] * factor
     return mix(total)
 
 

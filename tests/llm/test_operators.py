@@ -25,6 +25,7 @@ from cellquery.llm import (
     suffixes,
     tokens,
 )
+from cellquery.llm import words as W
 from conftest import SMALL
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, class string, hash long"
@@ -122,6 +123,61 @@ def test_repeated_bytes(request, table):
     assert got == repeats_by_hand(texts_of(docs), str.encode, bytes, 50, False)
 
 
+def thue_morse(size, zero, one):
+    """A sequence and its opposite, which polynomial hashes modulo a power of two can't tell apart."""
+    bits = [bin(k).count("1") % 2 for k in range(size)]
+    return [zero if b else one for b in bits], [one if b else zero for b in bits]
+
+
+def one_text(text):
+    data = text.encode()
+    return W.Texts(None, 0, np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)]))
+
+
+@pytest.mark.parametrize("size", [256, 1024, 8192])
+def test_patterns_have_their_own_hashes(size):
+    """As texts, as words, as sequences of words, and folded."""
+    marks = []
+    for sequence in (*thue_morse(size, "a", "b"), *thue_morse(size, "a ", "b "), *thue_morse(size, "abcdefgh", "ijklmnop")):
+        text = one_text("".join(sequence))
+        cut = W.split(text, W.SPACES)
+        marks += [suffixes.fingerprint(text)[0], substrings.fingerprint(text)[0]]
+        if len(cut.starts) == 1:
+            marks.append(W.hashes(text, cut, True)[0])
+            whole = text.data.tobytes()
+            distinct = {whole[at : at + 50] for at in range(len(whole) - 49)}
+            assert np.unique(W.strings(text.data, 50)).size == len(distinct)
+    assert len(set(marks)) == len(marks)
+
+
+def test_hashes_tell_bytes_apart():
+    """All words of two letters, zeros at the end, equal words at other places, and case."""
+    letters = "abcdefgh\0"
+    words = [a + b for a in letters for b in letters] + ["a", "a\0", "a\0\0", "\0", "a" * 8, "a" * 8 + "\0", "a" * 9, "a" * 16]
+    words = list(dict.fromkeys(words))
+    text = one_text(" ".join(words * 3))
+    hashed = W.hashes(text, W.split(text, W.SPACES), False).reshape(3, -1)
+    assert (hashed == hashed[0]).all()
+    assert len(set(hashed[0].tolist())) == len(words)
+    big, small = one_text("Grün ABCDEFGHIJ"), one_text("grün abcdefghij")
+    assert (W.hashes(big, W.split(big, W.SPACES), True) == W.hashes(small, W.split(small, W.SPACES), True)).all()
+
+
+def test_patterns_are_no_repeats(spark):
+    """Texts that are the opposite of each other lose only what they share."""
+    rows = []
+    for k, (zero, one) in enumerate([("a", "b"), ("a ", "b "), ("left ", "right ")]):
+        for sequence in thue_morse(2048, zero, one):
+            rows.append((len(rows), "".join(sequence)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(suffixes.remove_repeats(docs), "n", "n_removed", "sha")
+    assert got == repeats_by_hand(rows, str.encode, bytes, 50, False)
+    got = by_id(substrings.remove_repeats(docs), "n", "n_removed", "sha")
+    assert got == repeats_by_hand(rows, plain_words, b" ".join, 20, True)
+    joined = {r["id"]: r["component_id"] for r in ngram_join.near_duplicates(docs).collect()}
+    assert joined[0] == 0 and joined[1] == 1
+
+
 def test_common_phrase_with_many_surroundings(spark, monkeypatch):
     """A phrase in all documents, with strings around it that other documents of any distance share."""
     monkeypatch.setattr(suffixes, "HELD", 60)
