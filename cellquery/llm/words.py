@@ -130,12 +130,17 @@ def eights(data: np.ndarray) -> np.ndarray:
 def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of ``data[start:end]``; equal bytes give equal hashes wherever they stand."""
     sizes = ends - starts
-    parts = (sizes + 7) >> 3
-    last = np.cumsum(parts)
-    at = np.repeat(starts, parts) + 8 * (np.arange(parts.sum()) - np.repeat(last - parts, parts))
-    left = np.minimum(np.repeat(ends, parts) - at, 8)
+    eight = eights(data)
     # the number of bytes tells zeros at the end from none
-    return mix(sequences(mix(eights(data)[at] & _MASKS[left]), last - parts, last) + sizes.astype(np.uint64))
+    out = mix(mix(eight[starts] & _MASKS[np.minimum(sizes, 8)]) + sizes.astype(np.uint64) * _ODD)
+    long = np.flatnonzero(sizes > 8)
+    parts = (sizes[long] - 1) >> 3
+    last = np.cumsum(parts)
+    place = np.arange(parts.sum()) - np.repeat(last - parts, parts)
+    at = np.repeat(starts[long] + 8, parts) + 8 * place
+    left = np.minimum(np.repeat(ends[long], parts) - at, 8)
+    out[long] = mix(out[long] + sequences(mix(eight[at] & _MASKS[left]), last - parts, last))
+    return out
 
 
 def hashes(texts: Texts, words: Words, fold_case: bool) -> np.ndarray:
