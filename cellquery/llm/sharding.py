@@ -5,9 +5,13 @@ its own place. A shard that is full sends what overflows on clockwise. Only coun
 table of fixed size, decide how many rows of each slot stay and how many go on; rows then find
 their shard by their number within the slot. All of it is native DataFrame work.
 
+The rows of a slot are numbered in parts, by a hash of id and text, each part from the sum of the
+parts before it: an id that many documents have (or none) is no single task's work. Only rows that
+agree in id and text stay in one part.
+
 Loads are counted in rows. ``balance`` 1.0 gives counts at most one apart; with more room fewer
 rows move when shards are added. A null id has a place like any other; rows are never merged, and
-rows with one id stay in one slot's order by text. An empty table gives an empty result.
+rows with one id stay in one slot. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,14 +19,26 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellquery.llm.scratch import unused
+from cellquery.llm.scratch import save, unused
 
 #: Slots of the ring; the only thing the driver sees is one count per slot.
 RING_SLOTS = 8192
 VIRTUAL_NODES = 64
+#: Parts of a slot, which are numbered apart.
+PARTS = 4096
+
+
+def place_of(id_col: str, slots: int) -> Column:
+    """The ring slot of a document."""
+    return F.pmod(F.xxhash64(F.lit("key"), F.col(id_col).cast("string")), F.lit(slots)).cast("int")
+
+
+def part_of(id_col: str, text_col: str) -> Column:
+    """The part of its slot that a document is numbered in."""
+    return F.pmod(F.xxhash64(F.lit("part"), F.col(id_col).cast("string"), text_col), F.lit(PARTS)).cast("int")
 
 
 def ring(spark, shards: int, slots: int, nodes: int) -> list[int]:
@@ -88,25 +104,36 @@ def shard(
     """``docs`` with ``shard`` (from 0) and ``slot`` (its number in the shard, gapless from 0); columns
     of these names that ``docs`` has are replaced.
 
-    The first pass reads ids only. The second numbers the rows of each ring slot (1/8192 of all
-    rows) and joins at most ``slots + shards * nodes`` rows, a proven bound, by broadcast.
+    The first pass counts the rows of each part of each ring slot. The second numbers the rows of
+    each part and joins the counts before it, and at most ``slots + shards * nodes`` intervals, a
+    proven bound, by broadcast.
     """
     spark = docs.sparkSession
-    place = F.pmod(F.xxhash64(F.lit("key"), F.col(id_col).cast("string")), F.lit(slots)).cast("int")
-    counts = {r[0]: r[1] for r in docs.select(place.alias("s")).groupBy("s").count().collect()}
+    names = ("place", "part", "before", "slot", "first", "last", "offset", "number")
+    own = {n: unused(f"_{n}", docs.columns) for n in names}
+    place = place_of(id_col, slots).alias(own["place"])
+    part = part_of(id_col, text_col).alias(own["part"])
+    keys = [own["place"], own["part"]]
+    counted = save(docs.select(place, part).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    counts = {r[0]: r[1] for r in counted.groupBy(own["place"]).agg(F.sum("n")).collect()}
+    so_far = F.sum("n").over(Window.partitionBy(own["place"]).orderBy(own["part"])) - F.col("n")
+    before = counted.select(*keys, so_far.alias(own["before"]))
     owners, ring_nodes = ring(spark, shards, slots, nodes)
     dealt = deal(counts, owners, ring_nodes, capacities(sum(counts.values()), shards, balance))
-    own = {n: unused(f"_{n}", docs.columns) for n in ("place", "slot", "first", "last", "offset", "number")}
     kind = f"array<struct<{own['slot']}:int,{own['first']}:bigint,{own['last']}:bigint,shard:int,{own['offset']}:bigint>>"
-    keys = (own["slot"], own["first"], own["last"], "shard", own["offset"])
-    sent = json.dumps([dict(zip(keys, d)) for d in dealt])
+    fields = (own["slot"], own["first"], own["last"], "shard", own["offset"])
+    sent = json.dumps([dict(zip(fields, d)) for d in dealt])
     table = spark.range(1).select(F.inline(F.from_json(F.lit(sent), kind)))
-    order = Window.partitionBy(own["place"]).orderBy(
+    order = Window.partitionBy(*keys).orderBy(
         F.xxhash64(F.col(id_col).cast("string")), F.col(id_col), F.xxhash64(text_col)
     )
     named = [c for c in docs.columns if c not in ("shard", "slot")]
-    numbered = docs.select(*[F.col(f"`{c}`") for c in named], place.alias(own["place"])).withColumn(
-        own["number"], (F.row_number().over(order) - 1).cast("long")
+    within = (F.row_number().over(order) - 1).cast("long")
+    numbered = (
+        docs.select(*[F.col(f"`{c}`") for c in named], place, part)
+        .withColumn(own["number"], within)
+        .join(before, keys)
+        .withColumn(own["number"], F.col(own["number"]) + F.col(own["before"]))
     )
     number = F.col(own["number"])
     inside = (number >= F.col(own["first"])) & (number < F.col(own["last"]))
