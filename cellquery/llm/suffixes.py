@@ -126,7 +126,12 @@ def ordered(eight: np.ndarray) -> np.ndarray:
 
 
 def suffixes(docs: DataFrame, width: int, split_at) -> DataFrame:
-    """``bucket, hash, class, place`` of all anchor suffixes, once per class and task."""
+    """``bucket, hash, class, place, again`` of all anchor suffixes, once per class and task.
+
+    ``again``: another class of the same run has the leading text too (see ``repeats.settled``). Rows
+    that need not meet others of their leading text are dealt to any bucket.
+    """
+    buckets = len(split_at.value) + 1
 
     def rows(batches):
         seen: set[int] = set()
@@ -137,18 +142,37 @@ def suffixes(docs: DataFrame, width: int, split_at) -> DataFrame:
             keep = fresh[owner]
             owner, anchor = owner[keep], anchor[keep]
             if anchor.size:
+                place, mark = anchor - texts.starts[owner], marks[owner]
+                key, again, first = by_class(W.signed(hashed[anchor]), mark, place)
                 bucket = np.searchsorted(split_at.value, ordered(eight[anchor]), "right")
+                bucket = np.where(first, bucket, (key.view(np.uint64) % np.uint64(buckets)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(bucket.astype(np.int32)),
-                        pa.array(W.signed(hashed[anchor]), pa.int64()),
-                        pa.array(marks[owner], pa.int64()),
-                        pa.array((anchor - texts.starts[owner]).astype(np.int32)),
+                        pa.array(key, pa.int64()),
+                        pa.array(mark, pa.int64()),
+                        pa.array(place.astype(np.int32)),
+                        pa.array(again),
                     ],
-                    ["bucket", "hash", "class", "place"],
+                    ["bucket", "hash", "class", "place", "again"],
                 )
 
-    return docs.select("text").mapInArrow(rows, "bucket int, hash long, class long, place int")
+    return docs.select("text").mapInArrow(
+        rows, "bucket int, hash long, class long, place int, again boolean"
+    )
+
+
+def by_class(groups: np.ndarray, mark: np.ndarray, place: np.ndarray):
+    """``settled`` for groups that count as repeated only if two classes have them."""
+    key, again, first = repeats.settled(groups, mark, place, (mark,))
+    if not again.any():
+        return key, again, first
+    # all rows of the least class are firsts; a group of firsts only is of one class
+    values, inverse = np.unique(groups[again], return_inverse=True)
+    two = np.zeros(values.size, bool)
+    two[inverse[~first[again]]] = True
+    again[again] = two[inverse]
+    return key, again, first
 
 
 def shared(found: DataFrame, buckets: int) -> DataFrame:
@@ -158,9 +182,9 @@ def shared(found: DataFrame, buckets: int) -> DataFrame:
     """
     equal = Window.partitionBy("bucket", "hash")
     flagged = found.repartition(buckets, "bucket").select(
-        "class", "place", (F.min("class").over(equal) < F.max("class").over(equal)).alias("_shared")
+        "class", "place", "again", (F.min("class").over(equal) < F.max("class").over(equal)).alias("_shared")
     )
-    return flagged.filter("_shared").groupBy("class").agg(F.collect_set("place").alias("places"))
+    return flagged.filter("again or _shared").groupBy("class").agg(F.collect_set("place").alias("places"))
 
 
 def compare(candidates: DataFrame, width: int, split_at, buckets: int) -> DataFrame:
