@@ -20,6 +20,7 @@ from cellquery.llm import (
     mixing,
     ngram_join,
     quality,
+    repeats,
     sharding,
     substrings,
     suffixes,
@@ -123,6 +124,46 @@ def test_repeated_bytes(request, table):
     assert got == repeats_by_hand(texts_of(docs), str.encode, bytes, 50, False)
 
 
+def test_frequent_passages_without_ids(spark):
+    """One opening in half of the documents, ids missing, repeated or falling, over many tasks."""
+    rows = []
+    for k in range(400):
+        doc_id = None if k % 5 == 0 else 1000 - k // 2
+        opening = PASSAGE if k % 2 else "".join(f"own{k} " * 3)
+        rows.append((doc_id, f"{opening} then {k} " + "again and again the same few words " * (k % 7)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(23)
+    kept = texts_of(docs)
+    got = by_id(substrings.remove_repeats(docs), "n", "n_removed", "sha")
+    assert got == repeats_by_hand(kept, plain_words, b" ".join, 20, True)
+    got = by_id(suffixes.remove_repeats(docs), "n", "n_removed", "sha")
+    assert got == repeats_by_hand(kept, str.encode, bytes, 50, False)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_runs_settle_what_they_can(seed):
+    """What is left to meet elsewhere gives the same verdicts as all rows would."""
+    rng = np.random.default_rng(seed)
+    runs = [rng.integers(0, [6, 9, 4], (rng.integers(0, 40), 3)) for _ in range(6)]
+    everything = np.concatenate(runs).tolist()
+    sent, later, several = [], [], []
+    for groups, owner, place in (r.T.astype(np.int64) for r in runs):
+        key, _, first = repeats.settled(groups, owner, place, (owner, place))
+        assert (key[first] == groups[first]).all()
+        sent += zip(key.tolist(), owner.tolist(), place.tolist())
+        later += (~first).tolist()
+        key, again, _ = suffixes.by_class(groups, owner, place)
+        several += zip(key.tolist(), owner.tolist(), again.tolist())
+    least = lambda rows, k: min(tuple(r[1:]) for r in rows if r[0] == k)
+    for row, (key, owner, place), known in zip(everything, sent, later):
+        assert (tuple(row[1:]) > least(everything, row[0])) == (known or (owner, place) > least(sent, key))
+    shared = {}
+    for row, (key, owner, again) in zip(everything, several):
+        others = {r[1] for r in several if r[0] == key}
+        shared[row[0], row[1]] = shared.get((row[0], row[1]), False) or again or len(others) > 1
+    for group, owner, _ in everything:
+        assert shared[group, owner] == (len({r[1] for r in everything if r[0] == group}) > 1)
+
+
 def thue_morse(size, zero, one):
     """A sequence and its opposite, which polynomial hashes modulo a power of two can't tell apart."""
     bits = [bin(k).count("1") % 2 for k in range(size)]
@@ -496,6 +537,48 @@ def test_shards(odd, given, balance):
             assert sorted(r.slot for r in rows if r.shard == shard) == list(range(n))
 
 
+def plain_ring(rows, owners, nodes, room):
+    """Every row walks the ring by itself: ``rows`` are ``(place, what)`` in the order of their slots."""
+    waiting = collections.defaultdict(list)
+    for place, what in rows:
+        waiting[owners[place]].append(what)
+    filled, out = collections.Counter(), collections.Counter()
+    while waiting:
+        onward = collections.defaultdict(list)
+        for node in sorted(waiting):
+            for what in waiting[node]:
+                shard = nodes[node]
+                if filled[shard] < room[shard]:
+                    out[what, shard, filled[shard]] += 1
+                    filled[shard] += 1
+                    continue
+                step = (node + 1) % len(nodes)
+                while filled[nodes[step]] >= room[nodes[step]]:
+                    step = (step + 1) % len(nodes)
+                onward[step].append(what)
+        waiting = onward
+    return out
+
+
+@pytest.mark.parametrize("balance", [1.0, 1.25])
+def test_shards_equal_a_plain_ring(spark, odd, given, balance):
+    crowd = spark.createDataFrame(
+        [(None if k % 3 == 0 else k % 11, f"text {k // 2}") for k in range(600)], "doc_id long, text string"
+    )
+    for docs in (odd, given, crowd):
+        hashed = lambda c: F.xxhash64(F.col(c).cast("string"))
+        rows = docs.select(
+            sharding.place_of("doc_id", 512).alias("place"), sharding.part_of("doc_id", "text").alias("part"),
+            hashed("doc_id").alias("h"), hashed("text").alias("t"), "doc_id", "text",
+        ).collect()
+        rows.sort(key=lambda r: (r.place, r.part, r.h, r.doc_id or 0, r.t))
+        owners, nodes = sharding.ring(spark, 5, 512, 8)
+        room = sharding.capacities(len(rows), 5, balance)
+        expected = plain_ring([(r.place, (r.doc_id, r.text)) for r in rows], owners, nodes, room)
+        got = sharding.shard(docs, 5, balance=balance, slots=512, nodes=8).collect()
+        assert collections.Counter(((r.doc_id, r.text), r.shard, r.slot) for r in got) == expected
+
+
 def test_room_limits_movement(given):
     def moved(balance):
         before, after = (
@@ -520,6 +603,43 @@ def test_sites_shrink(spark):
     assert shift["h0"] > 3 and all(shift[f"h{k}"] < 0 for k in range(1, 10))
 
 
+def strength_by_hand(groups):
+    """``groups``: bad, n and prior mean each."""
+    groups = [(bad, n, m) for bad, n, m in groups if n]
+    excess = sum((bad - n * m) ** 2 - n * m * (1 - m) for bad, n, m in groups)
+    pairs = sum(n * (n - 1) for _, n, _ in groups)
+    if not pairs or excess <= 0:
+        return 1e6
+    spread = sum(m * (1 - m) for _, _, m in groups) / len(groups)
+    return min(max(spread / (excess / pairs) - 1, 1), 1e6)
+
+
+def test_posteriors_equal_brute_force(spark, given):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    known = {r.doc_id: {"low": 1 - r.quality, "toxic": r.toxic} for r in labels.collect()}
+    docs = given.select("doc_id", "source", "lang").collect()
+    rows = {r.id: r for r in quality.classify(given, labels).collect()}
+    for target in quality.TARGETS:
+        paths, hosts = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(lambda: [0, 0])
+        for r in docs:
+            if r.doc_id in known:
+                for total in (paths[r.source, r.lang], hosts[r.source]):
+                    total[0] += known[r.doc_id][target]
+                    total[1] += 1
+        rate = sum(b for b, _ in hosts.values()) / sum(n for _, n in hosts.values())
+        s = strength_by_hand([(b, n, rate) for b, n in hosts.values()])
+        host = {k: (b + s * rate) / (n + s) for k, (b, n) in hosts.items()}
+        s = strength_by_hand([(b, n, host[k[0]]) for k, (b, n) in paths.items()])
+        path = {k: (b + s * host[k[0]]) / (n + s) for k, (b, n) in paths.items()}
+        odds = lambda p: math.log(p / (1 - p))
+        for r in docs:
+            site = path.get((r.source, r.lang))
+            shift = odds(min(max(site, 1e-6), 1 - 1e-6)) - odds(rate) if site is not None else 0
+            got = rows[r.doc_id]
+            assert got[f"p_{target}"] == pytest.approx(1 / (1 + math.exp(-got[f"{target}_evidence"] - shift)), abs=1e-9)
+    assert all(r.keep == (r.p_low < 0.5 and r.p_toxic < 0.5) for r in rows.values())
+
+
 def test_odd_labels(spark, odd):
     labels = spark.createDataFrame(
         [(1, 1, 0), (1, 0, None), (None, 0, 1), (2, None, None), (77, 0, 0)], "doc_id long, quality int, toxic int"
