@@ -27,15 +27,14 @@ def order_of(id_col: str) -> Column:
 
 
 def settled(
-    groups: np.ndarray, owner: np.ndarray, place: np.ndarray, ranks: tuple = ()
+    groups: np.ndarray, owner: np.ndarray, ranks: tuple = ()
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Combines the rows of one run before they are shuffled by ``groups`` (hashes, as longs).
 
     Gives ``key, again, first``: ``again`` marks the rows of groups that have several here, ``first``
     the least of each group by ``ranks``, the main one first (of equals all; without ranks any one).
-    Only these go out under their group. What is known of the others needs no one else, so their key
-    is made of owner and place, which deals them out evenly: a frequent group costs its task about
-    one row a run.
+    Only these go out under their group. What is known of the others needs no one else, so they go out
+    under their owner, a class: a frequent group costs its task about one row a run.
     """
     order = np.lexsort((*ranks[::-1], groups))
     opens = np.ones(order.size, bool)
@@ -45,8 +44,7 @@ def settled(
     again, first = np.empty(groups.size, bool), np.empty(groups.size, bool)
     again[order] = np.repeat(sizes > 1, sizes)
     first[order] = np.logical_and.reduce([r[order] == r[least] for r in ranks]) if ranks else opens
-    stray = W.signed(W.mix(owner.astype(np.int64).view(np.uint64) + W.salts(place)))
-    return np.where(first, groups, stray), again, first
+    return np.where(first, groups, owner), again, first
 
 
 def slim_rows(docs: DataFrame, describe: Callable) -> DataFrame:

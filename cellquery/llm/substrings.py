@@ -84,7 +84,7 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
                 owners.append(np.full(place.size, mark))
             if at:
                 owner, place = np.concatenate(owners), np.concatenate(places)
-                key, again, _ = repeats.settled(W.signed(spans[np.concatenate(at)]), owner, place)
+                key, again, _ = repeats.settled(W.signed(spans[np.concatenate(at)]), owner)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(key, pa.int64()),
@@ -136,7 +136,7 @@ def extended(candidates: DataFrame, window: int) -> DataFrame:
                 owners.append(np.full(values.size, marks[k]))
                 begins.append(place[begin])
             order, owner, begin = (np.concatenate(c) for c in (orders, owners, begins))
-            key, _, first = repeats.settled(W.signed(np.concatenate(hashed)), owner, begin, (order, begin))
+            key, _, first = repeats.settled(W.signed(np.concatenate(hashed)), owner, (order, begin))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(key, pa.int64()),

@@ -143,7 +143,7 @@ def suffixes(docs: DataFrame, width: int, split_at) -> DataFrame:
             owner, anchor = owner[keep], anchor[keep]
             if anchor.size:
                 place, mark = anchor - texts.starts[owner], marks[owner]
-                key, again, first = by_class(W.signed(hashed[anchor]), mark, place)
+                key, again, first = by_class(W.signed(hashed[anchor]), mark)
                 bucket = np.searchsorted(split_at.value, ordered(eight[anchor]), "right")
                 bucket = np.where(first, bucket, (key.view(np.uint64) % np.uint64(buckets)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
@@ -162,9 +162,9 @@ def suffixes(docs: DataFrame, width: int, split_at) -> DataFrame:
     )
 
 
-def by_class(groups: np.ndarray, mark: np.ndarray, place: np.ndarray):
+def by_class(groups: np.ndarray, mark: np.ndarray):
     """``settled`` for groups that count as repeated only if two classes have them."""
-    key, again, first = repeats.settled(groups, mark, place, (mark,))
+    key, again, first = repeats.settled(groups, mark, (mark,))
     if not again.any():
         return key, again, first
     # all rows of the least class are firsts; a group of firsts only is of one class

@@ -147,19 +147,20 @@ def test_runs_settle_what_they_can(seed):
     everything = np.concatenate(runs).tolist()
     sent, later, several = [], [], []
     for groups, owner, place in (r.T.astype(np.int64) for r in runs):
-        key, _, first = repeats.settled(groups, owner, place, (owner, place))
+        key, _, first = repeats.settled(groups, owner + 100, (owner, place))
         assert (key[first] == groups[first]).all()
         sent += zip(key.tolist(), owner.tolist(), place.tolist())
         later += (~first).tolist()
-        key, again, _ = suffixes.by_class(groups, owner, place)
-        several += zip(key.tolist(), owner.tolist(), again.tolist())
+        key, again, _ = suffixes.by_class(groups, owner + 100)
+        several += zip(key.tolist(), (owner + 100).tolist(), again.tolist())
     least = lambda rows, k: min(tuple(r[1:]) for r in rows if r[0] == k)
     for row, (key, owner, place), known in zip(everything, sent, later):
         assert (tuple(row[1:]) > least(everything, row[0])) == (known or (owner, place) > least(sent, key))
     shared = {}
     for row, (key, owner, again) in zip(everything, several):
         others = {r[1] for r in several if r[0] == key}
-        shared[row[0], row[1]] = shared.get((row[0], row[1]), False) or again or len(others) > 1
+        seen = (row[0], row[1])
+        shared[seen] = shared.get(seen, False) or again or len(others) > 1
     for group, owner, _ in everything:
         assert shared[group, owner] == (len({r[1] for r in everything if r[0] == group}) > 1)
 
