@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cellquery.llm import repeats
 from cellquery.llm import words as W
-from cellquery.llm.scratch import prepare, save
+from cellquery.llm.scratch import finished, prepare, save
 
 #: Perfect difference sets: every difference modulo the period occurs among the places.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
@@ -174,7 +174,8 @@ def remove_repeats(
     )
     slim = repeats.slim_rows(docs, describe)
     firsts = save(slim.groupBy("class").agg(F.min("order").alias("first")))
-    chosen = save(repeated(anchors(docs, window)).join(firsts, "class"))
+    # what was shuffled so far goes before more is
+    chosen = finished(docs.sparkSession, lambda: repeated(anchors(docs, window)).join(firsts, "class"))
     candidates = repeats.first_texts(docs, chosen, fingerprint)
     gone = removed_starts(extended(candidates, window))
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cellquery.llm import repeats
 from cellquery.llm import words as W
-from cellquery.llm.scratch import prepare, save
+from cellquery.llm.scratch import finished, prepare, save
 
 #: Leading bytes of a suffix, which decide on its anchor.
 LEAD = 16
@@ -237,7 +237,7 @@ def compare(candidates: DataFrame, width: int, split_at, buckets: int) -> DataFr
             for at in range(0, batch.num_rows, block):
                 yield from compare_block(batch.slice(at, block), state, width, most)
 
-    found = save(sorted_records.mapInArrow(runs, _FOUND))
+    found = finished(candidates.sparkSession, lambda: sorted_records.mapInArrow(runs, _FOUND))
     known = found.filter("hash is null").select("class", "start", "end")
     # strings that no task could hold: one row each, of the first document in its block
     undecided = found.filter("hash is not null")
@@ -354,8 +354,10 @@ def remove_repeats(
     firsts = save(slim.groupBy("class").agg(F.min("order").alias("first")))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     split_at = spark.sparkContext.broadcast(splitters(docs, 4 * buckets))
-    places = shared(suffixes(docs, width, split_at), buckets)
-    chosen = save(places.join(firsts, "class"))
+    # what was shuffled so far goes before more is
+    chosen = finished(
+        spark, lambda: shared(suffixes(docs, width, split_at), buckets).join(firsts, "class")
+    )
     candidates = repeats.first_texts(docs, chosen, fingerprint)
     gone = compare(candidates, width, split_at, buckets).groupBy("class").agg(
         F.collect_set(F.struct("start", "end")).alias("gone")
