@@ -59,10 +59,7 @@ def describe(texts: W.Texts):
 
 
 def anchors(docs: DataFrame, window: int) -> DataFrame:
-    """``hash, class, place, again`` of the anchors at cover places, once per class and task.
-
-    ``again``: the anchor is known to occur twice (see ``repeats.settled``).
-    """
+    """``hash, class, place`` of the anchors at cover places, once per class and task."""
     period, mask, length = cover_for(window)
 
     def rows(batches):
@@ -83,19 +80,16 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
                 places.append(place)
                 owners.append(np.full(place.size, mark))
             if at:
-                owner, place = np.concatenate(owners), np.concatenate(places)
-                key, again, _ = repeats.settled(W.signed(spans[np.concatenate(at)]), owner)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(key, pa.int64()),
-                        pa.array(owner, pa.int64()),
-                        pa.array(place, pa.int32()),
-                        pa.array(again),
+                        pa.array(W.signed(spans[np.concatenate(at)]), pa.int64()),
+                        pa.array(np.concatenate(owners), pa.int64()),
+                        pa.array(np.concatenate(places), pa.int32()),
                     ],
-                    ["hash", "class", "place", "again"],
+                    ["hash", "class", "place"],
                 )
 
-    return docs.select("text").mapInArrow(rows, "hash long, class long, place int, again boolean")
+    return docs.select("text").mapInArrow(rows, "hash long, class long, place int")
 
 
 def repeated(found: DataFrame) -> DataFrame:
@@ -104,16 +98,13 @@ def repeated(found: DataFrame) -> DataFrame:
     here = F.struct("class", "place")
     other = lambda x: x.isNotNull() & (x != here)
     flagged = found.select(
-        "class", "place", "again", F.lag(here).over(near).alias("_a"), F.lead(here).over(near).alias("_b")
-    ).filter(F.col("again") | other(F.col("_a")) | other(F.col("_b")))
+        "class", "place", F.lag(here).over(near).alias("_a"), F.lead(here).over(near).alias("_b")
+    ).filter(other(F.col("_a")) | other(F.col("_b")))
     return flagged.groupBy("class").agg(F.collect_set("place").alias("places"))
 
 
 def extended(candidates: DataFrame, window: int) -> DataFrame:
-    """``hash, order, class, place, later`` of the windows around repeated anchors, once per document.
-
-    ``later``: the window is known to start earlier too (see ``repeats.settled``).
-    """
+    """``hash, order, class, place`` of the windows around repeated anchors, once per document."""
     period, _, _ = cover_for(window)
 
     def rows(batches):
@@ -135,28 +126,25 @@ def extended(candidates: DataFrame, window: int) -> DataFrame:
                 orders.append(np.full(values.size, firsts[k]))
                 owners.append(np.full(values.size, marks[k]))
                 begins.append(place[begin])
-            order, owner, begin = (np.concatenate(c) for c in (orders, owners, begins))
-            key, _, first = repeats.settled(W.signed(np.concatenate(hashed)), owner, (order, begin))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(key, pa.int64()),
-                    pa.array(order, pa.int64()),
-                    pa.array(owner, pa.int64()),
-                    pa.array(begin, pa.int32()),
-                    pa.array(~first),
+                    pa.array(W.signed(np.concatenate(hashed)), pa.int64()),
+                    pa.array(np.concatenate(orders), pa.int64()),
+                    pa.array(np.concatenate(owners), pa.int64()),
+                    pa.array(np.concatenate(begins), pa.int32()),
                 ],
-                ["hash", "order", "class", "place", "later"],
+                ["hash", "order", "class", "place"],
             )
 
-    return candidates.mapInArrow(rows, "hash long, order long, class long, place int, later boolean")
+    return candidates.mapInArrow(rows, "hash long, order long, class long, place int")
 
 
 def removed_starts(found: DataFrame) -> DataFrame:
     """``class, gone``: windows of which an earlier document has the same."""
     ordered = Window.partitionBy("hash").orderBy("order", "place")
     here = F.struct("order", "place")
-    known = found.select("class", "place", "later", here.alias("_at"), F.first(here).over(ordered).alias("_first"))
-    return known.filter("later or _first < _at").groupBy("class").agg(F.collect_set("place").alias("gone"))
+    later = found.select("class", "place", here.alias("_at"), F.first(here).over(ordered).alias("_first"))
+    return later.filter("_first < _at").groupBy("class").agg(F.collect_set("place").alias("gone"))
 
 
 def remove_repeats(
@@ -173,9 +161,10 @@ def remove_repeats(
         F.col(id_col).alias("id"), repeats.order_of(id_col).alias("order"), F.col(text_col).alias("text")
     )
     slim = repeats.slim_rows(docs, describe)
-    firsts = save(slim.groupBy("class").agg(F.min("order").alias("first")))
-    # what was shuffled so far goes before more is
-    chosen = finished(docs.sparkSession, lambda: repeated(anchors(docs, window)).join(firsts, "class"))
+    spark = docs.sparkSession
+    # what was shuffled before a step goes before the next one shuffles more
+    firsts = finished(spark, lambda: slim.groupBy("class").agg(F.min("order").alias("first")))
+    chosen = finished(spark, lambda: repeated(anchors(docs, window)).join(firsts, "class"))
     candidates = repeats.first_texts(docs, chosen, fingerprint)
     gone = removed_starts(extended(candidates, window))
 
