@@ -25,6 +25,10 @@ def base_model() -> Predictor:
     return lambda batch: [base_texts(t, q) for t, q in zip(batch["table"], batch["question"])]
 
 
+#: Rows given back at once, in batches of the predictor.
+_BATCHES = 16
+
+
 def _one_by_one(predictor, batch: pd.DataFrame) -> tuple[list, list]:
     texts, errors = [], []
     for at in range(len(batch)):
@@ -37,6 +41,41 @@ def _one_by_one(predictor, batch: pd.DataFrame) -> tuple[list, list]:
     return texts, errors
 
 
+def _told(predictor, batch: pd.DataFrame) -> tuple[list, list]:
+    """Texts and errors of one batch; a batch that fails is tried row by row."""
+    try:
+        texts = list(predictor(batch))
+        if len(texts) != len(batch):
+            raise ValueError("predictor returned another number of texts")
+        return texts, [None] * len(batch)
+    except Exception:  # noqa: BLE001
+        return _one_by_one(predictor, batch)
+
+
+def _predicted(prompts: DataFrame, start: Callable[[], Callable], batch_size: int) -> DataFrame:
+    """``prompts`` with ``completion`` and ``error``; ``start`` makes, once per partition, a function
+    from some rows to pairs of their places (all in order, if null) and the predictor to ask."""
+    columns = prompts.columns
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        deal = start()
+        for frame in frames:
+            for at in range(0, len(frame), _BATCHES * batch_size):
+                rows = frame.iloc[at : at + _BATCHES * batch_size]
+                texts, errors = [None] * len(rows), [None] * len(rows)
+                for places, predictor in deal(rows):
+                    own = rows if places is None else rows.iloc[places]
+                    for k in range(0, len(own), batch_size):
+                        found = _told(predictor, own.iloc[k : k + batch_size])
+                        for place, text, error in zip(range(k, len(own)) if places is None else places[k:], *found):
+                            texts[place], errors[place] = text, error
+                yield rows.assign(completion=texts, error=errors)[[*columns, "completion", "error"]]
+
+    texts = [T.StructField("completion", T.StringType()), T.StructField("error", T.StringType())]
+    schema = T.StructType([*prompts.schema.fields, *texts])
+    return prompts.mapInPandas(run, schema)
+
+
 def predict(
     prompts: DataFrame,
     make_predictor: PredictorFactory,
@@ -48,24 +87,11 @@ def predict(
     of rows to one text per row. A batch that fails is tried row by row, so an error, such as a
     prompt longer than a model's context, stays in the row that causes it.
     """
-    columns = prompts.columns
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable:
         predictor = make_predictor()
-        for frame in frames:
-            for at in range(0, len(frame), batch_size):
-                batch = frame.iloc[at : at + batch_size]
-                try:
-                    texts, errors = list(predictor(batch)), [None] * len(batch)
-                    if len(texts) != len(batch):
-                        raise ValueError("predictor returned another number of texts")
-                except Exception:  # noqa: BLE001
-                    texts, errors = _one_by_one(predictor, batch)
-                yield batch.assign(completion=texts, error=errors)[[*columns, "completion", "error"]]
+        return lambda rows: [(None, predictor)]
 
-    texts = [T.StructField("completion", T.StringType()), T.StructField("error", T.StringType())]
-    schema = T.StructType([*prompts.schema.fields, *texts])
-    return prompts.mapInPandas(run, schema)
+    return _predicted(prompts, start, batch_size)
 
 
 def predict_by_type(
@@ -76,23 +102,28 @@ def predict_by_type(
 ) -> DataFrame:
     """``predict`` with the backend that the row's ``model_type`` names, else the default one.
 
-    A task starts only the backends its rows need, each once.
+    A task starts only the backends its rows need, each once. A batch holds rows of one backend.
     """
-    def make() -> Predictor:
+    def start() -> Callable:
         started: dict[str, Callable] = {}
 
-        def run(batch: pd.DataFrame) -> Sequence[str]:
-            texts = pd.Series(index=batch.index, dtype=object)
-            kinds = batch["model_type"].map(lambda t: t if t in backends else default)
-            for kind, rows in batch.groupby(kinds):
+        def ask(kind: str) -> Predictor:
+            def predictor(batch: pd.DataFrame) -> Sequence[str]:
                 if kind not in started:
                     started[kind] = backends[kind]()
-                texts.loc[rows.index] = list(started[kind](rows))
-            return texts.tolist()
+                return started[kind](batch)
+
+            return predictor
+
+        def deal(rows: pd.DataFrame) -> list:
+            places: dict[str, list[int]] = {}
+            for place, kind in enumerate(rows["model_type"]):
+                places.setdefault(kind if kind in backends else default, []).append(place)
+            return [(own, ask(kind)) for kind, own in places.items()]
 
-        return run
+        return deal
 
-    return predict(prompts, make, batch_size)
+    return _predicted(prompts, start, batch_size)
 
 
 def translate(df: DataFrame, column: str, make_predictor: TextPredictorFactory, batch_size: int = 64) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -69,13 +70,14 @@ def question_templates() -> list[tuple[int, str, str]]:
     return _templates("{table}", QUESTION_TEXTS)
 
 
-def _place(template: Column, places: dict[str, Column]) -> Column:
-    """Fill the places of a template; a place name inside a filled-in text stays as it is.
-
-    The template is cut at its places first, and only its own pieces are ever looked at.
-    """
+def _pieces(template: str, places: dict[str, Column]) -> list[str]:
+    """A template cut at its places."""
     marks = "|".join(rf"\{{{name}\}}" for name in places)
-    pieces = F.split(template, rf"(?=(?:{marks}))|(?<=(?:{marks}))")
+    return [piece for piece in re.split(f"({marks})", template) if piece]
+
+
+def _place(pieces: Column, places: dict[str, Column]) -> Column:
+    """Fill the places of a template cut at them; a place name inside a filled-in text stays as it is."""
 
     def filled(piece: Column) -> Column:
         chosen = None
@@ -98,11 +100,12 @@ def _with_prompt(
     if not isinstance(fmt, Column) and not isinstance(lang, Column):
         number = fmt if fmt in WRAPPERS else FORMATS["DEFAULT"]
         template = next(t for n, spoken, t in rows if (n, spoken) == (number, lang))
-        return df.withColumn("prompt", _place(F.lit(template), places))
+        return df.withColumn("prompt", _place(F.array(*map(F.lit, _pieces(template, places))), places))
     fmt = fmt if isinstance(fmt, Column) else F.lit(fmt).cast("int")
     lang = lang if isinstance(lang, Column) else F.lit(lang)
     known = F.when(fmt.isin(list(WRAPPERS)), fmt).otherwise(F.lit(FORMATS["DEFAULT"]))
-    templates = df.sparkSession.createDataFrame(rows, "_format int, _lang string, _template string")
+    cut = [(number, spoken, _pieces(template, places)) for number, spoken, template in rows]
+    templates = df.sparkSession.createDataFrame(cut, "_format int, _lang string, _template array<string>")
     keyed = df.withColumns({"_format": known, "_lang": lang})
     filled = keyed.join(F.broadcast(templates), ["_format", "_lang"])
     return filled.withColumn("prompt", _place(F.col("_template"), places)).drop("_format", "_lang", "_template")

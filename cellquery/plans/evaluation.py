@@ -27,9 +27,9 @@ def prompt_table(
 ) -> DataFrame:
     """One row per model, seed and question: ``model, model_type, seed, question_id, table, question, prompt``.
 
-    The plan is multiplied with questions only. Table texts, made once per table, are joined last, so
-    they are shuffled once, and a text is copied only as the rows that need it are made. Spark sizes
-    tasks by bytes; for predictors that take long per row give their number in ``tasks``.
+    Table texts, made once per table, meet the questions before these are multiplied by models and
+    seeds, so a question and its text are shuffled once, and copied only in the task that asks them.
+    Spark sizes tasks by bytes; for predictors that take long per row give their number in ``tasks``.
     """
     asked = qa.select("id", "utterance", "context")
     if translations is not None:
@@ -37,10 +37,10 @@ def prompt_table(
             "utterance", F.coalesce("translation", "utterance")
         )
     named = models.select(F.col("name").alias("model"), "model_type", "prompt_format")
-    plan = evaluation.run_plan(named, seeds, asked, limit, beside=["utterance", "context"])
     texts = tables.table_to_csv(cells, ["table_id"], tables=listed)
-    full = plan.join(texts.select(F.col("table_id").alias("context"), F.col("csv").alias("table")), "context")
-    full = full if tasks is None else full.repartition(tasks)
+    told = asked.join(texts.select(F.col("table_id").alias("context"), F.col("csv").alias("table")), "context")
+    told = told if tasks is None else told.repartition(tasks)
+    full = evaluation.run_plan(named, seeds, told, limit, beside=["utterance", "context", "table"])
     return prompts.answer_prompt(full.withColumnRenamed("utterance", "question"), F.col("prompt_format"), lang)
 
 

@@ -201,3 +201,28 @@ def test_generate_qa(spark, lines):
         cells = set(LINES.to_numpy().ravel())
         assert all(r["utterance"] == f"Who or what is {r['targetValue']}?" and r["targetValue"] in cells for r in made)
         assert len({r["targetValue"] for r in made}) >= expected - 1  # one place is there twice
+
+
+def test_batches_hold_rows_of_one_backend(spark):
+    """A full batch per backend, where the types alternate, and each row's own answer."""
+    from cellquery.operators.prediction import predict_by_type
+
+    def backend(name):
+        return lambda: lambda batch: [f"{name}{len(batch)}:{q}" for q in batch["question"]]
+
+    asked = spark.range(0, 80, 1, 1).selectExpr("if(id % 2 = 0, 'a', 'b') AS model_type", "cast(id AS string) AS question")
+    told = predict_by_type(asked, {"a": backend("a"), "b": backend("b")}, "a", batch_size=5).collect()
+    assert sorted((r.completion, r.error) for r in told) == sorted((f"{'ab'[n % 2]}5:{n}", None) for n in range(80))
+
+
+def test_questions_are_dealt_before_they_are_multiplied(spark):
+    from cellquery.plans.evaluation import prompt_table
+
+    models = spark.createDataFrame([("m", "base", 0), ("k", "base", None)], "name string, model_type string, prompt_format int")
+    qa = spark.createDataFrame([("nt-0", "q?", "t"), ("nt-0", "r?", "t"), ("nt-1", "s?", None)], "id string, utterance string, context string")
+    cells = spark.createDataFrame([("t", 0, 0, "c", "v")], "table_id string, row_idx int, col_idx int, col_name string, cell string")
+    asked = prompt_table(models, qa, cells, seeds=2, tasks=3)
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Repartition 3")
+    rows = sorted((r.model, r.seed, r.question, r.table) for r in asked.collect())
+    assert rows == sorted((m, s, q, "c\nv\n") for m in "mk" for s in (0, 1) for q in ("q?", "r?"))
