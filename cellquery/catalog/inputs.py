@@ -14,6 +14,7 @@ from cellquery.catalog.registry import table
 from cellquery.functions import text
 from cellquery.operators import matching
 from cellquery.operators.tables import position
+from cellquery.session import spread
 
 # -- SQL pieces --------------------------------------------------------------------------------
 
@@ -195,7 +196,7 @@ def customer_pages(spark: SparkSession, folder: str) -> DataFrame:
         F.col("c_name"),
         F.lit("</p><table><tr><td>x</td></tr></table></body></html>"),
     ]
-    return table(spark, folder, "customer").select(
+    return spread(table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment", "c_nationkey")).select(
         F.col("c_custkey").alias("page_id"),
         F.concat(F.lit("https://hu.wikipedia.org/wiki/"), "c_name").alias("url"),
         F.concat(*html).alias("html"),
@@ -211,7 +212,7 @@ def supplier_pages(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("; ok</p><table><tr><th>firm</th><th>%</th></tr></table><table><tr><th>firm</th><th>share</th></tr>"),
         *_row(firm, ""), *_row("ok", share), F.lit('</table><h2 id="z">Z</h2>'),
     ]
-    return table(spark, folder, "supplier").select(
+    return spread(table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")).select(
         F.col("s_suppkey").alias("page_id"),
         F.concat(F.lit("https://hu.wikipedia.org/wiki/S"), F.col("s_suppkey").cast("string")).alias("url"),
         F.concat(*html).alias("html"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cellquery.catalog import inputs
 from cellquery.catalog.registry import Registry, table
 from cellquery.operators import sections, tables
+from cellquery.session import spread
 
 QUERIES = Registry()
 query = QUERIES.query
@@ -56,7 +57,8 @@ def h13_page_tables_default_format(spark, folder):
         F.lit("<div><table><tr><th>a</th><th>b</th><th>c</th></tr><tr><td>"), shown, F.lit("</td><td>"),
         inputs.spaced_balance(), F.lit("</td><td>"), F.col("c_custkey").cast("string"), F.lit("</td></tr></table></div>"),
     )
-    pages = table(spark, folder, "customer").select(F.col("c_custkey").alias("page_id"), html.alias("html"))
+    customers = spread(table(spark, folder, "customer").select("c_custkey", "c_acctbal"))
+    pages = customers.select(F.col("c_custkey").alias("page_id"), html.alias("html"))
     cells = tables.extract_cells(pages, "html", decimal=".", thousands=",")
     return cells.select("page_id", "col_idx", "col_type", "word")
 

@@ -6,6 +6,7 @@ import random
 import struct
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from cellquery.functions.fragments import ParagraphTexts, SectionReader
@@ -181,3 +182,46 @@ def test_nested_and_lookup(spark):
     assert found["answers"] == ["x y", "z"] and found["csv"] == "h,%\na,1\nb,2\n"
     names = spark.createDataFrame([("%",), ("",), ("a%",)], "h string")
     assert [r[0] for r in names.select(tables.normalize_headers(F.col("h"))).collect()] == ["Percentage", "Empty", "a%"]
+
+
+def test_pages_of_one_row_group_are_read_by_many_tasks(spark, tmp_path):
+    from cellquery.catalog import inputs
+
+    row = "id AS c_custkey, 'C' AS c_name, 1 AS c_nationkey, 1.5D AS c_acctbal, 'M' AS c_mktsegment"
+    spark.range(0, 64, 1, 1).selectExpr(row.split(", ")).write.parquet(f"{tmp_path}/customer.parquet")
+    pages = inputs.customer_pages(spark, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/customer.parquet").rdd.getNumPartitions() == 1
+    sizes = pages.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 64 and max(sizes) <= 16
+
+
+class _ByParser(SectionReader):
+    """All of it by the parser."""
+
+    def _read_plain(self, html):
+        return 0
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "a<!-- c --><p>b & c &amp; d</p>x < y<",
+        '<table><TR><td colspan="2">1</td><td rowspan=2>2</td></tr><tr><td>3</td></table >',
+        "<style>a<b</style><table><tr><th>n</th><th>n</th></tr><tr><td>1<td>2</table>",
+        '<b c="d"e="f">x</b><a href="?a=1&amp;b">y</a><img src="u"/><br><p/><b\x0b>z</b></br></>',
+        '<sup class="reference">[<b>1</b>]</sup><!-- open',
+    ],
+)
+def test_plain_tags_read_as_the_parser_reads_them(html):
+    here, there = SectionReader().read(html), _ByParser().read(html)
+    assert (here.html, here.grids()) == (there.html, there.grids())
+
+
+def test_plain_tags_do_not_go_through_the_parser(monkeypatch):
+    def never(self, at):
+        raise AssertionError("parsed")
+
+    monkeypatch.setattr(SectionReader, "parse_starttag", never)
+    monkeypatch.setattr(SectionReader, "parse_endtag", never)
+    html = '<p id="a">b &amp; c<sup class="reference">[1]</sup></p>'
+    assert SectionReader().read(html).html == '<p id="a">b &amp; c</p>'
