@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,11 +71,34 @@ def section_context() -> Column:
     return table_id(F.col("url"), F.col("section_id"), F.col("table_idx"))
 
 
+def _outranked_left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows of a statement in a batch the ones of lowest ``rank`` and of lowest ``_listed_rank``, nulls last."""
+
+    def places(ranks: pa.Array) -> np.ndarray:
+        coded = ranks.dictionary_encode()
+        last = len(coded.dictionary)
+        place = np.full(last + 1, last)
+        place[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(last)
+        return place[coded.indices.fill_null(last).to_numpy()]
+
+    for batch in batches:
+        if batch.num_rows:
+            group = batch.column("statement_id").dictionary_encode("encode").indices.to_numpy()
+            rank, listed = places(batch.column("rank")), places(batch.column("_listed_rank"))
+            orders = [np.lexsort((rank, group)), np.lexsort((rank, listed, group))]
+            kept = [by[np.flatnonzero(np.diff(group[by], prepend=-1))] for by in orders]
+            yield batch.take(pa.array(np.unique(np.concatenate(kept))))
+
+
 def pick_question_word(candidates: DataFrame, words: list[str] = QUESTION_WORDS) -> DataFrame:
-    """``statement_id, token, valid``: the best-ranked listed word, else the best token in lowercase."""
-    listed = F.when(F.lower("token").isin(words), F.col("rank"))
-    best = candidates.groupBy("statement_id").agg(
-        F.min_by("token", listed).alias("_listed"), F.min_by("token", "rank").alias("_top")
+    """``statement_id, token, valid``: the best-ranked listed word, else the best token in lowercase.
+
+    Texts are aggregated by sorting, so candidates that others of their statement in the same Arrow
+    batch outrank leave before: at most two of a statement are sorted and shuffled per batch.
+    """
+    marked = candidates.select("statement_id", "rank", "token", F.when(F.lower("token").isin(words), F.col("rank")).alias("_listed_rank"))
+    best = marked.mapInArrow(_outranked_left_out, marked.schema).groupBy("statement_id").agg(
+        F.min_by("token", "_listed_rank").alias("_listed"), F.min_by("token", "rank").alias("_top")
     )
     return best.select(
         "statement_id",

@@ -149,3 +149,19 @@ def test_rework(spark):
     }
     stored = {r["id"]: r["valid"] for r in questions.rework_qa(qa, candidates, store_valid=True).collect()}
     assert stored == {"nt-0": True, "nt-1": True, "nt-2": False, "nt-3": False}
+
+
+def test_outranked_candidates_leave_before_the_shuffle(spark):
+    """At most two rows of a statement per batch go on, and the picked words stay those of all rows."""
+    import pyarrow as pa
+
+    from cellquery.operators.questions import _outranked_left_out, pick_question_word
+
+    rows = [("a", 3, "x", None), ("a", 1, "Y", None), ("a", 2, "hol", 2), ("a", 5, "mi", 5), ("b", None, "ki", None), (None, 4, "q", None), (None, 0, "r", None)]
+    names = ["statement_id", "rank", "token", "_listed_rank"]
+    batch = pa.RecordBatch.from_pydict({n: pa.array(c) for n, c in zip(names, zip(*rows))})
+    kept = [tuple(r.values()) for out in _outranked_left_out([batch]) for r in out.to_pylist()]
+    assert kept == [("a", 1, "Y", None), ("a", 2, "hol", 2), ("b", None, "ki", None), (None, 0, "r", None)]
+    df = spark.createDataFrame([r[:3] for r in rows], "statement_id string, rank int, token string")
+    picked = {r.statement_id: (r.token, r.valid) for r in pick_question_word(df.repartition(3)).collect()}
+    assert picked == {"a": ("hol", True), "b": (None, False), None: ("r", False)}
