@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellquery.llm import words as W
-from cellquery.llm.scratch import bitset, may_hold, save
+from cellquery.llm.scratch import bitset, finished, may_hold, save
 
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 #: Bits (as a power of two) of the filter that keeps most texts out of a shuffle.
@@ -72,7 +72,8 @@ def first_texts(docs: DataFrame, chosen: DataFrame, fingerprint: Callable) -> Da
     """The texts of the chosen classes' first documents, written out.
 
     ``chosen`` has ``class, first`` and more. A filter of fixed size keeps out nearly all other
-    texts before the join; the join on order and class is exact.
+    texts before the join; the join on order and class is exact. What it shuffles, about the texts
+    themselves, is let go before they are worked on.
     """
     sent = docs.sparkSession.sparkContext.broadcast(bitset(chosen, "first", FILTER_BITS))
 
@@ -89,7 +90,7 @@ def first_texts(docs: DataFrame, chosen: DataFrame, fingerprint: Callable) -> Da
                 )
 
     texts = docs.select("order", "text").mapInArrow(passing, "first long, class long, text string")
-    return save(texts.join(chosen, ["first", "class"]))
+    return finished(docs.sparkSession, lambda: texts.join(chosen, ["first", "class"]))
 
 
 def assemble(slim: DataFrame, firsts: DataFrame, cut: DataFrame, least: int) -> DataFrame:

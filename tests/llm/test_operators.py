@@ -4,7 +4,10 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -21,6 +24,7 @@ from cellquery.llm import (
     ngram_join,
     quality,
     repeats,
+    scratch,
     sharding,
     substrings,
     suffixes,
@@ -671,3 +675,23 @@ def test_empty_tables(spark, nothing):
         quality.classify(nothing, labels),
     ):
         assert result.collect() == []
+
+
+def test_shuffle_files_go_without_garbage_collection(spark):
+    """What ``finished`` shuffles is let go when it is written, not some time later."""
+    system = SimpleNamespace(gc=lambda: None)
+    held = SimpleNamespace(conf=spark.conf, _jvm=SimpleNamespace(System=system, org=spark._jvm.org), _jsc=spark._jsc)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {f.name for folder in disk.localDirsString() for f in Path(folder).glob("*/shuffle_*")}
+
+    before = shuffled()
+    rows = spark.range(1000).select((F.col("id") % 7).alias("k")).repartition(3, "k")
+    kept = scratch.finished(held, lambda: rows.groupBy("k").count())
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert spark.conf.get(scratch._LET_GO) == "false"
+    assert kept.count() == 7
