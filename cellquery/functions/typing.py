@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cellquery.functions.text import strip
+from cellquery.functions.text import WHITESPACE, strip
 
 # Texts that read as null or as a truth value.
 NULL_TEXTS = [
@@ -19,30 +19,33 @@ NULL_TEXTS = [
 BOOL_TEXTS = ["True", "TRUE", "true", "False", "FALSE", "false"]
 
 _NULL, _INT, _FLOAT, _BOOL, _TEXT = range(5)
-_INT_SHAPE = r"^[-+]?[0-9]+$"
-_FLOAT_SHAPE = r"^[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][-+]?[0-9]+)?$|^[-+]?(?i:inf|infinity)$"
+_SPACES = f"[{WHITESPACE}]*"
+_INT_SHAPE = rf"^{_SPACES}[-+]?[0-9]+{_SPACES}$"
+_FLOAT_SHAPE = rf"^{_SPACES}[-+]?(?:(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][-+]?[0-9]+)?|(?i:inf|infinity)){_SPACES}$"
 
 
 def plain_number(c: Column, decimal: str, thousands: str | None) -> Column:
-    """Numbers in the table's format rewritten with a point and no separators; other text as it is."""
+    """Numbers in the table's format rewritten with a point and no separators; other text as it is.
+
+    Text without a mark stays as it is whatever its shape, which is not looked at then.
+    """
     exponent = r"([0-9]?[Ee]-?[0-9]+)?$"
     point = rf"(\Q{decimal}\E[0-9]*)?"
     if thousands is not None:
         mark = rf"\Q{thousands}\E"
         grouped = rf"^[-+]?(?:[0-9]+{mark})*+[0-9]*{point}{exponent}"
-        c = F.when(c.rlike(grouped), F.replace(c, F.lit(thousands), F.lit(""))).otherwise(c)
+        c = F.when(c.contains(thousands) & c.rlike(grouped), F.replace(c, F.lit(thousands), F.lit(""))).otherwise(c)
     if decimal != ".":
         shape = rf"^[-+]?[0-9]*{point}{exponent}"
-        c = F.when(c.rlike(shape), F.replace(c, F.lit(decimal), F.lit("."))).otherwise(c)
+        c = F.when(c.contains(decimal) & c.rlike(shape), F.replace(c, F.lit(decimal), F.lit("."))).otherwise(c)
     return c
 
 
 def _cell_code(c: Column) -> Column:
-    bare = strip(c)
     return (
         F.when(c.isNull() | c.isin(NULL_TEXTS), _NULL)
-        .when(bare.rlike(_INT_SHAPE), _INT)
-        .when(bare.rlike(_FLOAT_SHAPE), _FLOAT)
+        .when(c.rlike(_INT_SHAPE), _INT)
+        .when(c.rlike(_FLOAT_SHAPE), _FLOAT)
         .when(c.isin(BOOL_TEXTS), _BOOL)
         .otherwise(_TEXT)
     )

@@ -74,7 +74,7 @@ def paragraphs_by_id(pages: DataFrame, tag: str = "h2") -> DataFrame:
 def tables_by_id(pages: DataFrame) -> DataFrame:
     """Typed cells by ``page_id, section_id``; a repeated id keeps its last section that has tables."""
     cut = sections(pages.select("page_id", "html"), drop_last=False)
-    read = read_fragments(cut, "content").drop("clean_html").filter(F.size("tables") > 0)
+    read = read_fragments(cut, "content", clean=False).filter(F.size("tables") > 0)
     last = read.groupBy("page_id", "section_id").agg(F.max_by("tables", "section_idx").alias("tables"))
     return type_cells(explode_tables(last))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellquery.functions import typing as typed
-from cellquery.functions.fragments import SectionReader
+from cellquery.functions.fragments import SectionReader, grids
 from cellquery.functions.text import strip
 
 _ROW = T.ArrayType(T.StringType())
@@ -34,8 +34,8 @@ def remove_citations(c: Column) -> Column:
     return _remove_citations(c)
 
 
-def read_fragments(df: DataFrame, html: str) -> DataFrame:
-    """Replace the column ``html`` by ``clean_html`` (no citation marks) and ``tables``; one parse.
+def read_fragments(df: DataFrame, html: str, clean: bool = True) -> DataFrame:
+    """Replace the column ``html`` by ``clean_html`` (no citation marks; if ``clean``) and ``tables``; one parse.
 
     A Python step of its own, so that no filter on its results can make Spark parse twice. Batches
     are read in slices, which bounds what Python holds of large pages.
@@ -45,14 +45,18 @@ def read_fragments(df: DataFrame, html: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices = (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS))
         for part in slices:
-            readers = [SectionReader().read(value or "") for value in part.column(html).to_pylist()]
+            values = [value or "" for value in part.column(html).to_pylist()]
             columns = {f.name: part.column(f.name) for f in keep}
-            columns["clean_html"] = pa.array([r.html for r in readers], pa.string())
-            columns["tables"] = pa.array([r.grids() for r in readers], _TABLES)
+            if clean:
+                readers = [SectionReader().read(value) for value in values]
+                columns["clean_html"] = pa.array([r.html for r in readers], pa.string())
+                columns["tables"] = pa.array([r.grids() for r in readers], _TABLES)
+            else:
+                columns["tables"] = pa.array([grids(value) for value in values], _TABLES)
             yield pa.RecordBatch.from_pydict(columns)
 
-    made = [T.StructField("clean_html", T.StringType()), T.StructField("tables", TABLES_TYPE)]
-    schema = T.StructType([*keep, *made])
+    made = [T.StructField("clean_html", T.StringType())] if clean else []
+    schema = T.StructType([*keep, *made, T.StructField("tables", TABLES_TYPE)])
     return df.mapInArrow(read, schema)
 
 
@@ -201,7 +205,7 @@ def type_cells(
 
 def read_tables(df: DataFrame, html: str) -> DataFrame:
     """Nested tables (``table_idx, header, rows``) of the HTML column, also those without rows."""
-    return explode_tables(read_fragments(df, html).drop("clean_html"))
+    return explode_tables(read_fragments(df, html, clean=False))
 
 
 def extract_cells(

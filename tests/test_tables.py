@@ -9,8 +9,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cellquery.functions import fragments
 from cellquery.functions.fragments import ParagraphTexts, SectionReader
-from cellquery.functions.typing import float_text
+from cellquery.functions.text import WHITESPACE
+from cellquery.functions.typing import coded_rows, float_text
 from cellquery.operators import tables
 from cellquery.operators.evaluation import qa_with_tables
 
@@ -215,6 +217,34 @@ class _ByParser(SectionReader):
 def test_plain_tags_read_as_the_parser_reads_them(html):
     here, there = SectionReader().read(html), _ByParser().read(html)
     assert (here.html, here.grids()) == (there.html, there.grids())
+    assert fragments.grids(html) == there.grids()
+
+
+def test_tables_alone_are_read_without_writing_html(spark, monkeypatch):
+    page = '<style><table></style><p>x</p><TABLE><tr><th>n</th></tr><tr><td>1 & 2<sup class="reference">[1]</sup></td></tr>'
+    df = spark.createDataFrame([(1, page), (2, "<p>no table</p>"), (3, None)], "k int, html string")
+    read = tables.read_fragments(df, "html", clean=False)
+    assert read.columns == ["k", "tables"]
+    both = tables.read_fragments(df, "html").drop("clean_html")
+    assert sorted(map(str, read.collect())) == sorted(map(str, both.collect()))
+    tables_of = fragments.grids(page)
+    monkeypatch.setattr(fragments, "_start_tag", None)  # written tags would call it
+    assert fragments.grids(page) == tables_of == [{"header": ["n"], "rows": [["1 & 2"]]}]
+    monkeypatch.setattr(SectionReader, "read", None)
+    assert fragments.grids("<p>no table</p>") == []
+
+
+def test_cells_are_coded_without_the_space_around_them(spark):
+    _, whole, real, _, text = range(5)
+    shapes = {"7": whole, "-7": whole, "1.5": real, ".5e3": real, "Inf": real, "1 2": text, "x": text, "7\n7": text}
+    rows = [[f"{a}{shape}{b}" for shape in shapes] for a, b in [("", ""), *[(w, w + "\n") for w in WHITESPACE], ("", "\r\n"), ("\n", "\n\n")]]
+    df = spark.createDataFrame([(rows,)], "rows array<array<string>>")
+    coded = df.select(coded_rows(F.col("rows"), ".", None)).first()[0]
+    assert [[c["code"] for c in row] for row in coded] == [list(shapes.values())] * len(rows)
+    spaced = spark.createDataFrame([([["1 234,5", "1 a,b", "1,5", "12", "a b", " ", None]],)], "rows array<array<string>>")
+    assert [c["text"] for c in spaced.select(coded_rows(F.col("rows"), ",", " ")).first()[0][0]] == [
+        "1234.5", "1 a,b", "1.5", "12", "a b", " ", None,
+    ]
 
 
 def test_plain_tags_do_not_go_through_the_parser(monkeypatch):
