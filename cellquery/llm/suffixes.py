@@ -21,7 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellquery.llm import repeats
@@ -37,6 +37,11 @@ SAMPLE_LEADS = 50
 BLOCK = 20_000
 #: Strings around one leading text that a task holds; it stops taking more in above this.
 HELD = 1_000_000
+#: Places of a text that are hashed at once, so that the arrays stay in the processor's cache.
+PIECE = 1 << 14
+#: Suffixes or records that leave a Python step at once.
+SENT = 1 << 16
+_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def digests(texts: W.Texts) -> list:
@@ -58,42 +63,63 @@ def describe(texts: W.Texts):
     return named(found), texts.ends - texts.starts, [d.hexdigest() for d in found]
 
 
-def leads(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every place with ``LEAD`` bytes after it: the first eight as a number that sorts like the
-    bytes, and a hash of all of them."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.ndarray(data.size, "<u8", padded, strides=(1,))
-    n = data.size - LEAD + 1
-    return eight[:n].byteswap(), W.mix(W.mix(eight[:n].copy()) + eight[8 : n + 8])
+def leads(data: np.ndarray) -> np.ndarray:
+    """For every place with ``LEAD`` bytes after it the first eight, as a number that sorts like the bytes."""
+    return W.eights(data)[: max(data.size - LEAD + 1, 0)].byteswap()
 
 
-def picks(hashed: np.ndarray, count: int) -> np.ndarray:
-    """For each run of ``count`` neighbours the place of its lowest value, the leftmost of equals."""
-    low = (hashed & np.uint64(0xFFFFFFFF00000000)) | np.arange(hashed.size, dtype=np.uint64)
-    reach = 1
-    while reach * 2 <= count:
-        low = np.minimum(low[:-reach], low[reach:])
-        reach *= 2
-    if reach < count:
-        low = np.minimum(low[: low.size - (count - reach)], low[count - reach :])
-    return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+def lowest(eight: np.ndarray, count: int) -> np.ndarray:
+    """For each run of ``count`` neighbours the place whose ``LEAD`` bytes hash lowest, the leftmost of equals.
+
+    ``eight`` has the eight bytes from each place on. A place shares a number with the upper bits of
+    its hash, which are enough to choose by.
+    """
+    total = eight.size - LEAD - count + 1
+    bits = (PIECE + count).bit_length()
+    below = np.uint32((1 << bits) - 1)
+    places = np.arange(PIECE + count, dtype=np.uint32)
+    out = np.empty(total, np.int32)
+    for start in range(0, total, PIECE):
+        end = min(start + PIECE, total)
+        part = eight[start : end + count + 7].copy()
+        hashed = part[:-8] * _LEFT
+        hashed += part[8:] * _RIGHT
+        low = (hashed >> np.uint64(32)).astype(np.uint32)
+        low &= ~below
+        low |= places[: low.size]
+        reach = 1
+        while reach * 2 <= count:
+            low = np.minimum(low[:-reach], low[reach:])
+            reach *= 2
+        if reach < count:
+            low = np.minimum(low[: low.size - (count - reach)], low[count - reach :])
+        low &= below
+        np.add(low, start, out=out[start:end], casting="unsafe")
+    return out
 
 
 def anchored(texts: W.Texts, width: int):
-    """``owner, anchor, first, last`` of all anchors, by byte places of the run, and the leads.
+    """``owner, anchor, first, last, lead, hash`` of all anchors: byte places of the run, the first eight
+    bytes of the leading text as a number that sorts like them, and a hash of all its bytes.
 
     The strings of ``width`` bytes that start at ``first`` to ``last`` are those around the anchor.
     """
     if texts.data.size < width:
         none = np.empty(0, np.int64)
-        return none, none, none, none, None, None
-    eight, hashed = leads(texts.data)
-    at = picks(hashed, width - LEAD + 1)
-    owner = np.searchsorted(texts.ends, np.arange(at.size), "right")
-    inside = np.arange(at.size) + width <= texts.ends[np.minimum(owner, texts.ends.size - 1)]
-    begin = np.flatnonzero(inside & np.concatenate([[True], (at[1:] != at[:-1]) | ~inside[:-1]]))
-    end = np.flatnonzero(inside & np.concatenate([(at[1:] != at[:-1]) | ~inside[1:], [True]]))
-    return owner[begin], at[begin], begin, end, eight, hashed
+        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
+    eight = W.eights(texts.data)
+    at = lowest(eight, width - LEAD + 1)
+    sizes = texts.ends - texts.starts
+    room = np.maximum(sizes - width + 1, 0)
+    inside = np.repeat(np.tile([True, False], sizes.size), np.stack([room, sizes - room], 1).ravel())[: at.size]
+    other = at[1:] != at[:-1]
+    opens, closes = inside.copy(), inside.copy()
+    opens[1:] &= other | ~inside[:-1]
+    closes[:-1] &= other | ~inside[1:]
+    begin, end = np.flatnonzero(opens), np.flatnonzero(closes)
+    owner, anchor = np.searchsorted(texts.ends, begin, "right"), at[begin].astype(np.int64)
+    lead = eight[anchor]
+    return owner, anchor, begin, end, lead.byteswap(), W.mix(W.mix(lead) + eight[anchor + 8])
 
 
 def splitters(docs: DataFrame, buckets: int) -> np.ndarray:
@@ -102,7 +128,7 @@ def splitters(docs: DataFrame, buckets: int) -> np.ndarray:
     def some(batches):
         for texts in W.runs(batches, "text"):
             if texts.data.size > LEAD:
-                eight, _ = leads(texts.data)
+                eight = leads(texts.data)
                 step = max(1, eight.size // (SAMPLE_LEADS * len(texts.starts)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(W.signed(eight[::step] ^ np.uint64(1 << 63)), pa.int64())], ["lead"]
@@ -126,39 +152,38 @@ def ordered(eight: np.ndarray) -> np.ndarray:
 
 
 def suffixes(docs: DataFrame, width: int, split_at) -> DataFrame:
-    """``bucket, hash, class, place, again`` of all anchor suffixes, once per class and task.
+    """``bucket, hash, class, place`` of all anchor suffixes, once per class and task.
 
-    ``again``: another class of the same run has the leading text too (see ``repeats.settled``). Rows
-    that need not meet others of their leading text are dealt to any bucket.
+    ``place`` is ``-1 - place`` if another class of the same run has the leading text too (see
+    ``repeats.settled``). Rows that need not meet others of their leading text are dealt to any bucket.
     """
     buckets = len(split_at.value) + 1
 
     def rows(batches):
         seen: set[int] = set()
         for texts in W.runs(batches, "text"):
-            owner, anchor, _, _, eight, hashed = anchored(texts, width)
+            owner, anchor, _, _, lead, hashed = anchored(texts, width)
             marks = W.signed(fingerprint(texts))
             fresh = np.array([m not in seen and not seen.add(m) for m in marks.tolist()], bool)
             keep = fresh[owner]
-            owner, anchor = owner[keep], anchor[keep]
+            owner, anchor, lead, hashed = owner[keep], anchor[keep], lead[keep], hashed[keep]
             if anchor.size:
                 place, mark = anchor - texts.starts[owner], marks[owner]
-                key, again, first = by_class(W.signed(hashed[anchor]), mark)
-                bucket = np.searchsorted(split_at.value, ordered(eight[anchor]), "right")
+                key, again, first = by_class(W.signed(hashed), mark)
+                bucket = np.searchsorted(split_at.value, ordered(lead), "right")
                 bucket = np.where(first, bucket, (key.view(np.uint64) % np.uint64(buckets)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(bucket.astype(np.int32)),
                         pa.array(key, pa.int64()),
                         pa.array(mark, pa.int64()),
-                        pa.array(place.astype(np.int32)),
-                        pa.array(again),
+                        pa.array(np.where(again, -1 - place, place).astype(np.int32)),
                     ],
-                    ["bucket", "hash", "class", "place", "again"],
+                    ["bucket", "hash", "class", "place"],
                 )
 
     return docs.select("text").mapInArrow(
-        rows, "bucket int, hash long, class long, place int, again boolean"
+        rows, "bucket int, hash long, class long, place int"
     )
 
 
@@ -180,11 +205,71 @@ def shared(found: DataFrame, buckets: int) -> DataFrame:
 
     Rows are dealt by range bucket and sorted there; equal leading texts then stand together.
     """
-    equal = Window.partitionBy("bucket", "hash")
-    flagged = found.repartition(buckets, "bucket").select(
-        "class", "place", "again", (F.min("class").over(equal) < F.max("class").over(equal)).alias("_shared")
+
+    def rows(batches):
+        state, held, count = {}, [], 0
+        for batch in batches:
+            held.append(neighbours(batch, state))
+            count += held[-1][0].size
+            if count >= SENT:
+                yield places_of(held)
+                held, count = [], 0
+        if count:
+            yield places_of(held)
+
+    # one number to sort by is sorted by its digits, without comparisons; Spark measures its Arrow batch
+    # after each row and column, so no column goes to Python that is not needed there
+    dealt = found.repartition(buckets, "bucket").select("hash", "class", "place")
+    sorted_rows = dealt.sortWithinPartitions("hash")
+    flagged = sorted_rows.mapInArrow(rows, "class long, places array<int>")
+    return flagged.groupBy("class").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+
+
+def neighbours(batch: pa.RecordBatch, state: dict) -> tuple[np.ndarray, np.ndarray]:
+    """``class, place`` of the rows of a sorted batch whose hash several classes have, by the rows or as a
+    place below 0 tells (see ``suffixes``).
+
+    ``state`` holds the hash that the last batch ended in, whether it is known to be shared, and its
+    rows if it is not: they are of one class then, and each place is held once.
+    """
+    hashed, mark, place = (batch.column(k).to_numpy() for k in range(3))
+    if not hashed.size:
+        return mark, place
+    again = place < 0
+    place = np.where(again, -1 - place, place)
+    if state.get("hash") == hashed[0]:
+        # the open group goes on; one row tells that it is shared
+        mark, place = np.concatenate([state["class"], mark]), np.concatenate([state["place"], place])
+        more = mark.size - hashed.size
+        hashed = np.concatenate([np.full(more, hashed[0]), hashed])
+        again = np.concatenate([np.zeros(more, bool), again])
+        again[0] |= state["shared"]
+    equal = hashed[1:] == hashed[:-1]
+    starts = np.flatnonzero(np.concatenate([[True], ~equal]))
+    two = again.copy()
+    two[1:] |= equal & (mark[1:] != mark[:-1])
+    two = np.logical_or.reduceat(two, starts)
+    sizes = np.diff(np.append(starts, hashed.size))
+    keep = np.repeat(two, sizes)
+    last = starts[-1]
+    state |= {"hash": hashed[-1], "shared": bool(two[-1]), "class": mark[:0], "place": place[:0]}
+    if not two[-1]:
+        state["place"] = np.unique(place[last:])
+        state["class"] = np.full(state["place"].size, mark[-1])
+    return mark[keep], place[keep]
+
+
+def places_of(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """``class, places`` from rows ``class, place``."""
+    mark, place = (np.concatenate(x) for x in zip(*held))
+    by_mark = np.argsort(mark, kind="stable")
+    mark, place = mark[by_mark], place[by_mark]
+    starts = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))
+    offsets = pa.array(np.append(starts, mark.size).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(mark[starts], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(place, pa.int32()))],
+        ["class", "places"],
     )
-    return flagged.filter("again or _shared").groupBy("class").agg(F.collect_set("place").alias("places"))
 
 
 def compare(candidates: DataFrame, width: int, split_at, buckets: int) -> DataFrame:
@@ -198,36 +283,35 @@ def compare(candidates: DataFrame, width: int, split_at, buckets: int) -> DataFr
 
     def records(batches):
         for texts in W.runs(batches, "text"):
-            owner, anchor, first, last, eight, _ = anchored(texts, width)
-            data = texts.data.tobytes()
+            owner, anchor, first, last, lead, _ = anchored(texts, width)
             marks, orders = (W.cell(texts, c).to_numpy() for c in ("class", "first"))
             places = W.cell(texts, "places")
-            keep = np.zeros(anchor.size, bool)
-            for k, start in enumerate(texts.starts):
-                low, high = np.searchsorted(owner, [k, k + 1])
-                keep[low:high] = np.isin(anchor[low:high] - start, places[k].values.to_numpy())
-            owner, anchor, first, last = owner[keep], anchor[keep], first[keep], last[keep]
-            if not anchor.size:
-                continue
-            bucket = np.searchsorted(split_at.value, ordered(eight[anchor]), "right")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(bucket.astype(np.int32)),
-                    pa.array([data[a : a + LEAD] for a in anchor], pa.binary()),
-                    pa.array(orders[owner], pa.int64()),
-                    pa.array(marks[owner], pa.int64()),
-                    pa.array((first - texts.starts[owner]).astype(np.int32)),
-                    pa.array((anchor - first).astype(np.int32)),
-                    pa.array([data[a : b + width] for a, b in zip(first, last)], pa.binary()),
-                ],
-                ["bucket", "lead", "order", "class", "place", "before", "bytes"],
-            )
+            at = np.repeat(texts.starts, places.value_lengths().to_numpy()) + places.flatten().to_numpy()
+            chosen = np.zeros(texts.data.size, bool)
+            chosen[at[at < chosen.size]] = True
+            kept = np.flatnonzero(chosen[anchor])
+            for some in (kept[k : k + SENT] for k in range(0, kept.size, SENT)):
+                who, here, low = owner[some], anchor[some], first[some]
+                bucket = np.searchsorted(split_at.value, ordered(lead[some]), "right")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(bucket.astype(np.int32)),
+                        pieces(texts.data, here, here + LEAD),
+                        pa.array(orders[who], pa.int64()),
+                        pa.array(marks[who], pa.int64()),
+                        pa.array((low - texts.starts[who]).astype(np.int32)),
+                        pa.array((here - low).astype(np.int32)),
+                        pieces(texts.data, low, last[some] + width),
+                    ],
+                    ["bucket", "lead", "order", "class", "place", "before", "bytes"],
+                )
 
     kind = "bucket int, lead binary, order long, class long, place int, before int, bytes binary"
     sorted_records = (
         candidates.select("class", "first", "text", "places")
         .mapInArrow(records, kind)
         .repartition(buckets, "bucket")
+        .drop("bucket")
         .sortWithinPartitions("lead", "order", "place")
     )
 
@@ -246,6 +330,15 @@ def compare(candidates: DataFrame, width: int, split_at, buckets: int) -> DataFr
     return known.unionByName(later.select("class", "start", "end"))
 
 
+def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """``data[start:end]`` of each, as binary values."""
+    sizes = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])
+    buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[at])]
+    return pa.Array.from_buffers(pa.binary(), sizes.size, buffers)
+
+
 _FOUND = "class long, start int, end int, lead binary, hash long, order long"
 
 
@@ -256,10 +349,9 @@ def compare_block(batch: pa.RecordBatch, state: dict, width: int, most: int):
     ``state`` holds strings of the leading text that the last block ended in, with their first
     documents. Records come in the order of documents, so what is held is never too late.
     """
-    lead = batch.column(1).cast(pa.large_binary())
-    order, mark = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-    place, before = batch.column(4).to_numpy(), batch.column(5).to_numpy()
-    column = batch.column(6).cast(pa.large_binary())
+    lead = batch.column("lead").cast(pa.large_binary())
+    order, mark, place, before = (batch.column(c).to_numpy() for c in ("order", "class", "place", "before"))
+    column = batch.column("bytes").cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset :][: len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
@@ -335,6 +427,48 @@ def compare_block(batch: pa.RecordBatch, state: dict, width: int, most: int):
         )
 
 
+def cut_texts(texts: W.Texts, width: int) -> pa.RecordBatch:
+    """``class, n_removed, starts, ends, kept`` of a run of texts with places in ``gone``: what the strings
+    of ``width`` bytes that start there cover, and the SHA-256 of what is left."""
+    gone = W.cell(texts, "gone")
+    start, end = (x.to_numpy() for x in gone.flatten().flatten())
+    owner = np.repeat(np.arange(len(gone)), gone.value_lengths().to_numpy())
+    begin = texts.starts[owner] + start
+    order = np.argsort(begin, kind="stable")
+    begin = begin[order]
+    # no string goes over the end of its text, so the furthest end so far is of the same text
+    reach = np.maximum.accumulate(np.minimum(texts.starts[owner] + end + (width - 1), texts.ends[owner])[order])
+    owner = owner[order]
+    fresh = np.ones(begin.size, bool)
+    fresh[1:] = (begin[1:] > reach[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(fresh)
+    who, low = owner[first], begin[first]
+    high = reach[np.append(first[1:], begin.size) - 1]
+    bounds = np.searchsorted(who, np.arange(len(gone) + 1))
+    data = memoryview(texts.data)
+    kept = []
+    spans = list(zip(low.tolist(), high.tolist()))
+    for a, b, opens, closes in zip(bounds, bounds[1:], texts.starts.tolist(), texts.ends.tolist()):
+        left = hashlib.sha256()
+        for at, to in spans[a:b]:
+            left.update(data[opens:at])
+            opens = to
+        left.update(data[opens:closes])
+        kept.append(left.hexdigest())
+    total = np.concatenate([[0], np.cumsum(high - low)])
+    offsets = pa.array(bounds.astype(np.int32))
+    runs = [pa.array((x - texts.starts[who]).astype(np.int32)) for x in (low, high)]
+    return pa.RecordBatch.from_arrays(
+        [
+            W.cell(texts, "class"),
+            pa.array(total[bounds[1:]] - total[bounds[:-1]], pa.int64()),
+            *(pa.ListArray.from_arrays(offsets, x) for x in runs),
+            pa.array(kept, pa.string()),
+        ],
+        ["class", "n_removed", "starts", "ends", "kept"],
+    )
+
+
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50
 ) -> DataFrame:
@@ -363,18 +497,9 @@ def remove_repeats(
         F.collect_set(F.struct("start", "end")).alias("gone")
     )
 
-    def kept(row):
-        text = (row["text"] or "").encode()
-        at = [np.arange(g["start"], g["end"]) for g in row["gone"] or []]
-        at = np.concatenate(at) if at else np.empty(0, np.int64)
-        starts, ends = repeats.covered(at, width, len(text))
-        left = hashlib.sha256()
-        done = 0
-        for start, end in zip(starts, ends):
-            left.update(text[done:start])
-            done = end
-        left.update(text[done:])
-        return starts, ends, left.hexdigest()
-
-    cut = repeats.cut_rows(candidates.select("class", "text").join(gone, "class"), kept)
+    found = candidates.select("class", "text").join(gone, "class")
+    cut = found.mapInArrow(
+        lambda batches: (cut_texts(texts, width) for texts in W.runs(batches, "text")),
+        "class long, n_removed long, starts array<int>, ends array<int>, kept string",
+    )
     return repeats.assemble(slim, firsts, cut, width)

@@ -257,6 +257,81 @@ def test_strings_held_are_bounded():
     assert state["hash"].size + undecided == 20 * 10 * 35
 
 
+def test_suffixes_are_sorted_by_one_number(spark, odd):
+    """No window over the suffixes, whose sort compares rows, and no column in Python that is not used there."""
+    docs = odd.select(F.col("doc_id").alias("order"), "text")
+    split_at = spark.sparkContext.broadcast(np.array([0], np.int64))
+    plan = suffixes.shared(suffixes.suffixes(docs, 50, split_at), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    assert re.search(r"Sort \[hash#\d+L ASC NULLS FIRST\], false", plan)
+    assert re.search(r"Project \[hash#\d+L, class#\d+L, place#\d+\]", plan)
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_neighbours_over_batches(size):
+    """Groups that go on over batches: of one class, of two, known to be shared, with places that come twice."""
+    draw = np.random.default_rng(size)
+    rows = [(int(h), int(c), int(p)) for h, c, p in zip(*(draw.integers(0, k, 400) for k in (150, 3, 4)))]
+    rows += [(200, 5, k % 7) for k in range(60)] + [(201, 5, k % 7) for k in range(60)] + [(201, 6, 1)]
+    rows += [(202, 5, -1 - k) for k in range(9)]
+    rows.sort(key=lambda r: r[0])
+    state, got = {}, set()
+    for at in range(0, len(rows), size):
+        columns = zip(("hash", "class", "place"), zip(*rows[at : at + size]), (pa.int64(), pa.int64(), pa.int32()))
+        mark, place = suffixes.neighbours(pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, c, k in columns}), state)
+        got |= set(zip(mark.tolist(), place.tolist()))
+        assert state["place"].size <= 7
+    groups = collections.defaultdict(set)
+    for h, c, p in rows:
+        groups[h].add((c, p))
+    several = [g for g in groups.values() if len({c for c, _ in g}) > 1 or any(p < 0 for _, p in g)]
+    assert got == {(c, p if p >= 0 else -1 - p) for g in several for c, p in g}
+
+
+@pytest.mark.parametrize("width", [16, 17, 50, 300])
+def test_anchors_of_pieces(monkeypatch, width):
+    """Every string has one anchor, at the same place wherever it stands; pieces and texts leave no seam."""
+    monkeypatch.setattr(suffixes, "PIECE", 32)
+    draw = np.random.default_rng(width)
+    same = bytes(draw.integers(97, 100, 400, np.uint8))
+    parts = [same, b"", b"short", b"z" * 29 + same, bytes(draw.integers(97, 123, 90, np.uint8)), b"a" * 700]
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    ends = np.cumsum([len(x) for x in parts])
+    texts = W.Texts(None, 0, data, ends - [len(x) for x in parts], ends)
+    owner, anchor, first, last, lead, hashed = suffixes.anchored(texts, width)
+    places = {}
+    whole = data.tobytes()
+    for who, at, low, high, eight, mark in zip(owner, anchor, first, last, lead, hashed):
+        assert whole[at : at + 8] == int(eight).to_bytes(8, "big")
+        for start in range(low, high + 1):
+            assert texts.starts[who] <= start and start + width <= texts.ends[who]
+            assert start <= at <= start + width - suffixes.LEAD
+            assert places.setdefault(whole[start : start + width], (at - start, mark)) == (at - start, mark)
+    spread = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last)])
+    assert sorted(spread.tolist()) == [p for a, b in zip(texts.starts, texts.ends) for p in range(a, b - width + 1)]
+
+
+def test_cut_texts_as_a_batch():
+    """Spans of several texts: overlapping, touching, apart, up to the end of one and from the start of the next."""
+    words = ["abcdefghij" * 12, "é" * 60, "k" * 50, "l" * 80]
+    gone = [[(0, 3), (2, 5), (54, 55), (70, 71)], [(70, 71), (0, 1)], [(0, 1)], [(0, 1), (29, 31)]]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    spans = [[{"start": a, "end": b} for a, b in g] for g in gone]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(4), pa.int64()), pa.array(words), pa.array(spans, kind)], ["class", "text", "gone"]
+    ).slice(1)
+    (texts,) = W.runs([batch], "text")
+    rows = suffixes.cut_texts(texts, 50).to_pylist()
+    assert [r["class"] for r in rows] == [1, 2, 3]
+    for row, word, places in zip(rows, words[1:], gone[1:]):
+        data = word.encode()
+        lost = {p for a, b in places for p in range(a, min(b + 49, len(data)))}
+        kept = bytes(c for k, c in enumerate(data) if k not in lost)
+        assert row["kept"] == hashlib.sha256(kept).hexdigest() and row["n_removed"] == len(lost)
+        runs = [p for a, b in zip(row["starts"], row["ends"]) for p in range(a, b)]
+        assert runs == sorted(lost) and all(a < b for a, b in zip(row["ends"], row["starts"][1:]))
+
+
 @pytest.mark.parametrize("window", [5, 9, 14])
 def test_covers_meet_at_some_offset(window):
     period, mask, length = substrings.cover_for(window)
