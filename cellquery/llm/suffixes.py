@@ -280,6 +280,7 @@ def compare(candidates: DataFrame, width: int, split_at, buckets: int) -> DataFr
     a string belongs to the first document that has it.
     """
     block, most = BLOCK, HELD
+    sent = max(1, min(SENT, (8 << 20) // width))
 
     def records(batches):
         for texts in W.runs(batches, "text"):
@@ -290,7 +291,7 @@ def compare(candidates: DataFrame, width: int, split_at, buckets: int) -> DataFr
             chosen = np.zeros(texts.data.size, bool)
             chosen[at[at < chosen.size]] = True
             kept = np.flatnonzero(chosen[anchor])
-            for some in (kept[k : k + SENT] for k in range(0, kept.size, SENT)):
+            for some in (kept[k : k + sent] for k in range(0, kept.size, sent)):
                 who, here, low = owner[some], anchor[some], first[some]
                 bucket = np.searchsorted(split_at.value, ordered(lead[some]), "right")
                 yield pa.RecordBatch.from_arrays(
