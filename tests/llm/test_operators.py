@@ -482,6 +482,75 @@ def test_class_probabilities_sum_to_one():
     assert np.allclose(chance.sum(axis=1), 1, atol=1e-4)
 
 
+def test_chances_equal_the_softmax():
+    draw = np.random.default_rng(4)
+    weights = draw.normal(size=(lm.TEMPLATES, lm.FEATURES, lm.CLASSES))
+    slots = draw.integers(0, lm.FEATURES, (lm.TEMPLATES, 500))
+    for template, far in enumerate((-60, 60, -60, 60)):  # templates that leave nothing of each other
+        weights[template, slots[template, :50], : 16 + template] += far
+    logs = (weights - weights.max(axis=2, keepdims=True)).astype(np.float32)
+    found, sums = lm.chances(logs, np.exp(logs), slots)
+    scores = sum(logs[t][slots[t]].astype(np.float64) for t in range(lm.TEMPLATES))
+    exact = scores.max(axis=1) + np.log(np.exp(scores - scores.max(axis=1, keepdims=True)).sum(axis=1))
+    assert exact.min() < math.log(lm.LEAST) and np.allclose(sums, exact, atol=1e-4)
+    assert np.allclose(found, np.exp(scores - exact[:, None]), atol=1e-4)
+    total = np.zeros((lm.TEMPLATES, lm.CLASSES, lm.FEATURES))
+    assert lm.add_chances(total, logs, np.exp(logs), slots) == pytest.approx(sums.sum())
+    assert total.sum() == pytest.approx(500 * lm.TEMPLATES, rel=1e-5)
+    assert np.allclose(total[2, :, slots[2, -1]], found[slots[2] == slots[2, -1]].sum(axis=0), atol=1e-5)
+
+
+def converged_by_hand(rows, ridge, steps=60):
+    """Classes of all tokens, and log10 probabilities of those of each row, of plain gradient updates that go on beyond any stop."""
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([t for _, t in rows], pa.string())})
+    blocks = list(lm.token_blocks([batch]))
+    kind = np.concatenate([lm.classes_of(b.tokens) for b in blocks])
+    slots = np.concatenate([lm.contexts(b) for b in blocks], axis=1)
+    sizes = np.concatenate([np.diff(b.ends, prepend=0) for b in blocks])
+    held = np.repeat([i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows], sizes)
+    bins = slots + lm.FEATURES * np.arange(lm.TEMPLATES)[:, None]  # one feature of each template
+    at, own = bins[:, ~held], kind[~held]
+    seen = np.zeros((lm.TEMPLATES * lm.FEATURES, lm.CLASSES))
+    for template in at:
+        np.add.at(seen, (template, own), 1)
+    share = np.bincount(own, minlength=lm.CLASSES) + 1.0
+    bias = np.log(share / share.sum())
+    weights = np.zeros(seen.shape)
+
+    def logs(places):
+        scores = weights[places].sum(axis=0) + bias
+        scores -= scores.max(axis=1, keepdims=True)
+        return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
+
+    for _ in range(steps):
+        chance = np.exp(logs(at))
+        guess = np.stack([np.bincount(at.ravel(), np.tile(c, lm.TEMPLATES), len(seen)) for c in chance.T], axis=1)
+        weights += np.clip((seen - guess - ridge * weights) / (guess + ridge) * (1.5 / lm.TEMPLATES), -1, 1)
+    gain = logs(bins)[np.arange(kind.size), kind] / math.log(10)
+    return kind, np.add.reduceat(gain, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+
+
+def test_scores_are_those_of_a_converged_model(given):
+    rows = sorted(texts_of(given), key=lambda r: order(r[0]))
+    kinds, gain = converged_by_hand(rows, 8.0)
+    words = [re.findall(rb"[^\x20\x09-\x0D]+", fold(t)) + [None] for _, t in rows]
+    kind = dict(zip((w for ws in words for w in ws), kinds.tolist()))
+    counts = collections.Counter(
+        w for (i, _), ws in zip(rows, words) if i is None or zlib.crc32(str(i).encode()) % 7 != 2 for w in ws
+    )
+    mass = np.ones(lm.CLASSES)
+    for w, n in counts.items():
+        mass[kind[w]] += n + 1
+    inner = [sum(math.log10((counts[w] + 1) / mass[kind[w]]) for w in ws) for ws in words]
+    wanted = gain + np.array(inner)
+    got = sorted(lm.score_all(given).collect(), key=lambda r: order(r.id))
+    apart = np.array([r.score for r in got]) - wanted
+    sizes = np.array([r.n_tokens for r in got])
+    print("log10 a token apart:", apart.sum() / sizes.sum(), np.abs(apart).sum() / sizes.sum())
+    assert [r.id for r in got] == [i for i, _ in rows]
+    assert abs(apart.sum()) / sizes.sum() < 0.01 and np.abs(apart).sum() / sizes.sum() < 0.01
+
+
 def test_neighbours(spark):
     draw = np.random.default_rng(5)
     vectors = draw.normal(size=(400, 12)) * draw.uniform(0.5, 2, (400, 1))
